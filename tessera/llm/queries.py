@@ -22,8 +22,46 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.taken", "mix.copies", "source")
 
 
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .packing import pack_sequences
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    packed = pack_sequences(docs, path("byte_bpe_50k.json"), limit=1024, end_id=2, keep_ids=False)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
+def op10_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from .tokencount import count_pieces
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count_pieces(docs, path("byte_bpe_50k.json")).select("doc_id", "n_words", "n_pieces")
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pack_sequences": op2_pack_sequences,
+    "op8_nearest": op8_nearest,
+    "op10_count_pieces": op10_count_pieces,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_nearest": """
+        WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
+        SELECT query_id, rank, vec_id, score FROM (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.v, b.v) AS score,
+                   CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_inner_product(a.v, b.v) DESC, b.vec_id) AS INTEGER) AS rank
+            FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
+        ) WHERE rank <= 20
+    """,
+}
