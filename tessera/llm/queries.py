@@ -32,6 +32,15 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import drop_shared_lines
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = drop_shared_lines(docs, min_chars=40, min_docs=5)
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return out.select("doc_id", F.col("lines.n_lines").cast("long").alias("n_lines"), F.col("lines.n_dropped").cast("long").alias("n_dropped"), digest.alias("kept_sha256"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
@@ -39,6 +48,13 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
 
 
+def op9_capture_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import capture_history
+
+    history = capture_history(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return history.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "history_range", "history_pos")
+
+
 def op10_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -51,11 +67,36 @@ def op10_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
+    "op5_drop_shared_lines": op5_drop_shared_lines,
     "op8_nearest": op8_nearest,
+    "op9_capture_history": op9_capture_history,
     "op10_count_pieces": op10_count_pieces,
 }
 
+_LINE_BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_ORACLE_5 = f"""
+    WITH lines AS (
+        SELECT doc_id, list_transform(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1),
+                                      lambda i: {{'pos': i, 'line': string_split(coalesce(text, ''), chr(10))[i]}}) AS ls
+        FROM documents
+    ), flat AS (SELECT doc_id, unnest(ls) AS l FROM lines),
+    keyed AS (
+        SELECT doc_id, l.pos AS pos, l.line AS line,
+               translate(trim(l.line, {_LINE_BLANKS}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+        FROM flat
+    ), shared AS (
+        SELECT k, max(doc_id) AS top FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5
+    ), judged AS (
+        SELECT keyed.doc_id, pos, line, shared.top IS NOT NULL AND keyed.doc_id <> shared.top AS gone
+        FROM keyed LEFT JOIN shared ON keyed.k = shared.k
+    )
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+    FROM judged GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_drop_shared_lines": _ORACLE_5,
     "op8_nearest": """
         WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
         SELECT query_id, rank, vec_id, score FROM (
