@@ -32,6 +32,12 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_sniff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import store_texts, stored_features
+
+    return stored_features(store_texts(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op5_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import drop_shared_lines
 
@@ -67,6 +73,7 @@ def op10_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
+    "op4_sniff_media": op4_sniff_media,
     "op5_drop_shared_lines": op5_drop_shared_lines,
     "op8_nearest": op8_nearest,
     "op9_capture_history": op9_capture_history,
