@@ -32,6 +32,14 @@ def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify, graded
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = classify(docs, graded(table(spark, sf_dir, "labels")), levels=3, keep_at=0.6)
+    return scored.select("doc_id", F.col("quality.expected").alias("expected_grade"), F.col("quality.tail").alias("tail_probability"), "quality.keep")
+
+
 def op4_sniff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import store_texts, stored_features
 
@@ -73,6 +81,7 @@ def op10_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
+    "op3_quality": op3_quality,
     "op4_sniff_media": op4_sniff_media,
     "op5_drop_shared_lines": op5_drop_shared_lines,
     "op8_nearest": op8_nearest,
