@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a kernel holds at once (one longer text is a chunk of its own).
 CHUNK_BYTES = 4 << 20
@@ -55,6 +56,11 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", partition_by: tup
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_field(df: DataFrame, name: str, ddl: str) -> StructType:
+    """Schema of df without a column of that name, and with it at the end."""
+    return StructType([f for f in df.schema.fields if f.name != name] + StructType.fromDDL(f"`{name}` {ddl}").fields)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, with_field
 
 #: Payloads are padded to rows of so many samples.
 ROW = 576
@@ -266,7 +266,7 @@ def sniff_media(df: DataFrame, *, media_col: str = "media", declared_col: str =
     """df with a struct column: type, confirmed, corrected, length, embedded[offset, length, type]."""
     kept = [c for c in df.columns if c != into]
     where = {c: i for i, c in enumerate(df.columns)}
-    schema = df.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, _SNIFFED)
+    schema = with_field(df, into, _SNIFFED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_chunks, lower_ascii, mix64, shingle_sets, span_hashes, word_spans, words_per_text
+from .common import as_chunks, lower_ascii, mix64, shingle_sets, span_hashes, with_field, word_spans, words_per_text
 
 #: Hash spaces of words, of pieces of words, and of shapes, one after the other.
 WORD_BITS, GRAM_BITS, SHAPE_BITS = 18, 18, 12
@@ -248,7 +248,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "text"
     """docs with a struct column: expected grade, tail = P(grade >= keep_grade), keep = tail >= keep_at."""
     kept = [c for c in docs.columns if c != into]
     where = {c: i for i, c in enumerate(docs.columns)}
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(into, "struct<expected:double,tail:double,keep:boolean>")
+    schema = with_field(docs, into, "struct<expected:double,tail:double,keep:boolean>")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
