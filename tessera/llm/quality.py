@@ -34,9 +34,9 @@ DIM = SHAPES_AT + (1 << SHAPE_BITS)
 GRAMS = (4, 5)
 #: Rated documents that a model is fitted on, at most.
 SAMPLE = 9_000
-MIN_DOCS = 8
-#: Least chi-square of a feature's presence against the grades in the sample.
-MIN_CHI2 = 100.0
+MIN_DOCS = 4
+#: Least chi-square of a feature's presence against the grades: a constant, and a part of the sample's size.
+MIN_CHI2, CHI2_PART = 15.0, 0.01
 EPOCHS = 150
 SHAPE_SCALE = 6.0
 
@@ -150,7 +150,7 @@ def informative(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
     expected = total[:, None] * share[None, :]
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.where(expected > 0, (seen - expected) ** 2 / (expected * np.maximum(1.0 - share, 1e-12)), 0.0).sum(axis=0)
-    return (every >= MIN_DOCS) & (chi2 >= MIN_CHI2)
+    return (every >= MIN_DOCS) & (chi2 >= MIN_CHI2 + CHI2_PART * total.sum())
 
 
 def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels: int, *, epochs: int = EPOCHS, rate: float = 0.05, decay: float = 1e-4, seed: int = 5) -> OrdinalModel:
