@@ -55,6 +55,12 @@ def op5_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("lines.n_lines").cast("long").alias("n_lines"), F.col("lines.n_dropped").cast("long").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op7_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
@@ -84,6 +90,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_sniff_media": op4_sniff_media,
     "op5_drop_shared_lines": op5_drop_shared_lines,
+    "op7_scan_licenses": op7_scan_licenses,
     "op8_nearest": op8_nearest,
     "op9_capture_history": op9_capture_history,
     "op10_count_pieces": op10_count_pieces,
