@@ -2,7 +2,8 @@
 
 Writing: payload digests (SHA-1) are pre-aggregated to the capture that keeps its payload (the largest id of equal payloads);
 all others become revisit records. Spark's own text writer writes them, with the record separator as line separator, so that any
-file system Spark knows will do; a task begins a new archive after about ``ARCHIVE_BYTES``.
+file system Spark knows will do; a task begins a new archive after about ``ARCHIVE_BYTES`` (before gzip; offsets are those of the
+unpacked archive).
 
 Reading: every archive is read back whole (they are of bounded size) and parsed by record lengths; digests are checked.
 Its captures, sorted by URL key, time and id, are one run. The runs are cut at common splitters of (URL key, time, id): a
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
 from urllib.parse import urlsplit
@@ -184,7 +186,7 @@ def write_archives(
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", per_archive).text(path)
+    records.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(path)
     return path
 
 
@@ -198,7 +200,7 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for offset, length, h, payload in parse_archive(data.as_buffer().to_pybytes()):
+                for offset, length, h, payload in parse_archive(zlib.decompress(data.as_buffer(), 31)):
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = h["WARC-Type"]
                     if kind == "response" and base32_digest(payload) != digest:
