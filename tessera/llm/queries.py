@@ -55,6 +55,12 @@ def op5_drop_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("lines.n_lines").cast("long").alias("n_lines"), F.col("lines.n_dropped").cast("long").alias("n_dropped"), digest.alias("kept_sha256"))
 
 
+def op6_similar_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import similar_components
+
+    return similar_components(table(spark, sf_dir, "documents").select("doc_id", "text"), percent=75)
+
+
 def op7_scan_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .licenses import scan_licenses
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": op3_quality,
     "op4_sniff_media": op4_sniff_media,
     "op5_drop_shared_lines": op5_drop_shared_lines,
+    "op6_similar_components": op6_similar_components,
     "op7_scan_licenses": op7_scan_licenses,
     "op8_nearest": op8_nearest,
     "op9_capture_history": op9_capture_history,
