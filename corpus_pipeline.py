@@ -36,11 +36,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every group of similar ones."""
+    """The document with the smallest id of every group of similar ones; rows without an id stay."""
     groups = similar_components(docs, percent=75)
     kept = materialise(groups.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "pipeline-kept")
     out = docs.join(kept.select("doc_id").hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    return out.dropDuplicates(["doc_id"]) if kept.filter("n > 1").limit(1).count() else out
+    if kept.filter("n > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id"])
+    return out.unionByName(docs.filter("doc_id IS NULL"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
