@@ -192,7 +192,8 @@ def drop_shared_lines(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.col(id_col).isNull().alias("_n"), F.xxhash64(text_col).alias("_k")
     )
     on = (F.col("_d") == F.col("_m_doc")) & (F.col("_n") == F.col("_m_no_doc")) & (F.col("_k") == F.col("_m_mark"))
-    out = keyed.join(maps, on, "left")
+    # always by sorted shuffle: the bitmaps grow with the documents, so a broadcast would not last
+    out = keyed.join(maps.hint("merge"), on, "left")
     text = F.col("_row")[text_col]
     # texts that keep all lines are not sent to Python
     kept = _kept(F.when(F.col("_m_bitmap").isNotNull(), text), F.col("_m_bitmap"))
