@@ -1 +1 @@
-"""See the package docstring of tessera."""
+"""Whole queries: the steps of retrieval and answering put together."""

@@ -1 +1 @@
-"""See the package docstring of tessera."""
+"""Structured Streaming forms of ingest and session memory."""
