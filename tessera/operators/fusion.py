@@ -61,7 +61,7 @@ def inject(hits: DataFrame, queries: DataFrame, corpus: DataFrame, config: Retri
     corpus: doc_id, article_no, law, in order of doc_id.
     """
     asked = queries.filter(F.col("query_article").isNotNull()).select("query_id", "query_article", "query_law")
-    served = hits.join(asked, "query_id").filter(first_number(F.col("article_no")) == F.col("query_article")).select("query_id").distinct()
+    served = hits.select("query_id", "article_no").join(asked, "query_id").filter(first_number(F.col("article_no")) == F.col("query_article")).select("query_id").distinct()
     open_queries = asked.join(served, "query_id", "left_anti")
     top = hits.groupBy("query_id").agg(F.max("score").alias("top"))
     found = corpus.withColumn("number", first_number(F.col("article_no"))).join(open_queries, F.col("number") == F.col("query_article"))
