@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Config, RetrievalConfig
 from ..operators import answers, fusion, index, models, vectors
+from ..storage import written
 
 
 @dataclass
@@ -36,7 +37,8 @@ def retrieve(queries: DataFrame, corpus: Corpus, *, k: int | None = None, config
     dense = vectors.fallback(filtered, free, config.dense_fallback_below)
     alphas = queries.select("query_id", fusion.alpha(F.col("text"), F.col("query_article"), config).alias("alpha"))
     hits = fusion.fuse(dense, sparse, alphas).join(meta, "doc_id").join(asked, "query_id")
-    hits = fusion.ranked(fusion.boost(hits, config))
+    # injection reads the hits four times (a few hundred rows a query), so they are computed once
+    hits = written(fusion.ranked(fusion.boost(hits, config)), "hits")
     hits = fusion.inject(hits, asked, meta, config)
     return fusion.diversify(hits, k or config.final_k, config)
 

@@ -11,6 +11,7 @@ from .config import ChunkConfig
 from .functions import text as T
 from .operators import answers, changes, chunking, citations, entities, fusion, index, metrics, models, vectors
 from .sources import corpora
+from .storage import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -236,7 +237,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     dense = vectors.dense_top(q, points, 200)
     alphas = queries.select("query_id", fusion.alpha(F.col("text"), F.col("query_article")).alias("alpha"))
     hits = fusion.fuse(dense, sparse, alphas).join(meta, "doc_id").join(asked, "query_id")
-    return fusion.ranked(fusion.boost(hits)), asked, meta
+    return written(fusion.ranked(fusion.boost(hits)), "hits"), asked, meta
 
 
 @query(f"""
@@ -608,7 +609,7 @@ def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries = _queries(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
     article = F.when(F.col("query_id") % 4 == 0, (F.col("query_id") % 20).cast("string"))
     queries = queries.withColumns({"query_law": F.lit("en"), "query_article": article, "expanded": F.col("text")})
-    hits = retrieve(queries, Corpus(docs, points))
+    hits = written(retrieve(queries, Corpus(docs, points)), "retrieved")
     replies = answer(queries, hits, docs).select("query_id", "answer", F.col("check.faithful").alias("faithful"))
     return hits.select("query_id", "doc_id", "score", "rank", "injected").join(replies, "query_id")
 
