@@ -170,7 +170,7 @@ def shingle_hashes(words: np.ndarray) -> np.ndarray:
 def short_hash(words: np.ndarray) -> np.ndarray:
     """The one shingle of a text with one to four words: its whole sequence."""
     n = len(words)
-    return mix64(np.array([(words * _TERMS[:n]).sum(dtype=np.uint64) + np.uint64(n) * np.uint64(0xA0761D6478BD642F)], np.uint64))
+    return mix64((words * _TERMS[:n]).sum(dtype=np.uint64, keepdims=True) + np.full(1, n, np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -188,8 +188,3 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
                 yield short_hash(words[a:b])
             else:
                 yield every[:0]
-
-
-def long_of(column: str):
-    """Column as long, null where it is null."""
-    return F.col(column).cast("long")
