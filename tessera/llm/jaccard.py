@@ -1,7 +1,8 @@
 """Similarity join on word shingles (Jaccard), with a count-vector R-tree.
 
-A document's set is its distinct five-word shingles (64-bit hashes). Shingles are hashed into ``GROUPS`` groups; the number of a
-document's shingles in each group is its count vector. For two documents the overlap is at most the sum of the coordinate minima
+A document's set is its distinct five-word shingles (64-bit hashes). Shingles are hashed into groups; the number of a
+document's shingles in each group is its count vector. Larger sets have more groups (a power of two, so that a finer vector folds
+into a coarser one), for about four to eight shingles each, since bounds over fuller groups rule out little. For two documents the overlap is at most the sum of the coordinate minima
 of their vectors, and against a box of an R-tree at most the sum of the minima with the box's upper corner: that prunes
 boxes and pairs before any set is read. What survives is verified on the whole sets.
 
@@ -33,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import materialise, mix64, shingle_sets, shuffle_width
 
-GROUPS = 64
+LEAST_GROUPS, MOST_GROUPS = 16, 1 << 14
 MINIMA = 8
 #: Cells of the frequency sketch; a cell is frequent if this part of all documents (and so many) hit it.
-CELLS = 1 << 20
+CELLS = 1 << 22
 FREQUENT_PART, FREQUENT_LEAST = 0.001, 50
 TILE = 2048
 LEAF = 32
@@ -52,6 +53,31 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def count_vector(s: np.ndarray) -> np.ndarray:
+    """Shingles per group, by the hash's leading bits."""
+    bits = int(np.clip(int(len(s) // 4).bit_length(), LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1))
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
+
+
+def fold(vector: np.ndarray, groups: int) -> np.ndarray:
+    return vector if len(vector) == groups else vector.reshape(groups, -1).sum(axis=1)
+
+
+def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Upper bound of two sets' overlap by their count vectors."""
+    groups = min(len(a), len(b))
+    return int(np.minimum(fold(a, groups), fold(b, groups)).sum())
+
+
+def packed(vector: np.ndarray) -> bytes:
+    """One byte a count where all fit, else four."""
+    return b"\x01" + vector.astype(np.uint8).tobytes() if vector.max(initial=0) < 256 else b"\x04" + vector.astype("<u4").tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8 if data[0] == 1 else np.dtype("<u4"), offset=1).astype(np.int64)
+
+
 def _identity(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
@@ -76,7 +102,7 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     identities.append(_identity(s))
                     shorts.append(_long(identities[-1]))
                     minima.append([int((s * k).min().astype(np.int64)) for k in _SEEDS])
-                    vectors.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype(np.uint32).tobytes())
+                    vectors.append(packed(count_vector(s)))
                     np.add.at(sketch, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 else:
                     for to in (identities, shorts, minima, vectors):
@@ -87,8 +113,9 @@ def shingle_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 [pa.array(np.zeros(n, np.int32)), batch.column(0), pa.array(sizes, pa.int64()), pa.array(identities, pa.binary()), pa.array(shorts, pa.int64()),
                  pa.array(minima, pa.list_(pa.int64())), pa.array(vectors, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())], names=names
             )
-        # cells that are at least half as frequent here as it takes overall
-        cells = np.flatnonzero(sketch >= max(2, count * FREQUENT_PART / 2))
+        # cells that are at least half as frequent here as it takes overall, and stand out from chance hits
+        chance = float(sketch.sum(dtype=np.int64)) / CELLS
+        cells = np.flatnonzero(sketch >= max(4, count * FREQUENT_PART / 2, chance + 6 * chance**0.5))
         n = len(cells)
         empty = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())]
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), *empty, pa.array(cells.astype(np.int32)), pa.array(sketch[cells].astype(np.int64))], names=names)
@@ -235,7 +262,9 @@ def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(meeting)]):
                 if component[a:b].min() == component[a:b].max():
                     continue
-                vectors = np.frombuffer(b"".join(vector[a:b]), np.uint32).reshape(b - a, GROUPS).astype(np.int64)
+                fine = [unpacked(v) for v in vector[a:b]]
+                coarsest = min(map(len, fine))
+                vectors = np.array([fold(v, coarsest) for v in fine])
                 sizes, own, parts, tiles = n[a:b], node[a:b], component[a:b], tile[a:b]
                 mixed = tiles.min() != tiles.max()  # two tiles meet: pairs within one are met elsewhere
                 tree = CountTree(vectors, sizes)
@@ -244,6 +273,8 @@ def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
                     at = at[(own[at] > own[i]) & (parts[at] != parts[i])]
                     if mixed:
                         at = at[tiles[at] != tiles[i]]
+                    if coarsest < len(fine[i]):
+                        at = at[[most_overlap(fine[i], fine[j]) * (100 + percent) >= percent * (sizes[i] + sizes[j]) for j in at]]
                     if len(at):
                         found_a.append(np.full(len(at), own[i]))
                         found_b.append(own[at])
@@ -325,10 +356,9 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(-1, GROUPS) for i in (4, 5)]
-            most = np.minimum(*matrix).sum(axis=1, dtype=np.int64)
+            most = [most_overlap(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(batch.column(4), batch.column(5))]
             sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array(most * (100 + percent) >= percent * sizes)
+            keep = pa.array(np.array(most) * (100 + percent) >= percent * sizes)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     stars = materialise(stars.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(bound, "a long, b long"), "jaccard-stars")
