@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Config
 from ..functions.text import search_tokens
+from ..storage import written
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -51,7 +52,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, config: Bm25Config = Bm2
     """(query_id, doc_id, score) of every document that shares a term with the query."""
     tokens = tokenised(docs, doc_id, text_col)
     wanted = query_terms(queries, query_id, text_col)
-    posts = postings(tokens, wanted)
+    # read twice below (statistics and scores): written once
+    posts = written(postings(tokens, wanted), "postings")
     return score_postings(posts, corpus_stats(tokens), wanted, config)
 
 
