@@ -2,7 +2,7 @@
 
 A document's set is its distinct five-word shingles (64-bit hashes). Shingles are hashed into groups; the number of a
 document's shingles in each group is its count vector. Larger sets have more groups (a power of two, so that a finer vector folds
-into a coarser one), for about four to eight shingles each, since bounds over fuller groups rule out little. For two documents the overlap is at most the sum of the coordinate minima
+into a coarser one), for half a shingle to one each, since bounds over fuller groups rule out little. For two documents the overlap is at most the sum of the coordinate minima
 of their vectors, and against a box of an R-tree at most the sum of the minima with the box's upper corner: that prunes
 boxes and pairs before any set is read. What survives is verified on the whole sets.
 
@@ -13,10 +13,10 @@ An R-tree over a whole corpus would have to be met by every document, so points
   first components. Thus groups of near copies, however large, fall together in linear time.
 * Pass 2 finds every link that pass 1 did not need: by the prefix principle, two sets of Jaccard 0.75 share a shingle
   among the first quarter of each in any common order. The order puts shingles of frequent hash cells last. Nodes that share such a
-  shingle are a block; blocks within one component are done, and those that span several get an R-tree, whose surviving pairs
-  between components are verified. Blocks over ``TILE`` nodes are cut into tiles that meet tile by tile.
+  shingle are a block; blocks within one component are done, and those that span several get an R-tree. Of the pairs between two components that
+  survive in a block, the best is verified first; where it is no link, all others are. Blocks over ``TILE`` nodes are cut into tiles that meet tile by tile.
 
-All similar pairs of different components are verified in pass 2, so the components are exact.
+Every pair that the bounds leave is verified or lies within one component in the end, so the components are exact.
 
 Defined results: texts without words (null, empty, blank) have an empty set and are linked with nothing; fewer than five words are
 one shingle; a null id is the smallest id; rows with equal ids are one node; an empty table gives an empty table.
@@ -55,7 +55,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def count_vector(s: np.ndarray) -> np.ndarray:
     """Shingles per group, by the hash's leading bits."""
-    bits = int(np.clip(int(len(s) // 4).bit_length(), LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1))
+    bits = int(np.clip(len(s).bit_length(), LEAST_GROUPS.bit_length() - 1, MOST_GROUPS.bit_length() - 1))
     return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint32)
 
 
@@ -70,12 +70,17 @@ def most_overlap(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def packed(vector: np.ndarray) -> bytes:
-    """One byte a count where all fit, else four."""
-    return b"\x01" + vector.astype(np.uint8).tobytes() if vector.max(initial=0) < 256 else b"\x04" + vector.astype("<u4").tobytes()
+    """Half a byte a count where all fit, else four bytes."""
+    if vector.max(initial=0) < 16:
+        return b"\x00" + (vector[::2] << 4 | vector[1::2]).astype(np.uint8).tobytes()
+    return b"\x04" + vector.astype("<u4").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8 if data[0] == 1 else np.dtype("<u4"), offset=1).astype(np.int64)
+    if data[0] == 4:
+        return np.frombuffer(data, "<u4", offset=1).astype(np.int64)
+    pairs = np.frombuffer(data, np.uint8, offset=1)
+    return np.stack([pairs >> 4, pairs & 15], axis=1).ravel().astype(np.int64)
 
 
 def _identity(s: np.ndarray) -> bytes:
@@ -242,47 +247,82 @@ class CountTree:
         return at[bound * (100 + percent) >= percent * (size + self.sizes[at])]
 
 
-def bounded_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of a block's nodes in different components that the count vectors cannot rule out.
+def bounded_pairs(members: DataFrame, percent: int, all_pairs: bool) -> DataFrame:
+    """(a, b, block, more): pairs of a block's nodes in different components that the count vectors cannot rule out.
 
-    members: (block, node, component, n, vector), every node once for each block.
+    members: (block, node, component, n, vector), every node once for each block. all_pairs: every such pair; else, of the pairs
+    between two components in a meeting, only the one with the highest bound, and in ``more`` whether there are others.
     """
     sized = members.groupBy("block").agg(F.count("*").alias("m")).select(F.col("block").alias("b2"), F.greatest(F.lit(1), F.ceil(F.col("m") / TILE)).cast("int").alias("tiles"))
     rows = members.join(sized, F.col("block") == F.col("b2")).drop("b2")
     tile = F.pmod(F.xxhash64(F.lit(3), "node"), F.col("tiles")).cast("int")
     rows = rows.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.withColumn("low", F.least("tile", "other")).withColumn("high", F.greatest("tile", "other"))
-    rows = rows.withColumn("meeting", F.xxhash64("block", "low", "high")).select("meeting", "node", "component", "n", "vector", "tile")
+    rows = rows.withColumn("meeting", F.xxhash64("block", "low", "high")).select("meeting", "node", "component", "n", "vector", "tile", "block")
     width = shuffle_width(members.sparkSession)
+    share = percent / (100 + percent)
+
+    def meet(node, component, n, vector, tile) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs, and their bounds as parts of what is needed."""
+        fine = [unpacked(v) for v in vector]
+        groups = min(64, min(map(len, fine)))
+        tree = CountTree(np.array([fold(v, groups) for v in fine]), n)
+        mixed = tile.min() != tile.max()  # two tiles meet: pairs within one are met elsewhere
+        left, right, bounds = [], [], []
+        for i in range(len(node)):
+            at = tree.near(tree.vectors[i], int(n[i]), percent)
+            at = at[(node[at] > node[i]) & (component[at] != component[i])]
+            if mixed:
+                at = at[tile[at] != tile[i]]
+            for j in at.tolist():
+                most = most_overlap(fine[i], fine[j])
+                if most * (100 + percent) >= percent * int(n[i] + n[j]):
+                    left.append(i)
+                    right.append(j)
+                    bounds.append(most / (share * int(n[i] + n[j])))
+        return np.array(left, np.int64), np.array(right, np.int64), np.array(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for meeting, node, component, n, vector, tile in _runs(batches, 6):
-            found_a, found_b = [], []
+        seen: set[tuple[int, int]] = set()
+        for meeting, node, component, n, vector, tile, block in _runs(batches, 7):
+            out: tuple[list, list, list, list] = ([], [], [], [])
             starts = np.flatnonzero(np.append(True, meeting[1:] != meeting[:-1]))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(meeting)]):
-                if component[a:b].min() == component[a:b].max():
+                parts, own = component[a:b], node[a:b]
+                if parts.min() == parts.max():
                     continue
-                fine = [unpacked(v) for v in vector[a:b]]
-                coarsest = min(map(len, fine))
-                vectors = np.array([fold(v, coarsest) for v in fine])
-                sizes, own, parts, tiles = n[a:b], node[a:b], component[a:b], tile[a:b]
-                mixed = tiles.min() != tiles.max()  # two tiles meet: pairs within one are met elsewhere
-                tree = CountTree(vectors, sizes)
-                for i in range(b - a):
-                    at = tree.near(vectors[i], int(sizes[i]), percent)
-                    at = at[(own[at] > own[i]) & (parts[at] != parts[i])]
-                    if mixed:
-                        at = at[tiles[at] != tiles[i]]
-                    if coarsest < len(fine[i]):
-                        at = at[[most_overlap(fine[i], fine[j]) * (100 + percent) >= percent * (sizes[i] + sizes[j]) for j in at]]
-                    if len(at):
-                        found_a.append(np.full(len(at), own[i]))
-                        found_b.append(own[at])
-            if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], names=["a", "b"])
-
-    near = rows.repartition(width, "meeting").sortWithinPartitions("meeting", "node").mapInArrow(run, "a long, b long")
-    return near.distinct()
+                left, right, bounds = meet(own, parts, n[a:b], vector[a:b], tile[a:b])
+                more = np.zeros(len(left), bool)
+                if len(left) and not all_pairs:
+                    low, high = np.minimum(parts[left], parts[right]), np.maximum(parts[left], parts[right])
+                    order = np.lexsort((own[right], own[left], -bounds, high, low))
+                    first = np.append(True, (low[order][1:] != low[order][:-1]) | (high[order][1:] != high[order][:-1]))
+                    count = np.diff(np.append(np.flatnonzero(first), len(order)))
+                    left, right, more = left[order[first]], right[order[first]], count > 1
+                for x, y, m in zip(own[left].tolist(), own[right].tolist(), more.tolist()):
+                    if m or (x, y) not in seen:
+                        seen.add((x, y))
+                        for to, v in zip(out, (x, y, int(block[a]), m)):
+                            to.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([*[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.bool_())], names=["a", "b", "block", "more"])
+
+    return rows.repartition(width, "meeting").sortWithinPartitions("meeting", "node").mapInArrow(run, "a long, b long, block long, more boolean")
+
+
+def within_bound(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the nodes' count vectors cannot rule out."""
+    sized = nodes.select("node", "n", "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            most = [most_overlap(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(batch.column(4), batch.column(5))]
+            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            keep = pa.array(np.array(most, np.int64) * (100 + percent) >= percent * sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    both = pairs.join(sized.toDF("a", "n_a", "v_a"), "a").join(sized.toDF("b", "n_b", "v_b"), "b")
+    return both.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -349,19 +389,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     minima = nodes.select("node", F.posexplode("minima").alias("which", "least"))
     hubs = minima.groupBy("which", "least").agg(F.min("node").alias("a"), F.count("*").alias("m")).filter("m > 1").drop("m")
     stars = minima.join(hubs, ["which", "least"]).filter(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    vectors = nodes.select("node", "n", "vector")
-    stars = stars.join(vectors.toDF("a", "n_a", "v_a"), "a").join(vectors.toDF("b", "n_b", "v_b"), "b")
-
-    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            most = [most_overlap(unpacked(x.as_py()), unpacked(y.as_py())) for x, y in zip(batch.column(4), batch.column(5))]
-            sizes = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            keep = pa.array(np.array(most) * (100 + percent) >= percent * sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
-
-    stars = materialise(stars.select("a", "b", "n_a", "n_b", "v_a", "v_b").mapInArrow(bound, "a long, b long"), "jaccard-stars")
+    stars = materialise(within_bound(stars, nodes, percent), "jaccard-stars")
     first = components(verified(stars, docs, id_col, text_col, percent))
     known = nodes.select("node", "short", "n", "vector").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
     known = materialise(known, "jaccard-known")
@@ -371,13 +399,26 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     placed = blocks.join(known.select("short", "node", "component"), "short").drop("short")
     placed = materialise(placed, "jaccard-placed")
     spanning = placed.groupBy("block").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("block")
-    members = placed.join(spanning, "block", "left_semi").select("block", "node", "component").distinct().join(known.select("node", "n", "vector"), "node")
-    pairs = materialise(bounded_pairs(members, percent), "jaccard-pairs")
-    more = verified(pairs, docs, id_col, text_col, percent)
+    placed = materialise(placed.join(spanning, "block", "left_semi").select("block", "node").distinct(), "jaccard-spanning")
+    sized = known.select("node", "n", "vector")
     part = known.select("node", "component")
-    more = more.join(part.toDF("a", "part_a"), "a").join(part.toDF("b", "part_b"), "b").select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).filter("a <> b")
-    last = components(more).toDF("component", "final")
-    final = known.join(last, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+
+    def settle(part: DataFrame, found: DataFrame) -> DataFrame:
+        """Components (node, component) joined by the verified ones of the pairs."""
+        links = verified(found.select("a", "b").distinct(), docs, id_col, text_col, percent)
+        ends = links.join(part.toDF("a", "x"), "a").join(part.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")).filter("a <> b")
+        last = components(ends).toDF("component", "final")
+        joined = part.join(last, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+        return materialise(joined, "jaccard-part")
+
+    # first the best pair of any two components that share a block, then, where that was no link, all pairs of the block
+    best = materialise(bounded_pairs(placed.join(part, "node").join(sized, "node"), percent, all_pairs=False), "jaccard-best")
+    part = settle(part, best)
+    apart = best.filter("more").join(part.toDF("a", "x"), "a").join(part.toDF("b", "y"), "b").filter("x <> y").select("block").distinct()
+    rest = placed.join(apart, "block", "left_semi").join(part, "node").join(sized, "node")
+    rest = materialise(bounded_pairs(rest, percent, all_pairs=True), "jaccard-rest")
+    untried = rest.select("a", "b").distinct().join(best.select("a", "b"), ["a", "b"], "left_anti")
+    final = settle(part, untried)
     final = nodes.select("identity", "node").join(final, "node").select("identity", "component")
     out = own.select("id", "n", "identity").join(final, "identity", "left")
     shown = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
