@@ -24,6 +24,10 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
+#: Spark's own setting: shuffle files go when the query that made them has ended.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: ``spark.checkpoint.dir``.
 
@@ -52,7 +56,16 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd", partition_by: tup
     writer = df.write.option("compression", codec)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    # what the write has shuffled is of no use once the table is there
+    before = spark.conf.get(_CLEAN_UP, None)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEAN_UP)
+        else:
+            spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
