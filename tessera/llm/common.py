@@ -186,6 +186,15 @@ def short_hash(words: np.ndarray) -> np.ndarray:
     return mix64((words * _TERMS[:n]).sum(dtype=np.uint64, keepdims=True) + np.full(1, n, np.uint64) * np.uint64(0xA0761D6478BD642F))
 
 
+def short_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """``short_hash`` of every run of so many words, one per start."""
+    n = max(0, len(words) - size + 1)
+    total = np.full(n, size, np.uint64) * np.uint64(0xA0761D6478BD642F)
+    for k in range(size):
+        total += words[k : k + n] * _TERMS[k]
+    return mix64(total)
+
+
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of every text of a column, in order."""
     for first, end, data, offsets in as_chunks(column):

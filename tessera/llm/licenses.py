@@ -7,9 +7,13 @@ Jaccard similarity that a window beside a match can have, so that a match is ret
 Only retrieved (window, template) pairs are verified: the template's shingles found near the window must
 be at least ``min_containment`` of all of them.
 
-Templates are a parameter (about a kilobyte each), sent to every task; DEFAULT_NOTICES holds well-known license notices.
+A template of under five words is one shingle of its own length. It is looked up at every word of the texts, by the hash of as many words, and
+found wherever these words stand.
 
-Defined results: null and empty texts give no row; a text shorter than a template can still match by containment; overlapping
+Templates are a parameter (about a kilobyte each), sent to every task; DEFAULT_NOTICES holds well-known license notices. Notices of a family
+share most of their wording, so one passage may be found as several of them; ``containment`` tells them apart.
+
+Defined results: null and empty texts give no row; a text shorter than a template can still match by containment; a template without words is never found; overlapping
 finds of one template are one row; repeated rows give their rows each; an empty table gives no row.
 """
 
@@ -25,19 +29,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, as_chunks, lower_ascii, mix64, shingle_hashes, short_hash, span_hashes, words_per_text
+from .common import SHINGLE_WORDS, as_chunks, lower_ascii, mix64, shingle_hashes, short_hash, short_hashes, span_hashes, words_per_text
 
 MIN_CONTAINMENT = 0.75
 CERTAINTY = 0.9999
 #: Templates of one group differ in length by this factor at most.
 GROUP_RATIO = 1.25
 
-#: Public license notices, shortened to their fixed wording.
+#: Public license notices, by their fixed wording. Paragraphs that also occur alone are notices of their own.
 DEFAULT_NOTICES: dict[str, str] = {
+    "All-rights-reserved": "All rights reserved",
     "MIT-line": "Released under the MIT License",
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3",
+    "CC-BY-4.0-line": "Licensed under CC BY 4.0",
+    "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the "
+        "public domain worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain "
+        "Dedication along with this software. If not, see <http://creativecommons.org/publicdomain/zero/1.0/>."
+    ),
     "MIT": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
         '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
@@ -45,16 +59,47 @@ DEFAULT_NOTICES: dict[str, str] = {
         "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
         "of the Software."
     ),
+    "MIT-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
         "the above copyright notice and this permission notice appear in all copies."
     ),
+    "ISC-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF '
+        "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY "
+        "DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, "
+        "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "BSD-2-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
         "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
         "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution."
     ),
+    "BSD-3-Clause": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions "
+        "are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    ),
+    "BSD-3-Clause-third": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission."
+    ),
+    "BSD-disclaimer": (
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "Apache-2.0": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may '
         "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
@@ -67,11 +112,38 @@ DEFAULT_NOTICES: dict[str, str] = {
         "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
         "PURPOSE. See the GNU General Public License for more details."
     ),
+    "LGPL-3.0-or-later": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This library is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "LGPL-2.1-or-later": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published "
+        "by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version. This library is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Lesser General Public License for more details."
+    ),
+    "AGPL-3.0-or-later": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published "
+        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in "
+        "the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU Affero General Public License for more details."
+    ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
         "file, You can obtain one at https://mozilla.org/MPL/2.0/."
     ),
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+        "distribute this software"
+    ),
+    "Unlicense-dedication": (
+        "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+        "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+        "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+        "software under copyright law."
+    ),
 }
 
 _WORD = np.zeros(256, bool)
@@ -113,12 +185,15 @@ class Scanner:
         column = pa.array([templates[n] for n in self.names], pa.string())
         self.sets: list[np.ndarray] = []
         self.lengths: list[int] = []
+        self.short: dict[int, dict[int, list[int]]] = {}  # words: hash: templates
         for _, _, data, offsets in as_chunks(column):
             starts, ends = plain_spans(data, offsets)
             words = span_hashes(lower_ascii(data), starts, ends)
             borders = words_per_text(offsets, starts)
             for a, b in zip(borders[:-1], borders[1:]):
-                shingles = shingle_hashes(words[a:b]) if b - a >= SHINGLE_WORDS else (short_hash(words[a:b]) if b > a else words[:0])
+                shingles = shingle_hashes(words[a:b])
+                if 0 < b - a < SHINGLE_WORDS:
+                    self.short.setdefault(int(b - a), {}).setdefault(int(short_hash(words[a:b])[0]), []).append(len(self.sets))
                 self.sets.append(np.unique(shingles))
                 self.lengths.append(max(1, len(shingles)))
         order = [i for i in sorted(range(len(self.names)), key=self.lengths.__getitem__) if len(self.sets[i])]
@@ -182,11 +257,11 @@ class Scanner:
             own = np.ones(len(words), bool)
             for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
                 own[max(a, b - SHINGLE_WORDS + 1) : b] = False
-                if 0 < b - a < SHINGLE_WORDS:
-                    every[a], own[a] = short_hash(words[a:b])[0], True
             every = np.where(own, every, mix64(np.arange(len(words), dtype=np.uint64) + np.uint64(0xABCDEF)))
             if not len(every):
                 continue
+            for row, t, a, b in self._short_finds(words, borders):
+                yield first + row, self.names[t], a, b, 1.0
             spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
             for t, a, b in self._retrieve(every):
                 lo, hi = np.searchsorted(borders, [a, min(b, len(every)) - 1], "right") - 1
@@ -204,6 +279,27 @@ class Scanner:
                 for a, b in merged:
                     yield from self._verify(first + doc, t, every, own, int(borders[doc]), a, b)
 
+    def _short_finds(self, words: np.ndarray, borders: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, template, first word, end word) of templates of under five words; overlapping ones are one."""
+        for size, table in self.short.items():
+            every = short_hashes(words, size)
+            hits = np.flatnonzero(np.isin(every, np.array(list(table), np.uint64)))
+            rows = np.searchsorted(borders, hits, "right") - 1
+            whole = hits + size <= borders[rows + 1]  # the others run over into the next text
+            open_: dict[int, list[int]] = {}
+            for at, row in zip(hits[whole].tolist(), rows[whole].tolist()):
+                a = at - int(borders[row])
+                for t in table[int(every[at])]:
+                    last = open_.get(t)
+                    if last and last[0] == row and a < last[2]:
+                        last[2] = a + size
+                        continue
+                    if last:
+                        yield last[0], t, last[1], last[2]
+                    open_[t] = [row, a, a + size]
+            for t, (row, a, b) in open_.items():
+                yield row, t, a, b
+
     def _verify(self, row: int, t: int, every: np.ndarray, own: np.ndarray, base: int, a: int, b: int) -> Iterator[tuple[int, str, int, int, float]]:
         """Exact containment in runs of the template's shingles that lie within one template length of each other."""
         wanted = self.sets[t]

@@ -49,3 +49,27 @@ def test_own_templates_and_empty_table(spark):
     assert {(g.doc_id, g.license) for g in got.collect()} == {(2, "short"), (3, "line")}
     assert len(Scanner(templates).groups) >= 1
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_notices_inside_long_texts(spark):
+    templates = {"one": "Copyleft", "three": "all rights reserved", "four": "SPDX-License-Identifier: MIT", "twice": "la la", "line": "do what you want with this", "none": "..."}
+    rows = [
+        (1, "x All rights reserved"), (2, "noise " * 400 + "ALL rights, reserved. " + "noise " * 400), (3, "// SPDX-License-Identifier: MIT\nint main"), (4, "all rights"),
+        (5, "reserved; copyleft all rights reserved, all rights reserved"), (6, "la la la"), (7, None), (8, "rights reserved"), (9, "so: do what you want with this ok"), (10, "all"), (11, "all rights reserved"),
+    ]
+    got = scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), templates).collect()
+    assert sorted(tuple(g) for g in got) == [
+        (1, "three", 1, 4, 1.0), (2, "three", 400, 403, 1.0), (3, "four", 0, 4, 1.0), (5, "one", 1, 2, 1.0), (5, "three", 2, 5, 1.0), (5, "three", 5, 8, 1.0),
+        (6, "twice", 0, 3, 1.0), (9, "line", 1, 7, 1.0), (11, "three", 0, 3, 1.0),
+    ]
+
+
+def test_default_notices_hold_the_families(spark):
+    lines = ["All rights reserved.", "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0"]
+    names = ["All-rights-reserved", "CC-BY-4.0-line", "CC-BY-SA-4.0-line", "CC0-1.0", "BSD-3-Clause", "LGPL-3.0-or-later", "AGPL-3.0-or-later"]
+    texts = [*lines, *(DEFAULT_NOTICES[n] for n in names[3:])]
+    got = scan_licenses(spark.createDataFrame([(i, f"before it {t} after it") for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    best = {}
+    for g in got:
+        best.setdefault(g.doc_id, []).append((g.containment, g.license))
+    assert all((1.0, n) in best[i] for i, n in enumerate(names))
