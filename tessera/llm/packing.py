@@ -10,7 +10,7 @@
 
 Only (row, length) takes part in the packing: no text or token is shuffled for it.
 
-Defined results: a null text is an empty text (it holds the end token alone); rows with equal ids are packed as rows of their own;
+Defined results: the file's added tokens have ids of their own wherever their literals stand; a null text is an empty text (it holds the end token alone); rows with equal ids are packed as rows of their own;
 an empty table gives an empty table; further input columns are not returned.
 """
 
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from bisect import insort
 from collections.abc import Iterator
 from itertools import chain
@@ -46,6 +47,8 @@ class BatchEncoder:
     asked once for each code point that occurs. Where the file's ids are in the order of its merges, the single pre-tokens
     are merged by tiktoken with the ids as ranks, which gives the same ids in a fifth of the time (a test holds
     both against the tokenizer on whole texts); any other file's pre-tokens go through the tokenizer.
+
+    ``encode`` takes all of a text for plain text; ``encode_all`` gives the file's added tokens their own ids, as the tokenizer does.
     """
 
     def __init__(self, path: str) -> None:
@@ -56,9 +59,23 @@ class BatchEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.ranked = self._ranked(path)
+        self._find_added(path)
         self.kind = np.zeros(0x110000, np.uint8)  # 0 unknown, 1 letter, 2 number, 3 other, 4 white space
         self._reset()
 
+    def _find_added(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        with open(path, encoding="utf-8") as f:
+            added = [t for t in json.load(f).get("added_tokens") or [] if t["content"]]
+        self.added_ids = {t["content"]: t["id"] for t in added}
+        # the longest of those that begin at a place
+        literals = sorted(self.added_ids, key=len, reverse=True)
+        self.added = re.compile("(" + "|".join(map(re.escape, literals)) + ")") if literals else None
+        # tokens that take white space along, stand as whole words only or are looked for in two rounds: such texts go through the tokenizer
+        odd = any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word")) or len({bool(t.get("normalized")) for t in added}) > 1
+        self.whole = Tokenizer.from_file(path) if odd else None
+
     def _ranked(self, path: str):
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
@@ -168,6 +185,35 @@ class BatchEncoder:
         return self.pool[place], upto[np.searchsorted(starts, borders, "left")]
 
 
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """``encode``, with the file's added tokens by their own ids: what the tokenizer gives with add_special_tokens=False."""
+        held = [i for i, t in enumerate(texts) if self.added.search(t)] if self.added else []
+        if not held:
+            return self.encode(texts)
+        parts: list[str] = []  # texts between the added tokens
+        first = np.zeros(len(texts) + 1, np.int64)  # of each text's parts
+        after: list[int] = []  # the part that an added token follows
+        ids: list[int] = []
+        odd = set(held)
+        for i, t in enumerate(texts):
+            if i not in odd:
+                parts.append(t)
+            elif self.whole is not None:
+                own = self.whole.encode(t, add_special_tokens=False).ids
+                after += [len(parts)] * len(own)
+                ids += own
+                parts.append("")
+            else:
+                split = self.added.split(t)
+                after += range(len(parts), len(parts) + len(split) // 2)
+                ids += [self.added_ids[x] for x in split[1::2]]
+                parts += split[::2]
+            first[i + 1] = len(parts)
+        flat, borders = self.encode(parts)
+        before = np.searchsorted(np.array(after), first, "left")  # added tokens before each text
+        return np.insert(flat, borders[np.array(after) + 1], np.array(ids, np.uint32)), borders[first] + before
+
+
 _ENCODERS: dict[str, BatchEncoder] = {}
 
 
@@ -199,7 +245,7 @@ def token_pieces(
     kind = docs.schema[id_col].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer).encode_all
         for batch in batches:
             row = 0
             for texts in text_groups(batch.column(1)):

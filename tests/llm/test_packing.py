@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -76,3 +77,31 @@ def test_pieces_and_places(spark, tokenizer):
 
 def test_empty_table(spark):
     assert pack_sequences(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_added_tokens_have_their_own_ids(spark, tmp_path):
+    unchanged = Tokenizer.from_file(PATH)
+    assert unchanged.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    r = random.Random(5)
+    pieces = ["<|endoftext|>", "<|endoftext|", "|>", "a", " ", "  ", "\n", "'s", "'", "word", "é", "12", "!", "<", "<|pad|>", "<|pad|>x"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randint(0, 12))) for _ in range(2000)]
+    texts += ["", "<|endoftext|>", "<|endoftext|><|endoftext|>", "a <|endoftext|> b", " <|endoftext|>'s", "no token", "<|endoftext|>  "]
+    files = [PATH]
+    for name, flags in (("plain", {}), ("strips", {"lstrip": True, "rstrip": True}), ("words", {"single_word": True}), ("rounds", {"normalized": True})):
+        data = json.loads(open(PATH, encoding="utf-8").read())
+        base = data["added_tokens"][0]
+        data["added_tokens"] += [base | {"id": 50257, "content": "<|pad|>"}, base | {"id": 50258, "content": "<|pad|>x"} | flags]
+        files.append(str(tmp_path / f"{name}.json"))
+        open(files[-1], "w", encoding="utf-8").write(json.dumps(data))
+    for path in files:
+        whole = Tokenizer.from_file(path)
+        want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        encoder = BatchEncoder(path)
+        for part in range(0, len(texts), 500):
+            ids, borders = encoder.encode_all(texts[part : part + 500])
+            assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:])] == want[part : part + 500]
+    rows = [(1, "a <|endoftext|> b"), (2, "x <|endoftext|> " * 900), (3, None)]
+    got = {}
+    for g in sorted(pack_sequences(spark.createDataFrame(rows, "doc_id long, text string"), PATH).collect(), key=lambda g: (g.doc_id, g.piece)):
+        got.setdefault(g.doc_id, []).extend(np.frombuffer(g.ids, "<u4").tolist())
+    assert got == {i: [*unchanged.encode(t or "", add_special_tokens=False).ids, 2] for i, t in rows}
