@@ -352,18 +352,22 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of an edge; component: its smallest reachable node.
 
-    Each round takes the least label among neighbours (map-side combined minima), then the label's label.
+    Each round a node and the node that its label names take the least label among the node's neighbours (map-side combined
+    minima), then the label's label. Labels only fall, and rounds go on until none moves; since whole trees of labels are hooked at
+    once, chains take rounds as the logarithm of their length, whatever the order of their ids.
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "components-edges")
     labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"))
     labels = materialise(labels, "components-labels")
-    for _ in range(rounds):
+    while True:
         known = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
         around = both.join(known, "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
-        step = labels.join(around.withColumnRenamed("a", "node"), "node", "left")
+        offers = labels.join(around.withColumnRenamed("a", "node"), "node").select(F.explode(F.array("node", "component")).alias("node"), "theirs")
+        offers = offers.groupBy("node").agg(F.min("theirs").alias("theirs"))
+        step = labels.join(offers, "node", "left")
         step = step.select("node", F.least("component", "theirs").alias("next"), "component")
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("beyond"))
         new = step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), F.col("component").alias("before"))
@@ -372,7 +376,6 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         labels = new.select("node", "component")
         if not moved:
             return labels
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:

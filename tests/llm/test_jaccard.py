@@ -93,3 +93,23 @@ def test_components_and_empty_table(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got.values()) == {0, 100, 200} and len(got) == 51 + 3 + 60
     assert similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_paths_in_any_order_of_ids(spark, monkeypatch):
+    r = random.Random(6)
+    falling, mixed, far = [0, *range(299, 0, -1)], r.sample(range(1000, 1600), 600), [2000, *range(3999, 2000, -1)]
+    edges = [e for path in (falling, mixed, far) for e in zip(path, path[1:])]
+    rounds = []
+    plain = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name, *a, **b: rounds.append(name) or plain(df, name, *a, **b))
+    got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: min(path) for path in (falling, mixed, far) for i in path}
+    assert rounds.count("components-labels") < 25
+
+
+def test_long_chains_of_texts_in_any_order_of_ids(spark):
+    r = random.Random(7)
+    chains = {"f": [0, *range(599, 0, -1)], "m": r.sample(range(1000, 1600), 600)}
+    rows = [(i, " ".join(f"{name}{k}" for k in range(7 * at, 7 * at + 60))) for name, ids in chains.items() for at, i in enumerate(ids)]
+    got = {x.doc_id: x.component_id for x in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: min(ids) for ids in chains.values() for i in ids}
