@@ -7,11 +7,12 @@ whose upper bound reaches the k-th best so far are computed again in double prec
 the queries' heaps of k. The bound is proven, so the result is exact (recall 1).
 
 A tile group meets one query block with a bounded number of candidate blocks; what it gives are k rows a query, which a window of rank k brings together.
-Of equal vectors, only the k + 1 with the smallest ids can be in a result, so the rest of a group of copies leaves before the tiles.
+Of equal vectors, only those of the k + 1 smallest ids can be in a result, and of one id's no more than k rows, so the rest of a group of copies
+leaves before the tiles.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a null id takes no part; vectors of different length are not
 compared; ties go to the smaller id; with fewer than k candidates all are returned; repeated ids are candidates each,
-and a query never meets a row with its own id; empty tables give an empty result.
+and a query never meets a row with its own id; equal query rows are one query, and a query id with several vectors has the best k of all of them together; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -135,8 +136,10 @@ def nearest(queries: DataFrame, candidates: DataFrame, *, id_col: str = "vec_id"
     """(query_id, rank, vec_id, score): each query's k largest inner products, its own id left out."""
     spark = candidates.sparkSession
     rank = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    pool = _usable(candidates, id_col, vector_col).withColumn("copy", rank).filter(F.col("copy") <= k + 1).select("id", "v")
-    left = materialise(_blocks(_usable(queries, id_col, vector_col), by_bytes=False), "nearest-queries")
+    pool = _usable(candidates, id_col, vector_col).groupBy("id", "v").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("rows"))
+    pool = pool.withColumn("copy", rank).filter(F.col("copy") <= k + 1)
+    pool = pool.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select("id", "v")
+    left = materialise(_blocks(_usable(queries, id_col, vector_col).distinct(), by_bytes=False), "nearest-queries")
     right = materialise(_blocks(pool, by_bytes=True), "nearest-candidates")
     n_left, n_right = left.count(), right.count()
     wanted = 4 * max(spark.sparkContext.defaultParallelism, 1)

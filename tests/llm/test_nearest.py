@@ -54,3 +54,19 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     one = spark.createDataFrame([(20, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert nearest(empty, empty).count() == 0 and nearest(one, one).count() == 0 and nearest(one, empty).count() == 0
+
+
+def test_repeated_rows(spark):
+    r = np.random.default_rng(8)
+    same, other, far = ([float(x) for x in r.normal(size=8).astype(np.float32)] for _ in range(3))
+    rows = [(20, same)] * 5 + [(i, same) for i in range(21, 51)] + [(i, other) for i in (40, 41, 42)] + [(7, far)] * 30 + [(60, far)] * 3
+    kind = "vec_id long, embedding array<float>"
+    once = [(20, same), (60, far)]
+    candidates = spark.createDataFrame(rows, kind)
+    got = [tuple(g) for g in nearest(spark.createDataFrame(once * 3, kind), candidates, k=20).collect()]
+    want = []
+    for i, q in once:
+        found = sorted((-sum(float(x) * float(y) for x, y in zip(q, v)), j) for j, v in rows if j != i)[:20]
+        want += [(i, rank + 1, j, -s) for rank, (s, j) in enumerate(found)]
+    assert sorted(got) == sorted(want)
+    assert [g[2] for g in sorted(got) if g[0] == 60] == [7] * 20
