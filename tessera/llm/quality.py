@@ -207,8 +207,9 @@ def sample_rated(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: st
     rated = ratings.select(F.col(id_col).alias("r_id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("grade").between(0, levels - 1) & F.col("r_id").isNotNull())
     rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("r_id"), "r_id"))
     few = rated.withColumn("rank", rank).filter(F.col("rank") <= sample // levels).drop("rank")
-    # bounded by sample
-    return docs.select(F.col(id_col).alias("r_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "r_id").select("text", "grade")
+    # bounded by sample; a rating counts once, with the smallest of its id's texts, however many rows have that id
+    met = docs.select(F.col(id_col).alias("r_id"), F.col(text_col).alias("text")).join(F.broadcast(few), "r_id")
+    return met.groupBy("r_id", "grade").agg(F.min("text").alias("text")).select("text", "grade")
 
 
 def train(sampled: DataFrame, levels: int) -> OrdinalModel | None:

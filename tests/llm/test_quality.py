@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
+from tessera.llm import quality
 from tessera.llm.quality import classify, features, fit_ordinal, graded
 
 
@@ -53,3 +54,10 @@ def test_no_labels_and_empty_table(spark):
     assert classify(docs.limit(0), none).count() == 0
     labels = spark.createDataFrame([(1, 0, 0), (2, 1, 1), (3, 1, 0), (4, None, 0)], "doc_id long, quality int, toxic int")
     assert [r.grade for r in graded(labels).orderBy("doc_id").collect()] == [1, 1, 2, None]
+
+
+def test_sample_is_bounded_where_ids_repeat(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 50}") for k in range(3000)] + [(k, f"own {k}") for k in range(2, 12)] + [(12, None)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(k, k % 3) for k in range(1, 13)], "doc_id long, grade int")
+    got = quality.sample_rated(docs, ratings, levels=3, sample=30).collect()
+    assert sorted((g.text or "", g.grade) for g in got) == sorted([("text 0", 1), ("", 0), *((f"own {k}", k % 3) for k in range(2, 12))])
