@@ -11,13 +11,15 @@ copy goes to the documents that come first in Pareto order, the order of
 with U a random number fixed by seed, id and text and p the fractional part (the inclusion probability). The sample's size is fixed in words:
 the order is followed until the source's target is reached (to the nearest document).
 
-Documents of over 2% of what their source needs are drawn first (a few dozen for a rate that is not tiny); the others then fill
-what is left. The order is never sorted as a whole. A histogram of 65,536 cells per source, pre-aggregated before its shuffle and
-summed in two levels of 256, shows the cell in which the target falls; only that cell's documents are sorted.
+The order is never sorted as a whole. A histogram of 65,536 cells per source, pre-aggregated before its shuffle and
+summed in two levels of 256, shows the cell in which the target falls; only that cell's documents are sorted. The order is followed as far as
+no document goes beyond the target. Where a long document at this cut leaves over ``TOLERANCE`` of the target open, the order is followed further among those of up to
+a quarter of what is left, and again, till little is left or nothing fits; what is left at last is filled as nearly as any one document can.
 
 Defined results: null text has size 0; a null source is a source of its own; rows with equal id, text and source share their
-fate (each counts); an empty table gives an empty table; a source without words
-has target 0 and takes nothing; the output column replaces an input column of the same name.
+fate (each counts), and go through the order as one; equal ranks go together; a very long text is one document and counts whole; an empty table gives an empty
+table; a source without words has target 0 and takes nothing; a rate that is a whole number but for rounding gives whole copies only; the
+output column replaces an input column of the same name, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from .common import WORD_PATTERN, materialise
 #: A table of one row per source is broadcast up to so many sources, else joined by shuffle.
 BROADCAST_SOURCES = 100_000
 CELLS = 256
-#: A document is long if it is over this part of its source's need.
-LONG = 0.02
+#: A rate this near below a whole number is that number.
+ROUNDING = 1e-9
+#: What may be left open of a target while shorter documents could fill it, but for one document at last.
+TOLERANCE = 0.001
 
 
 def word_count(text: Column) -> Column:
@@ -76,7 +80,7 @@ def _draw(df: DataFrame, id_col: str, text_col: str, seed: int) -> Column:
 
 def _place(rate: Column, draw: Column) -> tuple[Column, Column]:
     """Certain copies and the Pareto rank, mapped to (0, 1) in its own order."""
-    whole = F.floor(rate)
+    whole = F.floor(rate + ROUNDING)
     p = F.least(F.greatest(rate - whole, F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = (draw / (1 - draw)) / (p / (1 - p))
     return whole, odds / (1 + odds)
@@ -132,23 +136,9 @@ def mix_sources(
     need = with_goal(given, goals.select("src", "target")).select("src", (F.col("_g_target") - F.col("certain")).alias("need"))
     need = materialise(need, "mix-need")
 
-    # long documents first, by themselves: at most 1 / LONG of them fill a need, and the others make good what they miss
-    more = with_goal(placed.filter(open_to_more), need).withColumn("long", F.col("size") > F.col("_g_need") * LONG)
-    by_rank = Window.partitionBy("src").orderBy("rank", "size")
-    upto = by_rank.rowsBetween(Window.unboundedPreceding, -1)
-    chance = F.least(F.greatest(rate - F.col("whole"), F.lit(0.0)), F.lit(1.0))
-    long_docs = more.filter("long").withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    long_docs = long_docs.withColumn("share", F.sum(chance * F.col("size")).over(Window.partitionBy("src")))
-    fits = F.col("before") + F.col("size") / 2 <= F.col("share")
-    long_cut = long_docs.groupBy("src").agg(F.max(F.when(fits, F.col("rank"))).alias("cut"), F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("got"))
-    long_cut = materialise(long_cut, "mix-long")
-    left = with_goal(need, long_cut.select("src", "got"))
-    left = left.select("src", (F.col("need") - F.coalesce(F.col("_g_got"), F.lit(0))).alias("need"))
-
+    more = with_goal(placed.filter(open_to_more), need)
     cell = F.least((F.col("rank") * (CELLS * CELLS)).cast("int"), F.lit(CELLS * CELLS - 1))
-    short_docs = more.filter("NOT long").withColumn("cell", cell).drop("_g_need")
-    cells = short_docs.groupBy("src", "cell").agg(F.sum("size").alias("more"))
-    cells = materialise(cells.withColumn("coarse", F.floor(F.col("cell") / CELLS)), "mix-cells")
+    ranked = more.filter("_g_need > 0").select("src", "size", "rank", cell.alias("cell"))
 
     def crossing(sums: DataFrame, by: str) -> DataFrame:
         """Of (src, by, more, need): the cell in which the need is met, and the need that is left there."""
@@ -158,22 +148,60 @@ def mix_sources(
         last = found.groupBy("src").agg(F.max(F.struct(F.col(by).alias("by"), (F.col("need") - F.col("before")).alias("need"))).alias("at"))
         return last.select("src", F.col("at.by").alias(by), F.col("at.need").alias("need"))
 
-    sums = cells.groupBy("src", "coarse").agg(F.sum("more").alias("more"))
-    at = crossing(with_goal(sums, left).withColumnRenamed("_g_need", "need"), "coarse")
-    at = at.select(F.col("src").alias("_a"), F.col("coarse").alias("_c"), "need")
-    fine = cells.join(held(at), F.col("src").eqNullSafe(F.col("_a")) & (F.col("coarse") == F.col("_c")))
-    at = materialise(crossing(fine.select("src", "cell", "more", "need"), "cell"), "mix-crossings")
-    edge = at.select(F.col("src").alias("_a"), F.col("cell").alias("_c"), "need")
-    inner = short_docs.join(held(edge), F.col("src").eqNullSafe(F.col("_a")) & (F.col("cell") == F.col("_c")))
-    inner = inner.withColumn("before", F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    cut = inner.groupBy("src").agg(F.max(F.when(F.col("before") + F.col("size") / 2 <= F.col("need"), F.col("rank"))).alias("cut"))
-    # where no document of the cell fits, the cell's lower border is the cut
-    cuts = at.select("src", (F.col("cell") / F.lit(float(CELLS * CELLS))).alias("below"))
-    cuts = with_goal(cuts, cut).select("src", F.coalesce(F.col("_g_cut"), F.col("below")).alias("cut"), F.col("_g_cut").isNotNull().alias("closed"))
-    final = with_goal(goals.drop("weight", "mass"), need).withColumnRenamed("_g_need", "need")
-    final = with_goal(final, cuts).withColumnsRenamed({"_g_cut": "cut", "_g_closed": "closed"})
-    final = with_goal(final, long_cut.select("src", "cut")).withColumnRenamed("_g_cut", "long_cut")
-    final = materialise(final, "mix-plan")
+    def follow(some: DataFrame, need: DataFrame) -> DataFrame:
+        """(src, cut, closed, rest): how far the order of ``some`` is followed till no more fits the need, and what is left of it."""
+        cells = some.groupBy("src", "cell").agg(F.sum("size").alias("more"))
+        cells = materialise(cells.withColumn("coarse", F.floor(F.col("cell") / CELLS)), "mix-cells")
+        sums = cells.groupBy("src", "coarse").agg(F.sum("more").alias("more"))
+        at = crossing(with_goal(sums, need).withColumnRenamed("_g_need", "need"), "coarse")
+        at = at.select(F.col("src").alias("_a"), F.col("coarse").alias("_c"), "need")
+        fine = cells.join(held(at), F.col("src").eqNullSafe(F.col("_a")) & (F.col("coarse") == F.col("_c")))
+        at = materialise(crossing(fine.select("src", "cell", "more", "need"), "cell"), "mix-crossings")
+        edge = at.select(F.col("src").alias("_a"), F.col("cell").alias("_c"), "need")
+        inner = some.join(held(edge), F.col("src").eqNullSafe(F.col("_a")) & (F.col("cell") == F.col("_c")))
+        inner = inner.groupBy("src", "rank").agg(F.sum("size").alias("size"), F.first("need").alias("need"))  # equal rows are one step of the order
+        upto = Window.partitionBy("src").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+        inner = inner.withColumn("so_far", F.sum("size").over(upto)).filter("so_far <= need")
+        cut = inner.groupBy("src").agg(F.max("rank").alias("cut"), F.max("so_far").alias("got"))
+        # where no document of the cell fits, the cell's lower border is the cut
+        cuts = at.select("src", (F.col("cell") / F.lit(float(CELLS * CELLS))).alias("below"), "need")
+        rest = F.col("need") - F.coalesce("_g_got", F.lit(0))
+        return with_goal(cuts, cut).select("src", F.coalesce("_g_cut", "below").alias("cut"), F.col("_g_cut").isNotNull().alias("closed"), rest.alias("rest"))
+
+    def within(cut: Column, closed: Column) -> Column:
+        return F.when(closed, F.col("rank") <= cut).otherwise(F.col("rank") < cut)
+
+    # (src, steps, rest): the cuts so far, each for documents of up to so many words
+    step = lambda limit: F.array(F.struct(limit.cast("double").alias("limit"), "cut", "closed"))
+    cuts = materialise(follow(ranked, need).select("src", step(F.lit(float("inf"))).alias("steps"), "rest"), "mix-cuts")
+    while True:
+        wide = with_goal(cuts, goals.select("src", "target")).filter(F.col("rest") > TOLERANCE * F.col("_g_target"))
+        wide = wide.select("src", (F.col("rest") / 4).alias("limit"), "rest", F.element_at("steps", -1).alias("at"))
+        left = with_goal(ranked, wide).filter((F.col("size") <= F.col("_g_limit")) & ~within(F.col("_g_at.cut"), F.col("_g_at.closed")))
+        left = left.select("src", "size", "rank", "cell")
+        if not wide.limit(1).count() or not left.limit(1).count():
+            break
+        further = with_goal(follow(left, wide.select("src", F.col("rest").alias("need"))), wide.select("src", "limit"))
+        further = further.select("src", step(F.col("_g_limit")).alias("more"), "rest")
+        both = with_goal(cuts, further)
+        new = both.select("src", F.concat("steps", F.coalesce("_g_more", F.slice("steps", 1, 0))).alias("steps"), F.coalesce("_g_rest", "rest").alias("rest"))
+        # a source for which nothing was left keeps what it has; no step is made twice, as each leaves at most a quarter or takes all that fits
+        cuts = materialise(new, "mix-cuts")
+
+    def taken_by(steps: Column) -> Column:
+        return F.exists(steps, lambda s: (F.col("size") <= s["limit"]) & within(s["cut"], s["closed"]))
+
+    # one more of those behind: of the size that is nearest to what is left, and of these the first in order
+    behind = with_goal(ranked.select("src", "size", "rank"), cuts).filter(~taken_by(F.col("_g_steps")) & (F.col("size") < 2 * F.col("_g_rest")))
+    off = F.abs(F.col("_g_rest") - F.col("size"))
+    nearest = behind.groupBy("src").agg(F.min(F.struct(off.alias("off"), F.col("size"))).alias("best")).select("src", F.col("best.size").alias("best"))
+    nearest = with_goal(behind.withColumnRenamed("_g_rest", "rest").select("src", "size", "rank", "rest"), nearest).filter(F.col("size") == F.col("_g_best"))
+    nearest = nearest.groupBy("src", "rank").agg(F.sum("size").alias("size"), F.first("rest").alias("rest")).filter(F.abs(F.col("rest") - F.col("size")) < F.col("rest"))
+    last = nearest.groupBy("src").agg(F.min(F.struct(F.abs(F.col("rest") - F.col("size")).alias("off"), "rank")).alias("best"))
+    last = last.select("src", F.col("best.rank").alias("last"))
+
+    final = with_goal(goals.drop("weight", "mass"), cuts.select("src", "steps")).withColumnRenamed("_g_steps", "steps")
+    final = materialise(with_goal(final, last).withColumnRenamed("_g_last", "last"), "mix-plan")
 
     keep = [c for c in docs.columns if c != into]
     out = docs.select(
@@ -184,9 +212,8 @@ def mix_sources(
         own.alias("own"),
     )
     out = with_goal(out, final).withColumn("whole", whole).withColumn("rank", rank)
-    within = F.when(F.col("_g_closed"), F.col("rank") <= F.col("_g_cut")).otherwise(F.col("rank") < F.col("_g_cut"))
-    is_long = F.col("size") > F.col("_g_need") * LONG
-    extra = open_to_more & F.coalesce(F.when(is_long, F.col("rank") <= F.col("_g_long_cut")).otherwise(within), F.lit(False))
+    taken = F.coalesce(taken_by(F.col("_g_steps")), F.lit(False)) | F.coalesce(F.col("rank") == F.col("_g_last"), F.lit(False))
+    extra = open_to_more & taken
     copies = (F.col("whole") + F.when(extra, 1).otherwise(0)).cast("int")
     out = out.withColumn("copies", copies)
     return out.select(

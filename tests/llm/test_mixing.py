@@ -61,3 +61,37 @@ def test_empty_table_and_empty_sources(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
     got = mix_sources(spark.createDataFrame([(1, None, "a", None, None, None), (2, "", "b", None, None, None)], SCHEMA)).collect()
     assert [(g.mix.taken, g.mix.copies) for g in got] == [(0, 0), (0, 0)]
+
+
+def taken_and_target(got):
+    taken, target = defaultdict(int), {}
+    for g in got:
+        taken[g.source] += g.mix.taken
+        target[g.source] = g.mix.target
+    return {s: (taken[s], target[s]) for s in taken}
+
+
+@pytest.mark.parametrize("weights", [(5.0, 2.0, 1.0), (3.0,), (0.7,)])
+def test_one_source_is_taken_once(spark, weights):
+    for source in ("only", None):
+        data = [(i, "w " * (1 + i % 50), source) for i in range(500)]
+        got = mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=weights).collect()
+        assert {g.mix.copies for g in got} == {1}
+
+
+def test_whole_rates_give_whole_copies(spark):
+    data = [(i, "w w w w", "a") for i in range(100)] + [(i, "w w w w", "b") for i in range(100, 400)]
+    got = mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(1.0, 1.0), max_repeat=3).collect()
+    assert {g.mix.copies for g in got if g.source == "a"} == {2}
+    assert taken_and_target(got) == {"a": (800, 800.0), "b": (800, 800.0)}
+
+
+def test_very_long_documents_cost_no_accuracy(spark):
+    import random
+
+    r = random.Random(3)
+    data = [(i, "w " * (r.choice([4000, 9000, 20000]) if i % 100 == 0 else r.randint(1, 60)), r.choice("ab")) for i in range(3000)] + [(5000, "w " * 3, "a")] * 40
+    got = mix_sources(spark.createDataFrame(data, "doc_id long, text string, source string"), weights=(5.0, 2.0), max_repeat=3).collect()
+    for taken, target in taken_and_target(got).values():
+        assert abs(taken - target) <= 30
+    assert len({g.mix.copies for g in got if g.doc_id == 5000}) == 1
