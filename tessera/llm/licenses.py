@@ -1,11 +1,13 @@
 """License scans: MinHash bands over overlapping windows, then exact shingle containment.
 
 Text and templates are normalised to words of ASCII letters and digits and other letters (everything else separates) and shingled by five words. Templates
-are grouped by length; each group's windows are as long as its longest template and overlap by three quarters. Bands have
-one row, so a window retrieves a template as soon as they share one of the group's minima; the number of bands follows from the least
-Jaccard similarity that a window beside a match can have, so that a match is retrieved with probability ``CERTAINTY``.
-Only retrieved (window, template) pairs are verified: the template's shingles found near the window must
-be at least ``min_containment`` of all of them.
+are grouped by length. A match is a stretch of a text, of up to ``STRETCH`` times its template's length, that holds at least ``min_containment`` of the
+template's shingles; words between these may be others. Each group's windows are ``STRETCH`` times as long as its longest template and begin
+every quarter of the template, or closer where a low ``min_containment`` leaves less to be found. They begin anew in every text, so what is retrieved from
+a text doesn't depend on others. Bands have one row, so a window retrieves a template as soon as they share one of the group's minima; the number of bands follows
+from the least Jaccard similarity that the window nearest to a match can have, so that a match is retrieved with probability ``CERTAINTY``.
+Only retrieved (window, template) pairs are verified, within the window and a template's length on either side: runs of the template's shingles that lie within one template
+length of each other must hold at least ``min_containment`` of all of them.
 
 A template of under five words is one shingle of its own length. It is looked up at every word of the texts, by the hash of as many words, and
 found wherever these words stand.
@@ -13,8 +15,9 @@ found wherever these words stand.
 Templates are a parameter (about a kilobyte each), sent to every task; DEFAULT_NOTICES holds well-known license notices. Notices of a family
 share most of their wording, so one passage may be found as several of them; ``containment`` tells them apart.
 
-Defined results: null and empty texts give no row; a text shorter than a template can still match by containment; a template without words is never found; overlapping
-finds of one template are one row; repeated rows give their rows each; an empty table gives no row.
+Defined results: null and empty texts give no row; a text shorter than a template can still match by containment; a template without words is never found; finds
+of one template within its length of each other are one row; of several templates in one place each has its row (ties too); a null id is kept; repeated rows give their rows each; very long texts are
+scanned whole; other columns are not read, so their names cannot clash; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from .common import SHINGLE_WORDS, as_chunks, lower_ascii, mix64, shingle_hashes
 
 MIN_CONTAINMENT = 0.75
 CERTAINTY = 0.9999
+#: A match is at most so many times as long as its template.
+STRETCH = 1.5
 #: Templates of one group differ in length by this factor at most.
 GROUP_RATIO = 1.25
 
@@ -146,6 +151,8 @@ DEFAULT_NOTICES: dict[str, str] = {
     ),
 }
 
+#: Above any hash that a band looks up.
+_NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
 _WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _WORD[_a:_b] = True
@@ -202,12 +209,14 @@ class Scanner:
             least = self.lengths[order[0]]
             own = [i for i in order if self.lengths[i] <= max(least, int(least * GROUP_RATIO))]
             order = order[len(own) :]
-            window = max(self.lengths[i] for i in own)
-            stride = max(1, window // 4)
-            # a window beside a match misses up to half a stride of it, and holds as much else besides
-            small = len(self.sets[own[0]])
-            found = ceil(min_containment * small) - stride / 2
-            jaccard = 1.0 if window == 1 else max(0.05, found / (window + small - found))
+            longest = max(self.lengths[i] for i in own)
+            small = min(len(self.sets[i]) for i in own)
+            wanted = max(1, ceil(min_containment * small))
+            stride = max(1, min(longest // 4, wanted))
+            # the nearest window has a whole match but for up to half a stride of it; a window's length is one of whole strides
+            window = -(-ceil(STRETCH * longest) // stride) * stride
+            found = wanted - stride // 2
+            jaccard = 1.0 if window == 1 else found / (window + small - found)
             group = _Group(window, stride, bands_needed(jaccard), own)
             for k in range(group.bands):
                 table: dict[int, list[int]] = defaultdict(list)
@@ -223,25 +232,28 @@ class Scanner:
     def _order(shingles: np.ndarray, k: int) -> np.ndarray:
         return mix64(shingles ^ np.uint64((k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
 
-    def _retrieve(self, shingles: np.ndarray) -> set[tuple[int, int, int]]:
-        """(template, first shingle, end shingle) of windows that share a band with a template."""
-        n, out = len(shingles), set()
+    def _retrieve(self, shingles: np.ndarray, own: np.ndarray, borders: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """(text, template, first shingle, end shingle) of windows that share a band with a template."""
+        out: set[tuple[int, int, int, int]] = set()
         orders: list[np.ndarray] = []
+        lengths = np.diff(borders)
         for g in self.groups:
-            starts = np.arange(0, n, g.stride)
+            strides = -(-lengths // g.stride)
+            text = np.repeat(np.arange(len(lengths)), strides)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(strides) - strides, strides)
+            starts = borders[text] + place * g.stride
+            parts = g.window // g.stride
             for k in range(g.bands):
                 if k == len(orders):
-                    orders.append(self._order(shingles, k))
+                    orders.append(np.where(own, self._order(shingles, k), _NEVER))
                 least = np.minimum.reduceat(orders[k], starts)
-                # a window is `parts` strides long
-                parts = -(-g.window // g.stride)
-                window = least
+                window = least.copy()
                 for shift in range(1, min(parts, len(least))):
-                    window = window.copy() if window is least else window
-                    window[:-shift] = np.minimum(window[:-shift], least[shift:])
+                    same = text[shift:] == text[:-shift]
+                    window[:-shift] = np.where(same, np.minimum(window[:-shift], least[shift:]), window[:-shift])
                 for at in np.flatnonzero(g.filters[k][(window >> np.uint64(48)).astype(np.int64)]).tolist():
                     for t in g.tables[k].get(int(window[at]), ()):
-                        out.add((t, at * g.stride, at * g.stride + parts * g.stride))
+                        out.add((int(text[at]), t, int(starts[at]), min(int(starts[at]) + g.window, int(borders[text[at] + 1]))))
         return out
 
     def scan(self, column: pa.Array) -> Iterator[tuple[int, str, int, int, float]]:
@@ -250,24 +262,21 @@ class Scanner:
             starts, ends = plain_spans(data, offsets)
             words = span_hashes(lower_ascii(data), starts, ends)
             borders = words_per_text(offsets, starts)
-            # one shingle per starting word; near a text's end they would run over into the next text and are set apart
+            # one shingle per starting word; near a text's end they would run over into the next text and count for nothing
             every = np.full(len(words), 0, np.uint64)
             full = shingle_hashes(words)
             every[: len(full)] = full
             own = np.ones(len(words), bool)
             for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
                 own[max(a, b - SHINGLE_WORDS + 1) : b] = False
-            every = np.where(own, every, mix64(np.arange(len(words), dtype=np.uint64) + np.uint64(0xABCDEF)))
             if not len(every):
                 continue
             for row, t, a, b in self._short_finds(words, borders):
                 yield first + row, self.names[t], a, b, 1.0
             spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-            for t, a, b in self._retrieve(every):
-                lo, hi = np.searchsorted(borders, [a, min(b, len(every)) - 1], "right") - 1
+            for doc, t, a, b in self._retrieve(every, own, borders):
                 reach = self.lengths[t]
-                for doc in range(int(lo), int(hi) + 1):
-                    spans[doc, t].append((max(a - reach, int(borders[doc])), min(b + reach, int(borders[doc + 1]))))
+                spans[doc, t].append((max(a - reach, int(borders[doc])), min(b + reach, int(borders[doc + 1]))))
             for (doc, t), places in sorted(spans.items()):
                 places.sort()
                 merged = [list(places[0])]
@@ -306,7 +315,7 @@ class Scanner:
         hits = np.flatnonzero(own[a:b] & np.isin(every[a:b], wanted)) + a
         if len(hits) == 0:
             return
-        reach = max(self.lengths[t] // 4, SHINGLE_WORDS) + 1
+        reach = max(self.lengths[t], SHINGLE_WORDS)
         for run in np.split(hits, np.flatnonzero(np.diff(hits) > reach) + 1):
             containment = len(np.unique(every[run])) / len(wanted)
             if containment >= self.min_containment:

@@ -46,7 +46,8 @@ def test_planted_notices_are_found(spark):
 def test_own_templates_and_empty_table(spark):
     templates = {"short": "all rights reserved", "line": "do what you want with this"}
     got = scan_licenses(spark.createDataFrame([(1, "x All rights reserved"), (2, "all RIGHTS, reserved."), (3, "so: do what you want with this ok")], "doc_id long, text string"), templates)
-    assert {(g.doc_id, g.license) for g in got.collect()} == {(2, "short"), (3, "line")}
+    # a short template is found inside a longer text as well
+    assert {(g.doc_id, g.license) for g in got.collect()} == {(1, "short"), (2, "short"), (3, "line")}
     assert len(Scanner(templates).groups) >= 1
     assert scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -73,3 +74,40 @@ def test_default_notices_hold_the_families(spark):
     for g in got:
         best.setdefault(g.doc_id, []).append((g.containment, g.license))
     assert all((1.0, n) in best[i] for i, n in enumerate(names))
+
+
+def best_stretch(words, wanted, length):
+    """Greatest part of the template's shingles in any stretch of so many words."""
+    every = [tuple(words[j : j + 5]) for j in range(len(words) - 4)]
+    return max((len(set(every[j : j + length]) & wanted) / len(wanted) for j in range(max(1, len(every) - length + 1))), default=0.0)
+
+
+def test_matches_with_insertions_are_all_found(spark):
+    """Whatever holds three quarters of a notice in a stretch of one and a half times its length is found."""
+    r = random.Random(9)
+    rows, want = [], set()
+    names = [n for n in sorted(DEFAULT_NOTICES) if len(plain(DEFAULT_NOTICES[n])) >= 12]
+    for i in range(400):
+        name = r.choice(names)
+        w = plain(DEFAULT_NOTICES[name])
+        text = list(w)
+        for _ in range(2):
+            at = r.randrange(1, len(text))
+            text[at:at] = [f"ins{r.randrange(99)}" for _ in range(r.randint(1, max(1, len(w) // 6)))]
+        noise = lambda: [f"word{r.randrange(3000)}" for _ in range(r.randrange(120))]
+        text = [*noise(), *text, *noise()]
+        if best_stretch(text, shingles(w), int(1.5 * (len(w) - 4))) >= 0.75:
+            want.add((i, name))
+        rows.append((i, " ".join(text)))
+    one = {(g.doc_id, g.license) for g in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    many = {(g.doc_id, g.license) for g in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()}
+    assert len(want) > 150 and want <= one
+    assert one == many  # what a text's neighbours are makes no difference
+
+
+def test_bands_for_low_containment():
+    for least in (0.02, 0.1, 0.75, 1.0):
+        for g in Scanner(DEFAULT_NOTICES, least).groups:
+            assert g.bands >= 1 and g.window % g.stride == 0
+            small = min(len(Scanner(DEFAULT_NOTICES, least).sets[i]) for i in g.names[:1])
+            assert g.stride <= max(1, least * small + 1)
