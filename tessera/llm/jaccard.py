@@ -567,7 +567,8 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         same = found.join(mixed.select("id", "x"), "id", "left").withColumn("component", F.coalesce("component", "x")).drop("x")
         same = same.join(merged.toDF("component", "final"), "component", "left")
         found = materialise(same.select("id", "n", F.coalesce("final", "component").alias("component")), "jaccard-found")
-    least = found.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least"))
+    # written, so that the join's own exchange of a large component can be split
+    least = materialise(found.filter("component IS NOT NULL").groupBy("component").agg(F.min("id").alias("least")), "jaccard-least")
     out = found.join(least, "component", "left").withColumn("least", F.coalesce("least", "id"))
     shown = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
     return out.select(shown("id").alias("doc_id"), F.col("n").alias("n_shingles"), shown("least").alias("component_id"))
