@@ -74,6 +74,19 @@ def with_field(df: DataFrame, name: str, ddl: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name != name] + StructType.fromDDL(f"`{name}` {ddl}").fields)
 
 
+def by_place(df: DataFrame) -> DataFrame:
+    """df with columns named by their places, for Python batches: other names may hold dots."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,11 +5,13 @@ go on pops the longest piece on its path and fails to the node that the rest of
 popped on the way is computed with the failure link, once for each node, so that a word's length in pieces is a sum of
 numbers read along its bytes: no piece is ever cut out or looked up.
 
-Here all distinct words of an Arrow batch go through the automaton together, one byte position at a time (numpy).
+Here all distinct words of an Arrow batch go through the automaton together, one byte position at a time (numpy), while
+there are ``TOGETHER`` of them that long; the rest of the few longer ones is read byte by byte.
 
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``; a word with a stretch that no piece matches counts as one
-unknown piece; null and empty texts have 0 words and 0 pieces; repeated rows are counted each; further columns are
-kept (an input column named like the output is replaced).
+unknown piece; null and empty texts have 0 words and 0 pieces; repeated rows are counted each; very long texts and words are
+counted whole, in time linear in their length; there are no ties (the longest match is one); an empty table gives an empty table; further
+columns are kept, whatever their names (an input column named like the output is replaced).
 """
 
 from __future__ import annotations
@@ -21,13 +23,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import as_chunks, span_hashes, word_spans, words_per_text
+from .common import as_chunks, by_place, span_hashes, word_spans, words_per_text
 
 NONE = -1
 #: Failure link of a node from which no piece can be popped: the word is unknown.
 LOST = -2
+#: Words that make a step of all of them together worth while.
+TOGETHER = 48
 
 
 class Automaton:
@@ -63,6 +67,7 @@ class Automaton:
                 u, count = fail[u], count + popped[u]
             if u != LOST:
                 fail[v], popped[v] = edges[u * 256 + byte[v]], count
+        self.edges, self.links = edges, list(zip(fail, popped))
         self.fail, self.popped = np.array(fail, np.int64), np.array(popped, np.int64)
         keys = np.fromiter(edges.keys(), np.int64, len(edges))
         order = np.argsort(keys)
@@ -87,6 +92,20 @@ class Automaton:
             out[deep[hit]] = self.children[at[hit]]
         return out
 
+    def _walk(self, data: bytes, node: int, total: int) -> tuple[int, int]:
+        """Node and pieces popped after further bytes of one word; LOST for an unknown word."""
+        child, links = self.edges.get, self.links
+        for b in data:
+            to = child(node << 8 | b)
+            while to is None:
+                back, popped = links[node]
+                if back == LOST:
+                    return LOST, 0
+                node, total = back, total + popped
+                to = child(node << 8 | b)
+            node = to
+        return node, total
+
     def counts(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Pieces of each word data[start:end] (1 for an unknown word)."""
         n = len(starts)
@@ -98,6 +117,11 @@ class Automaton:
         for position, count in enumerate(alive_at.tolist()):
             live = order[:count]
             todo = live[~lost[live]]
+            if count < TOGETHER:
+                for k in todo.tolist():
+                    node[k], total[k] = self._walk(data[starts[k] + position : ends[k]].tobytes(), int(node[k]), int(total[k]))
+                lost[todo] = node[todo] == LOST
+                break
             sign = data[starts[todo] + position].astype(np.int64)
             while len(todo):
                 to = self._step(node[todo], sign)
@@ -169,7 +193,7 @@ def count_pieces(docs: DataFrame, vocabulary: str | tuple[str, ...], *, text_col
     """
     kept = [c for c in docs.columns if c not in (words, pieces)]
     at = docs.columns.index(text_col)
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add(words, "long").add(pieces, "long")
+    schema = StructType([f for f in docs.schema.fields if f.name in kept]).add(words, "long").add(pieces, "long")
     places = [docs.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,4 +204,4 @@ def count_pieces(docs: DataFrame, vocabulary: str | tuple[str, ...], *, text_col
             b = np.concatenate([x for _, x in found]) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in places], pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=[*kept, words, pieces])
 
-    return docs.mapInArrow(run, schema)
+    return by_place(docs).mapInArrow(run, schema)
