@@ -5,8 +5,9 @@ structure from there (chunk checksums, sizes, trailers) and so knows the length;
 gives the exact bytes of media inside media.
 
 Defined results: a null or empty value has no type and nothing embedded; a value that no validator accepts at its first byte keeps its
-declared type and is marked unconfirmed; a null text is stored as an empty one; equal texts give equal results; an empty table
-gives an empty table; further columns are kept by ``sniff_media`` (an input column named like the output is replaced).
+declared type and is marked unconfirmed; of media that begin at one byte the longest comes first; a null text is stored as an empty one; a very long
+value is read whole (a column's value is below 2 GB, so that sizes fit their 32-bit fields); equal texts and repeated rows give equal results; an empty table
+gives an empty table; further columns are kept by ``sniff_media``, whatever their names (an input column named like the output is replaced).
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, with_field
+from .common import by_place, materialise, with_field
 
 #: Payloads are padded to rows of so many samples.
 ROW = 576
@@ -86,10 +88,10 @@ def from_media(kind: str, data: bytes) -> tuple[bytes, str]:
     raise ValueError(f"no samples in {kind}")
 
 
-# -- validators: (bytes, offset) to length, or 0 ---------------------------------------------------------------
+# -- validators: (bytes, offset, end markers) to length, or 0 ---------------------------------------------------------------
 
 
-def _png(d: bytes, at: int) -> int:
+def _png(d: bytes, at: int, marks: Marks) -> int:
     p = at + 8
     first = True
     while p + 12 <= len(d):
@@ -103,7 +105,7 @@ def _png(d: bytes, at: int) -> int:
     return 0
 
 
-def _gif(d: bytes, at: int) -> int:
+def _gif(d: bytes, at: int, marks: Marks) -> int:
     def blocks(p: int) -> int:
         while p < len(d) and d[p]:
             p += 1 + d[p]
@@ -125,7 +127,7 @@ def _gif(d: bytes, at: int) -> int:
     return 0
 
 
-def _jpeg(d: bytes, at: int) -> int:
+def _jpeg(d: bytes, at: int, marks: Marks) -> int:
     p = at + 2
     while p + 4 <= len(d) and d[p] == 0xFF:
         kind, size = d[p + 1], struct.unpack_from(">H", d, p + 2)[0]
@@ -133,12 +135,12 @@ def _jpeg(d: bytes, at: int) -> int:
             return 0
         p += 2 + size
         if kind == 0xDA:
-            end = d.find(b"\xff\xd9", p)
+            end = marks.after(b"\xff\xd9", p)
             return end + 2 - at if end >= 0 else 0
     return 0
 
 
-def _wav(d: bytes, at: int) -> int:
+def _wav(d: bytes, at: int, marks: Marks) -> int:
     if at + 12 > len(d) or d[at + 8 : at + 12] != b"WAVE":
         return 0
     end = at + 8 + struct.unpack_from("<I", d, at + 4)[0]
@@ -152,7 +154,7 @@ def _wav(d: bytes, at: int) -> int:
     return end - at if p == end and b"fmt " in seen and b"data" in seen else 0
 
 
-def _bmp(d: bytes, at: int) -> int:
+def _bmp(d: bytes, at: int, marks: Marks) -> int:
     if at + 54 > len(d):
         return 0
     total, spare, start, head, width, height, planes, bits, packing = struct.unpack_from("<IIIIiiHHI", d, at + 2)
@@ -163,23 +165,53 @@ def _bmp(d: bytes, at: int) -> int:
     return total
 
 
-def _pdf(d: bytes, at: int) -> int:
-    end = d.rfind(b"%%EOF", at)
-    return end + 5 - at if end > at and d.find(b"startxref", at, end) > 0 else 0
+class Marks:
+    """End markers of a value, each kind found once for all hits, so that many hits cost no further passes."""
 
+    def __init__(self, data: bytes) -> None:
+        self.data = data
+        self.places: dict[bytes, list[int]] = {}
 
-def _zip(d: bytes, at: int) -> int:
-    p = d.find(b"PK\x05\x06", at)
-    while p >= 0:
-        if p + 22 <= len(d):
-            size, start, note = struct.unpack_from("<IIH", d, p + 12)
-            if at + start + size == p and d[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
-                return min(len(d), p + 22 + note) - at
-        p = d.find(b"PK\x05\x06", p + 1)
-    return 0
+    def all(self, mark: bytes) -> list[int]:
+        if mark not in self.places:
+            found, at = [], self.data.find(mark)
+            while at >= 0:
+                found.append(at)
+                at = self.data.find(mark, at + 1)
+            self.places[mark] = found
+        return self.places[mark]
+
+    def after(self, mark: bytes, at: int) -> int:
+        """First place of the mark from ``at`` on, or -1."""
+        found = self.all(mark)
+        k = bisect_left(found, at)
+        return found[k] if k < len(found) else -1
+
+    @cached_property
+    def archives(self) -> dict[int, int]:
+        """Archive's first byte to its length, from the end records; of several ends the first counts."""
+        d, out = self.data, {}
+        for p in self.all(b"PK\x05\x06"):
+            if p + 22 <= len(d):
+                size, start, note = struct.unpack_from("<IIH", d, p + 12)
+                at = p - size - start
+                if at >= 0 and d[at + start : at + start + 4] in (b"PK\x01\x02", b"PK\x05\x06"):
+                    out.setdefault(at, min(len(d), p + 22 + note) - at)
+        return out
+
+
+def _pdf(d: bytes, at: int, marks: Marks) -> int:
+    ends = marks.all(b"%%EOF")
+    end = ends[-1] if ends else -1
+    table = marks.after(b"startxref", at)
+    return end + 5 - at if end > at and 0 <= table < end - 8 else 0
+
+
+def _zip(d: bytes, at: int, marks: Marks) -> int:
+    return marks.archives.get(at, 0)
 
 
-def _gzip(d: bytes, at: int) -> int:
+def _gzip(d: bytes, at: int, marks: Marks) -> int:
     left = memoryview(d)[at:]
     reader = zlib.decompressobj(31)
     try:
@@ -191,7 +223,7 @@ def _gzip(d: bytes, at: int) -> int:
     return len(d) - at - len(reader.unused_data) if reader.eof else 0
 
 
-def _ogg(d: bytes, at: int) -> int:
+def _ogg(d: bytes, at: int, marks: Marks) -> int:
     p, end = at, 0
     while d[p : p + 4] == b"OggS" and p + 27 <= len(d):
         n = d[p + 26]
@@ -200,7 +232,7 @@ def _ogg(d: bytes, at: int) -> int:
     return end if 0 < end <= len(d) - at else 0
 
 
-SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int], int]]] = [
+SIGNATURES: list[tuple[bytes, str, Callable[[bytes, int, Marks], int]]] = [
     (b"\x89PNG\r\n\x1a\n", "image/png", _png),
     (b"GIF87a", "image/gif", _gif),
     (b"GIF89a", "image/gif", _gif),
@@ -229,12 +261,13 @@ def sniff(data: bytes) -> list[tuple[int, int, str]]:
     """(offset, length, type) of every confirmed medium, outer ones before those inside them."""
     out: list[tuple[int, int, str]] = []
     pages_until = -1
+    marks = Marks(data)
     for last, (k, size) in _automaton().iter(data.decode("latin-1")):
         _, kind, validate = SIGNATURES[k]
         at = last + 1 - size
         if kind == "audio/ogg" and at < pages_until:  # a later page of the same stream
             continue
-        if length := validate(data, at):
+        if length := validate(data, at, marks):
             out.append((at, length, kind))
             if kind == "audio/ogg":
                 pages_until = at + length
@@ -274,7 +307,7 @@ def sniff_media(df: DataFrame, *, media_col: str = "media", declared_col: str =
             found = [judge(m.as_py(), d) for m, d in zip(batch.column(where[media_col]), declared)]
             yield pa.RecordBatch.from_arrays([*[batch.column(where[c]) for c in kept], pa.array(found, _SNIFFED_ARROW)], names=[*kept, into])
 
-    return df.mapInArrow(run, schema)
+    return by_place(df).mapInArrow(run, schema)
 
 
 def carve(df: DataFrame, *, id_col: str, media_col: str = "media", into: str = "sniffed") -> DataFrame:

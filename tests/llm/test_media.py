@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import time
 import zipfile
 import zlib
 
@@ -63,3 +64,32 @@ def test_texts_round_trip(spark):
     assert same[0] == same[1]
     assert {k for k, _ in media._WRITERS} >= {g.media_type for g in got}
     assert stored_features(store_texts(spark.createDataFrame([], "doc_id long, text string"))).select(F.count("*")).first()[0] == 0
+
+
+def test_many_members_take_linear_time():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for k in range(20000):
+            z.writestr(f"{k}.txt", "PK")
+    data = out.getvalue()
+    begun = time.process_time()
+    assert sniff(b"x" + data) == [(1, len(data), "application/zip")]
+    assert sniff(b"%PDF-1.4 startxref " * 50000) == [] and sniff(b"PK\x03\x04" * 200000) == [] and sniff(JPEG[:-2] * 30000) == []
+    assert time.process_time() - begun < 10
+
+
+def test_archives_inside_archives():
+    inner = zipped()
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        z.writestr("inner.zip", inner)
+        z.writestr("b.png", to_png(padded(b"b")))
+    found = judge(out.getvalue(), "application/zip")
+    assert found["confirmed"] and sorted(e["type"] for e in found["embedded"]) == ["application/zip", "image/png"]
+    at = next(e for e in found["embedded"] if e["type"] == "application/zip")
+    assert out.getvalue()[at["offset"] : at["offset"] + at["length"]] == inner
+
+
+def test_columns_with_dots(spark):
+    got = sniff_media(spark.createDataFrame([(to_png(padded(b"a")), None, 3)], "media binary, declared string, `a.b` long"))
+    assert got.columns == ["media", "declared", "a.b", "sniffed"] and got.first().sniffed.type == "image/png"
