@@ -11,8 +11,8 @@ The model is fitted in one task on a bounded sample: at most ``SAMPLE`` rated do
 in hash order of id, of which near copies (a common smallest shingle hash under one of four orders) leave. The model (two megabytes) is sent to all tasks; scoring covers every row.
 
 Defined results: null and empty texts have no features and score as the thresholds say; unrated, null or foreign grades are not
-sampled; without any rated row every document has null scores and is kept; repeated rows are scored each; an input column
-named like the output is replaced.
+sampled; without any rated row every document has null scores and is kept; repeated rows are scored each; very long texts are scored whole; a tail equal to the
+threshold is kept; an empty table gives an empty table; further columns are kept, whatever their names (an input column named like the output is replaced).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_chunks, lower_ascii, mix64, shingle_sets, span_hashes, with_field, word_spans, words_per_text
+from .common import by_place, as_chunks, lower_ascii, mix64, shingle_sets, span_hashes, with_field, word_spans, words_per_text
 
 #: Hash spaces of words, of pieces of words, and of shapes, one after the other.
 WORD_BITS, GRAM_BITS, SHAPE_BITS = 18, 18, 12
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "text"
             struct = pa.StructArray.from_arrays([expected, tail, pa.array(keep)], names=["expected", "tail", "keep"])
             yield pa.RecordBatch.from_arrays([*[b.column(where[c]) for c in kept], struct], names=[*kept, into])
 
-    return docs.mapInArrow(run, schema)
+    return by_place(docs).mapInArrow(run, schema)
 
 
 def graded(labels: DataFrame) -> DataFrame:
