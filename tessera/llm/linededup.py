@@ -1,16 +1,17 @@
 """Removal of lines that many documents share, by a range-partitioned sort of line hashes.
 
-Only 128-bit hashes of line keys, ids and positions are shuffled, never text. The occurrences are range-partitioned and
-sorted by (hash, document downwards, position): the first document of a run keeps its lines, and when the run reaches
+To find shared lines, only 128-bit hashes of line keys, ids and positions are shuffled, no text: the occurrences are written once (so that
+the sampling of ranges does not make them again), range-partitioned and sorted by (hash, document downwards, position): the first document of a run keeps its lines, and when the run reaches
 ``min_docs`` documents the lines of all others are dropped, in one streaming pass with a few documents of look-ahead. Because
 document and position are part of the range key, a line that a third of all documents hold spreads over many partitions;
 the runs that touch a partition's border are put together afterwards from one summary row per partition and border.
 
-The result is one compressed bitmap of kept lines per document that loses any; ``kept_text`` applies it.
+The result (``keep_bitmaps``) is one compressed bitmap of kept lines per document that loses any. ``drop_shared_lines`` applies them: there,
+rows meet their bitmaps by a sorted shuffle, texts included, since the bitmaps grow with the documents.
 
 Defined results: a null or empty text has one empty line; a null id counts as one document, smaller than all others; rows with equal id and
 text get the same bitmap; rows with equal id and different text are one document (for counting and for keeping) with a
-bitmap each; an empty table gives no bitmap; further columns are left alone (an input column named like an output is replaced).
+bitmap each; lines that occur twice in a document count once and share their fate; very long texts are split whole; an empty table gives no bitmap; further columns are left alone (an input column named like an output is replaced).
 """
 
 from __future__ import annotations
@@ -133,7 +134,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     order = ["h1", "h2", F.col("no_doc").asc(), F.col("doc").desc(), F.col("mark"), F.col("pos")]
-    occ = _occurrences(docs, id_col, text_col, min_chars)
+    occ = materialise(_occurrences(docs, id_col, text_col, min_chars), "lines-occurrences")
     width = shuffle_width(spark)
     ranged = occ.repartitionByRange(width, *order).sortWithinPartitions(*order)
     found = materialise(ranged.mapInArrow(_stream(min_docs), _OUT), "lines-found")
