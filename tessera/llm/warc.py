@@ -1,17 +1,19 @@
 """WARC archives of captures, and their index by an external merge of sorted runs.
 
 Writing: payload digests (SHA-1) are pre-aggregated to the capture that keeps its payload (the largest id of equal payloads);
-all others become revisit records. Spark's own text writer writes them, with the record separator as line separator, so that any
-file system Spark knows will do; a task begins a new archive after about ``ARCHIVE_BYTES`` (before gzip; offsets are those of the
-unpacked archive).
+all others become revisit records. Every record is a gzip member of its own, so that a reader can seek to its offset and unpack it
+alone. Spark's own text writer writes them, with an empty gzip member as line separator, so that any
+file system Spark knows will do; a task begins a new archive after about ``ARCHIVE_BYTES`` (before gzip).
 
-Reading: every archive is read back whole (they are of bounded size) and parsed by record lengths; digests are checked.
+Reading: every archive is read back whole (they are of bounded size), member by member; record lengths and digests are checked.
 Its captures, sorted by URL key, time and id, are one run. The runs are cut at common splitters of (URL key, time, id): a
-range gets a sorted slice of every run, and a loser tree merges the slices. As the id is part of the key, a URL that a third of all captures share spreads
+range gets a sorted slice of every run, and a loser tree merges the slices. There are as many ranges as it takes for about ``RANGE_ROWS`` rows each, so a task's memory does not
+follow the data. As the id is part of the key, a URL that a third of all captures share spreads
 over many ranges. Ranges in order make the global capture history.
 
 Defined results: null payloads are empty; a null id is smaller than all others; rows with equal id and payload share
-their record type; a null url has an empty URL key; an empty table gives no archive and an empty history.
+their record type and are a record each; captures of equal URL key and time go by id; a null url has an empty URL key; a very long payload is one record in an archive
+of its own size; other columns are not read, so their names cannot clash; an empty table gives no archive and an empty history.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ ARCHIVE_BYTES = 8 << 20
 #: Captures of a merged range, about.
 RANGE_ROWS = 100_000
 SEPARATOR = b"\r\n\r\n"
+#: A gzip member of nothing: between the members that hold records.
+EMPTY_MEMBER = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, *[0] * 8])
 #: Captures without a date of their own are one second apart from here on.
 EPOCH = datetime(2020, 1, 1, tzinfo=timezone.utc)
 _NO_ID = -(1 << 63)
@@ -110,6 +114,29 @@ def parse_archive(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
         at = stop + 4
 
 
+def member(data: bytes) -> bytes:
+    """A gzip member of these bytes; equal bytes make equal members."""
+    packer = zlib.compressobj(2, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def members(data: memoryview, step: int = 1 << 14) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, length, unpacked bytes) of every gzip member that holds any."""
+    at = 0
+    while at < len(data):
+        reader, parts, end = zlib.decompressobj(31), [], at
+        while not reader.eof:
+            if end >= len(data):
+                raise ValueError(f"gzip member at byte {at} has no end")
+            piece = data[end : end + step]
+            parts.append(reader.decompress(piece))
+            end += len(piece)
+        end -= len(reader.unused_data)
+        if unpacked := b"".join(parts):
+            yield at, end - at, unpacked
+        at = end
+
+
 class LoserTree:
     """k-way merge: inner nodes hold the losers, so that a new head plays only against those on its path."""
 
@@ -165,7 +192,8 @@ def write_archives(
     keyed = plain.withColumn("hash", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
     digests = materialise(keyed.select("page_id", "hash", "size").distinct(), "warc-digests")
     # the map side of the aggregation bounds what one payload sends by the number of tasks
-    kept = digests.filter(F.col("size") >= min_bytes).groupBy("hash").agg(F.max("page_id").alias("kept"))
+    # and it is written, so that the join's own exchange of a frequent payload can be split
+    kept = materialise(digests.filter(F.col("size") >= min_bytes).groupBy("hash").agg(F.max("page_id").alias("kept")), "warc-kept")
     types = digests.join(kept, "hash", "left").select(
         F.coalesce("page_id", F.lit(_NO_ID)).alias("t_id"),
         F.col("hash").alias("t_hash"),
@@ -182,11 +210,12 @@ def write_archives(
             for page_id, url, date, sha, refers_to, body in zip(*(c.to_pylist() for c in batch.columns)):
                 when = date.astimezone(timezone.utc) if date is not None else EPOCH + timedelta(seconds=(page_id or 0) % 10**9)
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                out.append(record(page_id, url, when.strftime("%Y-%m-%dT%H:%M:%SZ"), digest, body or b"", refers_to, refers_to is not None))
+                out.append(member(record(page_id, url, when.strftime("%Y-%m-%dT%H:%M:%SZ"), digest, body or b"", refers_to, refers_to is not None) + SEPARATOR))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
     records = rows.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
-    records.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", per_archive).option("compression", "gzip").text(path)
+    # bytes pass through a string column as they are; the separator is one byte a character
+    records.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", per_archive).option("compression", "none").text(path)
     return path
 
 
@@ -200,7 +229,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 rows = []
-                for offset, length, h, payload in parse_archive(zlib.decompress(data.as_buffer(), 31)):
+                for offset, length, unpacked in members(memoryview(data.as_buffer())):
+                    ((_, _, h, payload),) = parse_archive(unpacked)
                     digest = h["WARC-Payload-Digest"].removeprefix("sha1:")
                     kind = h["WARC-Type"]
                     if kind == "response" and base32_digest(payload) != digest:
@@ -221,7 +251,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     """Globally ordered history: the runs' rows with history_range and history_pos (ascending within and across ranges)."""
     spark = runs.sparkSession
     runs = materialise(runs, "warc-runs")
-    ranges = max(1, min(shuffle_width(spark) * 64, -(-runs.count() // RANGE_ROWS)), min(shuffle_width(spark), runs.count() // 2000))
+    count = runs.count()
+    ranges = max(1, -(-count // RANGE_ROWS), min(shuffle_width(spark), count // 2000))
     key = ["url_key", "stamp", F.col("page_id").asc_nulls_first(), "archive", "offset"]
     sliced = runs.repartitionByRange(ranges, *key).sortWithinPartitions("archive", "url_key", "stamp", F.col("page_id").asc_nulls_first(), "offset")
     schema = f"{_INDEX}, history_range int, history_pos long"
@@ -258,4 +289,5 @@ def capture_history(pages: DataFrame, **options) -> DataFrame:
     path = write_archives(pages, **options)
     history = materialise(merge_runs(read_runs(pages.sparkSession, path)), "warc-history")
     full = history.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("stored_bytes").alias("payload_bytes"))
+    full = materialise(full, "warc-sizes")
     return history.join(full, "payload_digest", "left")

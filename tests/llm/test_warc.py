@@ -1,6 +1,9 @@
+import gzip
 import random
 
-from tessera.llm.warc import LoserTree, base32_digest, capture_history, merge_runs, parse_archive, read_runs, record, url_key, write_archives
+import pytest
+
+from tessera.llm.warc import EMPTY_MEMBER, LoserTree, base32_digest, capture_history, member, members, merge_runs, parse_archive, read_runs, record, url_key, write_archives
 
 
 def test_loser_tree_merges():
@@ -53,3 +56,24 @@ def test_small_payloads_stay_and_empty_table(spark):
     assert got == {1: "response", 2: "response", 3: "revisit", 4: "response"}
     assert merge_runs(read_runs(spark, write_archives(df))).count() == 4
     assert capture_history(df.limit(0)).count() == 0
+
+
+def test_members_are_read_one_by_one():
+    big = bytes(range(256)) * 4000
+    parts = [member(b"a"), EMPTY_MEMBER, member(big), EMPTY_MEMBER, EMPTY_MEMBER, member(b"last")]
+    data = b"".join(parts)
+    got = list(members(memoryview(data)))
+    assert [g[2] for g in got] == [b"a", big, b"last"]
+    assert all(gzip.decompress(data[a : a + n]) == x for a, n, x in got) and gzip.decompress(data) == b"a" + big + b"last"
+    with pytest.raises(ValueError):
+        list(members(memoryview(data[:-3])))
+
+
+def test_records_can_be_sought(spark):
+    rows = [(i, f"http://h{i % 7}/", f"<p>{i % 11} é</p>" * 50) for i in range(60)]
+    path = write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    files = {r.path.rsplit("/", 1)[-1]: bytes(r.content) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect()}
+    for r in read_runs(spark, path).collect():
+        one = gzip.decompress(files[r.archive][r.offset : r.offset + r.length])
+        ((_, _, headers, payload),) = parse_archive(one)
+        assert headers["WARC-Record-ID"] == f"<urn:x-page:{r.page_id}>" and (payload == rows[r.page_id][2].encode()) == (r.record_type == "response")
