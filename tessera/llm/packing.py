@@ -11,7 +11,9 @@
 Only (row, length) takes part in the packing: no text or token is shuffled for it.
 
 Defined results: the file's added tokens have ids of their own wherever their literals stand; a null text is an empty text (it holds the end token alone); rows with equal ids are packed as rows of their own;
-an empty table gives an empty table; further input columns are not returned.
+very long texts are cut into as many pieces as they need; pieces of equal length go in the order of their row numbers, and of bins that fit equally well
+any may be taken (the result is one of the best found, the same in each run over the same rows); an empty table gives an empty table; further input columns, whatever their
+names, are not returned.
 """
 
 from __future__ import annotations
