@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.references import article_mentions  # noqa: F401
 from ..functions.text import snippet
 
 
@@ -36,12 +37,6 @@ def sources(hits: DataFrame) -> DataFrame:
     return rows.select("query_id", F.transform("rows", lambda r: r["source"]).alias("sources"))
 
 
-def article_mentions(answer: Column) -> Column:
-    """Whole mentions of an article in an answer."""
-    found = F.regexp_extract_all(answer, F.lit(r"(?iU)((?:\w+)?\s*m(?:adde)?\.?\s*\d+(?:\s*(?:/[a-z])?)?\b)"), F.lit(1))
-    return F.transform(found, lambda m: F.regexp_replace(m, r"(?U)^\s+|\s+$", ""))
-
-
 def faithfulness(mentions: Column, articles: Column) -> Column:
     """struct(faithful, warning): unfaithful if articles are mentioned and none of them is among the sources.
 

@@ -5,35 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.references import cited_articles
 from ..functions.text import drop_paragraph, section_tag
 
 #: Codes of laws and their numbers.
 LAW_CODES = {"6098": "TBK", "6102": "TTK", "6502": "TKHK"}
-_ARTICLE = r"(\d+[A-Za-z]*(?:/\d+)?)"
-
-
-def citation_patterns(codes: list[str], numbers: list[str]) -> list[str]:
-    """Six forms of a citation; group 1 is the law (code or number), group 2 the article."""
-    law, number = "|".join(codes), "|".join(numbers)
-    return [
-        rf"(?iu)({law})\s+(?:m\.|madde)\s*{_ARTICLE}",
-        rf"(?iu)({law})'[a-zçğıöşü]{{1,5}}\s+(\d+(?:/\d+)?)[.]",
-        rf"(?iu)\(\s*({law}),\s*m\.\s*{_ARTICLE}\s*\)",
-        rf"(?iu)({number})\s+say[ıi]l[ıi][^.]{{0,50}}?madde\s+{_ARTICLE}",
-        rf"(?iu)({law})\s+(\d+)(?:/\d+)?\b(?=[.\s,)])",
-        rf"(?iu)\(\s*({law})\s+(\d+(?:/\d+)?)\s*\)",
-    ]
 
 
 def citations(decisions: DataFrame, law_codes: dict[str, str] = LAW_CODES) -> DataFrame:
     """(key, decision_id, pos, section): every article that a decision cites, once. decisions: decision_id, text, pos (corpus order)."""
     rows = decisions.filter((F.trim("decision_id") != "") & (F.col("text") != ""))
-    found = []
-    for rx in citation_patterns(sorted(set(law_codes.values())), sorted(law_codes)):
-        laws, articles = F.regexp_extract_all("text", F.lit(rx), F.lit(1)), F.regexp_extract_all("text", F.lit(rx), F.lit(2))
-        found.append(F.arrays_zip(laws.alias("law"), articles.alias("article")))
+    found = cited_articles(F.col("text"), sorted(set(law_codes.values())), sorted(law_codes))
     codes = F.create_map(*[F.lit(x) for pair in law_codes.items() for x in pair])
-    rows = rows.select(F.trim("decision_id").alias("decision_id"), "pos", section_tag(F.col("text")).alias("section"), F.explode(F.flatten(F.array(*found))).alias("c"))
+    rows = rows.select(F.trim("decision_id").alias("decision_id"), "pos", section_tag(F.col("text")).alias("section"), F.explode(found).alias("c"))
     law = F.coalesce(F.try_element_at(codes, F.col("c.law")), F.upper("c.law"))
     rows = rows.withColumn("key", F.concat_ws("_", law, drop_paragraph(F.col("c.article"))))
     return rows.groupBy("key", "decision_id").agg(F.min("pos").alias("pos"), F.min_by("section", "pos").alias("section"))

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import has_reference, strip, word_count, words
+from ..functions.references import article_number, has_reference  # noqa: F401
+from ..functions.text import strip, word_count, words
 
 #: Phrases that a broadcast lexicon may have.
 MAX_LEXICON = 100_000
@@ -47,25 +48,6 @@ def detect_class(queries: DataFrame, aliases: DataFrame, keywords: DataFrame) ->
     return queries.join(a, "query_id", "left").join(k, "query_id", "left").withColumn("class", F.coalesce("by_alias", "by_keyword")).drop("by_alias", "by_keyword")
 
 
-def article_number(c: Column, laws: Sequence[str], numbers: Sequence[str], names: Sequence[str], *, fixed: bool = True) -> Column:
-    """Article number that a query names, or null; the earliest of the forms wins.
-
-    fixed=False keeps two quirks: a law's name followed by a number is not recognised, nor is a bare marker before a number.
-    """
-    c = F.lower(c)
-    after_law = rf"\b(?:{'|'.join(laws)})(?:['’]?[a-zçğıöşü]+)?\s*(?:m\.?|madde|md\.?)?\s*(\d{{1,4}})"
-    before_marker = r"\b(\d{1,4})(?:['’]?(?:inci|ıncı|üncü|uncu))?\.?\s*(?:madde|m\.?|md\.?)"
-    after_number = rf"\b(?:{'|'.join(numbers)})\s+say[ıi]l[ıi][^.\n]{{0,60}}?(\d{{1,4}})"
-    forms = [after_law, before_marker, after_number]
-    if fixed:
-        forms += [rf"\b(?:{'|'.join(names)})\s+kanunu?[^.\n]{{0,40}}?(\d{{1,4}})", r"\b(?:madde|m\.)\s*(\d{1,4})"]
-    found = [
-        F.when(F.regexp_instr(c, F.lit(f"(?iu){rx}")) > 0, F.struct(F.regexp_instr(c, F.lit(f"(?iu){rx}")).alias("at"), F.lit(k).alias("form"), F.regexp_extract(c, f"(?iu){rx}", 1).alias("number")))
-        for k, rx in enumerate(forms)
-    ]
-    return F.array_min(F.filter(F.array(*found), lambda s: s.isNotNull()))["number"]
-
-
 def expand(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """queries with the expansions of every key they contain appended in lexicon order. synonyms: ord, key, expansion."""
     hits = contained(queries, synonyms, "key").groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("ord", "expansion"))).alias("more"))
