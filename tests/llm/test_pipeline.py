@@ -60,12 +60,56 @@ def test_run_and_rows_without_id(spark, data):
     rows = [(None, "one two three four five six", "en", "a", 1), (None, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "a", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     left = lambda d: [r.doc_id for r in corpus_pipeline.jaccard_join(spark, d, at).collect()]
-    assert left(docs) == [None, None]  # rows without an id stay and stand for their copies
-    assert left(docs.filter("doc_id = 1")) == [1]
+    assert left(docs) == [1]  # rows without an id are judged by their text
+    assert left(docs.filter("doc_id = 1")) == [1] and left(docs.filter("doc_id IS NULL")) == [None]
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, at).count() == 0
 
 
+def test_rows_are_judged_by_text_not_by_id(spark, data):
+    at, _, _ = data
+    a, b, c = ("alpha beta gamma delta epsilon zeta", "one two three four five six", "uno dos tres cuatro cinco seis")
+    rows = [(5, a), (5, b), (6, c), (None, c), (None, "je tu il nous vous ils"), (7, None), (8, ""), (8, ""), (9, a), (None, "je tu il nous vous ils")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in corpus_pipeline.jaccard_join(spark, docs, at).collect()), key=str)
+    assert got == sorted([(5, a), (5, b), (6, c), (None, "je tu il nous vous ils"), (7, None), (8, ""), (8, "")], key=str)
+
+
+def test_stages_with_odd_rows(spark, data):
+    """Null texts, a very long text, repeated rows, and columns named like those of the stages."""
+    at, _, _ = data
+    r = random.Random(2)
+    long_text = " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(60000))
+    line = "a line of more than forty characters that is in every one of them"
+    rows = [(1, None), (2, ""), (3, long_text), (4, f"x y z\n{line}"), *[(10 + k, f"own words number {k} of it\n{line}") for k in range(6)], (4, f"x y z\n{line}"), (None, "lost id")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _copy string, _quality string, _row string, _mix string, `a.b` string"
+    docs = spark.createDataFrame([(i, t, "en", None if i == 3 else "s", 1, "c", "q", "r", "m", "ab") for i, t in rows], schema)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, at)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert all((g._copy, g._quality, g._row, g._mix, g["a.b"]) == ("c", "q", "r", "m", "ab") for g in got), name
+        texts = [g.text for g in got]
+        if k == 1:
+            assert len(got) == len(rows) and sum(t is not None and line in t for t in texts) == 1 and long_text in texts and None in texts
+        if k == 2:
+            assert sorted((g.doc_id for g in got), key=str) == sorted([None, 1, 2, 3, 4, *[10 + k for k in range(6)]], key=str)
+        if k == 3:
+            assert texts.count(f"x y z\n{line}") % 2 == 0 and texts.count(None) == texts.count("")
+    assert {p.doc_id for p in corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()} == {i for i, _ in rows}
+
+
+def test_run_equals_the_stages_one_by_one(spark, data):
+    """The whole run against its stages over collected rows, and against brute-force facts of each stage's result."""
+    at, kind, line = data
+    docs = spark.read.parquet(f"{at}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, at)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+    fact = lambda rows: sorted((p.doc_id, p.piece, p.start, p.length, p.ids_crc32) for p in rows)
+    assert fact(corpus_pipeline.run(spark, at).collect()) == fact(docs.collect())
+
+
 def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
