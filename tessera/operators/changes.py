@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_gazette, clean_whitespace, content_hash, mask_ids, mask_persons
+from ..storage import written
 
 
 def statute_gate(items: DataFrame, least: int = 50) -> DataFrame:
@@ -74,13 +75,28 @@ def add_versions(versions: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def versions_along(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
-    """(key, order, version, hash) of each row at which the text of a key changes."""
-    w = Window.partitionBy(key).orderBy(order)
+    """(key, order, version, hash) of each row at which the text of a key changes.
+
+    Rows are range-partitioned by key and order, so a key that most rows have spreads over many partitions; one summary row for each
+    partition and key carries the last hash and the number of changes over the borders.
+    """
+    spark = rows.sparkSession
     hashed = rows.select(key, order, content_hash(F.col(text)).alias("hash"))
-    changed = F.lag("hash").over(w).isNull() | (F.lag("hash").over(w) != F.col("hash"))
-    marked = hashed.withColumn("changed", changed.cast("int"))
-    out = marked.withColumn("version", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"))
-    return out.filter("changed = 1").drop("changed")
+    ranged = hashed.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key, order)
+    # written once: a second evaluation could cut the ranges elsewhere
+    ranged = written(ranged.withColumn("_part", F.spark_partition_id()), "versions")
+    w = Window.partitionBy(key, "_part").orderBy(order)
+    local = ranged.withColumn("_before", F.lag("hash").over(w)).withColumn("_first", F.row_number().over(w) == 1)
+    local = local.withColumn("_step", F.when(F.col("_first"), 0).otherwise((~F.col("_before").eqNullSafe(F.col("hash"))).cast("int")))
+    ends = local.groupBy(key, "_part").agg(F.min_by("hash", order).alias("_from"), F.max_by("hash", order).alias("_to"), F.sum("_step").alias("_steps"))
+    along = Window.partitionBy(key).orderBy("_part")  # a row for each partition and key
+    ends = ends.withColumn("_edge", ((F.row_number().over(along) == 1) | ~F.lag("_to").over(along).eqNullSafe(F.col("_from"))).cast("int"))
+    ends = ends.withColumn("_start", F.sum(F.col("_edge") + F.col("_steps")).over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_steps"))
+    both = local.join(ends.select(F.col(key).alias("_key"), F.col("_part").alias("_p"), "_edge", "_start"), F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_p")))
+    upto = Window.partitionBy(key, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("version", (F.col("_start") + F.sum("_step").over(upto)).cast("long"))
+    changed = F.when(F.col("_first"), F.col("_edge") == 1).otherwise(F.col("_step") == 1)
+    return both.filter(changed).select(key, order, "hash", "version")
 
 
 def changed_keys(before: DataFrame, after: DataFrame) -> DataFrame:

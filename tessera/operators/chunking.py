@@ -142,7 +142,9 @@ def chunk_windows(docs: DataFrame, text_col: str = "text", config: ChunkConfig =
 
 def chunk_statutes(articles: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Statute articles (law, law_no, article_no, text): clauses grouped, long groups windowed."""
-    parts = articles.filter(strip(F.col("text")) != "").withColumn("_parts", paragraphs(F.col("text"))).drop("text")
+    parts = articles.filter(strip(F.col("text")) != "").withColumn("_parts", paragraphs(F.col("text")))
+    # rows that share law and article follow each other whole
+    parts = parts.withColumn("_row", F.xxhash64("text", "law_no")).drop("text")
 
     def fold(p: list[str]) -> list[str]:
         out: list[str] = []
@@ -150,7 +152,7 @@ def chunk_statutes(articles: DataFrame, config: ChunkConfig = ChunkConfig()) ->
             out += windows(_sentences(g), config) if tokens_of(g) > config.max_tokens else [g]
         return out
 
-    return numbered(_fold(parts, F.col("_parts"), fold).withColumn("source", F.lit("mevzuat")).withColumn("decision_id", F.lit(None).cast("string")), ["law", "article_no"])
+    return numbered(_fold(parts, F.col("_parts"), fold).withColumn("source", F.lit("mevzuat")).withColumn("decision_id", F.lit(None).cast("string")), ["law", "article_no"], index=["_row", "chunk_index"]).drop("_row")
 
 
 def chunk_decisions(decisions: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:

@@ -18,12 +18,12 @@ from ..functions.text import strip, word_count, words
 MAX_LEXICON = 100_000
 
 
-def contained(queries: DataFrame, lexicon: DataFrame, phrase: str = "phrase") -> DataFrame:
-    """Rows of queries x lexicon whose lower-case text contains the phrase."""
+def contained(queries: DataFrame, lexicon: DataFrame, phrase: str = "phrase", *, lower: bool = True) -> DataFrame:
+    """Rows of queries x lexicon whose lower-case text contains the phrase (lower=False: the text as it is)."""
     size = lexicon.limit(MAX_LEXICON + 1).count()
     if size > MAX_LEXICON:
         raise ValueError(f"a lexicon has at most {MAX_LEXICON} phrases")
-    return queries.join(F.broadcast(lexicon), F.contains(F.lower("text"), F.col(phrase)))
+    return queries.join(F.broadcast(lexicon), F.contains(F.lower("text") if lower else F.col("text"), F.col(phrase)))
 
 
 def by_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -83,6 +83,11 @@ def on_topic(text: Column, stop_words: Sequence[str], signals: Sequence[str], le
     return ~stopped & (signal | (word_count(text) >= least_words))
 
 
+def asked(queries: DataFrame) -> DataFrame:
+    """Queries that are not blank."""
+    return queries.filter(F.coalesce(strip(F.col("text")), F.lit("")) != "")
+
+
 def is_greeting(text: Column, greetings: Sequence[str]) -> Column:
     return strip(F.lower(text)).isin(list(greetings))
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Config
 from ..functions.text import search_tokens
-from ..storage import written
+from ..storage import exists, if_small, written
+
+#: Rows of query terms that are sent to every task; more of them meet the postings by shuffle.
+MAX_TERMS = 1_000_000
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -20,10 +23,11 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(doc_id, term, tf, dl); terms: keep only these (a column term), before anything is counted."""
+    """(doc_id, term, tf, dl); terms: keep only these (a column term), before anything is counted or shuffled."""
     rows = tokens.select("doc_id", "dl", F.explode("tokens").alias("term"))
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        wanted = terms.select("term").distinct()
+        rows = rows.join(if_small(wanted, MAX_TERMS)(wanted), "term", "left_semi")
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
@@ -58,8 +62,11 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, *, config: Bm25Config = Bm2
 
 
 def score_postings(posts: DataFrame, stats: DataFrame, wanted: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
-    terms = term_stats(posts, stats).select("term", "idf")
-    rows = posts.join(wanted, "term").join(terms, "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
+    """Scores of (query, document) pairs. Postings are dealt by document once; terms come to them, so a pair's parts meet without another shuffle."""
+    terms = wanted.join(term_stats(posts, stats).select("term", "idf"), "term")
+    width = int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hint = if_small(wanted, MAX_TERMS)
+    rows = posts.repartition(width, "doc_id").join(hint(terms), "term").crossJoin(F.broadcast(stats.select("avgdl")))  # one row
     tf = F.col("tf")
     norm = config.k1 * (1 - config.b + config.b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * (tf * (config.k1 + 1) / (tf + norm) + config.delta)
@@ -76,3 +83,23 @@ def penalise_other_law(hits: DataFrame, factor: float) -> DataFrame:
     """Scores of hits under another law than the query's, times factor; order and ranks stay."""
     other = F.col("query_law").isNotNull() & ~F.col("law").eqNullSafe(F.col("query_law"))
     return hits.withColumn("score", F.round(F.when(other, F.col("score") * factor).otherwise(F.col("score")), 4))
+
+
+def saved_index(docs: DataFrame, path: str, *, reindex: bool = False, doc_id: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) kept below ``path``: read if they are there whole, else (or with reindex) built and written.
+
+    Postings are sorted by term within their files, so that a query's terms skip most of what they don't need.
+    """
+    spark = docs.sparkSession
+    if reindex or not all(exists(spark, f"{path}/{part}/_SUCCESS") for part in ("postings", "statistics")):
+        tokens = tokenised(docs, doc_id, text_col)
+        postings(tokens).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        corpus_stats(tokens).write.mode("overwrite").parquet(f"{path}/statistics")
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/statistics")
+
+
+def search_saved(posts: DataFrame, stats: DataFrame, queries: DataFrame, *, config: Bm25Config = Bm25Config(), query_id: str = "query_id", text_col: str = "text") -> DataFrame:
+    """bm25_scores over a saved index."""
+    wanted = query_terms(queries, query_id, text_col)
+    terms = wanted.select("term").distinct()
+    return score_postings(written(posts.join(if_small(terms, MAX_TERMS)(terms), "term", "left_semi"), "postings"), stats, wanted, config)

@@ -81,8 +81,32 @@ def generate(prompt: Column, load: Callable[[], Generator]) -> Column:
 
 def overlap_score(query: Column, text: Column) -> Column:
     """Stand-in for a cross-encoder: share of the query's words that the text has, on a logit-like scale."""
-    q, t = F.array_distinct(search_tokens(query)), F.array_distinct(search_tokens(text))
-    return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q) * 8 - 4).otherwise(F.lit(-4.0))
+    return overlap_of(word_set(query), word_set(text))
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(search_tokens(text))
+
+
+def overlap_of(query_words: Column, text_words: Column) -> Column:
+    """overlap_score of word sets, so that a text that meets many queries is cut into words once."""
+    share = F.size(F.array_intersect(query_words, text_words)) / F.size(query_words)
+    return F.when(F.size(query_words) > 0, share * 8 - 4).otherwise(F.lit(-4.0))
+
+
+def token_counts(text: Column, vocabulary: str) -> Column:
+    """Exact tokens of a text by the tokenizer file at ``vocabulary`` (without special tokens); a null text has none."""
+
+    @F.pandas_udf("long")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(vocabulary)
+        for texts in batches:
+            found = tokenizer.encode_batch_fast(texts.fillna("").tolist(), add_special_tokens=False)
+            yield pd.Series([len(x.ids) for x in found], dtype="int64")
+
+    return run(text)
 
 
 def extractive_answer(query: Column, context: Column, most: int = 3) -> Column:

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, point_id
 from .index import top_n
 
+#: Queries of one block of a dense search.
+QUERY_BLOCK = 10_000
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product in double precision, first component to last."""
@@ -32,30 +40,89 @@ def cosine(a: Column, b: Column) -> Column:
 def dense_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool = True) -> DataFrame:
     """(query_id, doc_id, score, rank). queries: query_id, vector, law; points: doc_id, vector, law.
 
-    filtered: a query with a law meets only the points of that law (an equi-join, so the law partitions the work); a query
-    without one meets all.
+    filtered: a query with a law meets only the points of that law, one without all of them. Queries are a stated set: blocks of up to
+    ``QUERY_BLOCK`` go to every task as one matrix (more of them mean more passes), and a task keeps k points a query. So neither a law that most
+    points have nor the number of pairs makes a shuffle.
     """
-    q = queries.select("query_id", F.col("vector").alias("q"), F.col("law").alias("query_law"))
-    p = points.select("doc_id", F.col("vector").alias("p"), "law")
-    if filtered:
-        with_law = q.filter(F.col("query_law").isNotNull()).join(p, F.col("query_law") == F.col("law"))
-        free = q.filter(F.col("query_law").isNull())
-        rows = with_law.unionByName(free.join(p, F.lit(True)))
-    else:
-        rows = q.join(p, F.lit(True))
-    scored = rows.select("query_id", "doc_id", F.round(cosine(F.col("p"), F.col("q")), 4).alias("score"))
-    return top_n(scored, k)
+    spark = points.sparkSession
+    asked = queries.select(F.col("query_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), F.col("law").cast("string").alias("law"))
+    asked = asked.filter(F.col("vector").isNotNull())
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
+    kinds = queries.schema["query_id"].dataType.simpleString(), points.schema["doc_id"].dataType.simpleString()
+    own = points.select("doc_id", F.col("vector").cast("array<double>").alias("vector"), F.col("law").cast("string").alias("law")).filter(F.col("vector").isNotNull())
+    found = None
+    for b in range(blocks):
+        rows = (asked if blocks == 1 else asked.filter(block == b)).collect()  # bounded by QUERY_BLOCK, about
+        part = own.mapInPandas(_nearest(spark.sparkContext.broadcast([tuple(r) for r in rows]), k, filtered), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        found = part if found is None else found.unionByName(part)
+    return top_n(found.withColumn("score", F.round("score", 4)), k)
+
+
+def _nearest(shared: Broadcast, k: int, filtered: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """A task's k nearest points of every query, by cosine rounded to four places, ties to the smaller id."""
+
+    def lengths(x: np.ndarray) -> np.ndarray:
+        return np.sqrt((x * x).sum(axis=1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups: dict[tuple[int, str | None], list[int]] = {}
+        for i, (_, v, law) in enumerate(shared.value):
+            groups.setdefault((len(v), law if filtered else None), []).append(i)
+        sets = {g: (np.array([shared.value[i][1] for i in own], np.float64), own) for g, own in groups.items()}
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            ids, laws = batch["doc_id"].to_numpy(), batch["law"].to_numpy()
+            sizes = batch["vector"].map(len).to_numpy()
+            for (dim, law), (q, own) in sets.items():
+                at = np.flatnonzero((sizes == dim) & (laws == law if law is not None else True))
+                if not len(at):
+                    continue
+                x = np.stack(batch["vector"].to_numpy()[at]).astype(np.float64)
+                size = lengths(q)[:, None] * lengths(x)[None, :]
+                scores = np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0)
+                for i, row in zip(own, scores):
+                    old = best.get(i)
+                    score, doc = (row, ids[at]) if old is None else (np.concatenate([old[0], row]), np.concatenate([old[1], ids[at]]))
+                    if len(score) > k:
+                        near = np.round(score, 4)
+                        least = np.partition(near, len(near) - k)[len(near) - k]
+                        keep = np.flatnonzero(near >= least)
+                        keep = keep[np.lexsort((doc[keep], -near[keep]))[:k]]
+                        score, doc = score[keep], doc[keep]
+                    best[i] = score, doc
+        for i, (score, doc) in best.items():
+            yield pd.DataFrame({"query_id": [shared.value[i][0]] * len(score), "doc_id": doc, "score": score})
+
+    return run
+
+
+def with_few(queries: DataFrame, hits: DataFrame, below: int) -> DataFrame:
+    """Queries with fewer than ``below`` hits (none included)."""
+    counts = hits.groupBy("query_id").agg(F.count("*").alias("_n"))
+    return queries.join(counts, "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < below).drop("_n")
 
 
 def fallback(filtered: DataFrame, unfiltered: DataFrame, below: int) -> DataFrame:
     """For queries with fewer than ``below`` filtered hits, the unfiltered ones that are not there yet are added."""
-    few = unfiltered.select("query_id").distinct().join(
-        filtered.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left"
-    ).filter(F.coalesce("n", F.lit(0)) < below).select("query_id")
+    few = with_few(unfiltered.select("query_id").distinct(), filtered, below)
     more = unfiltered.join(few, "query_id", "left_semi").join(filtered.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     return filtered.select("query_id", "doc_id", "score").unionByName(more.select("query_id", "doc_id", "score"))
 
 
+def rewrite_union(hits: DataFrame, more: DataFrame, k: int, below: int = 3) -> DataFrame:
+    """Hits of the rewritten question after those of the question itself, where these are fewer than ``below``; each once, the first k.
+
+    hits, more: query_id, doc_id, score, rank; more holds only queries that were rewritten.
+    """
+    few = with_few(more.select("query_id").distinct(), hits, below)
+    extra = more.join(few, "query_id", "left_semi").join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    columns = ["query_id", "doc_id", "score", "rank"]
+    both = hits.select(*columns, F.lit(0).alias("_part")).unionByName(extra.select(*columns, F.lit(1).alias("_part")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("_part", "rank", "doc_id"))
+    return both.withColumn("rank", rank).filter((F.col("_part") == 0) | (F.col("rank") <= k)).drop("_part")
+
+
 def not_embedded(chunks: DataFrame, stored: DataFrame, *, by_content: bool = True) -> DataFrame:
     """Chunks to embed. by_content: unless (chunk_id, content hash) is stored; else unless the id is."""
     chunks = chunks.withColumn("point_id", point_id(F.col("chunk_id")))
@@ -68,3 +135,20 @@ def not_embedded(chunks: DataFrame, stored: DataFrame, *, by_content: bool = Tru
 def quantised(a: Column) -> Column:
     """Unit vector as bytes."""
     return F.transform(a, lambda x: F.round(x * 127).cast("tinyint"))
+
+
+def quantise(a: Column) -> Column:
+    """struct(codes, scale): the largest component is 127 (or -127), so a vector is about scale times its codes."""
+    top = F.array_max(F.transform(a, lambda x: F.abs(x.cast("double"))))
+    scale = F.when(top > 0, top / 127).otherwise(F.lit(1.0))
+    return F.struct(F.transform(a, lambda x: F.round(x.cast("double") / scale).cast("tinyint")).alias("codes"), scale.alias("scale"))
+
+
+def restored(q: Column) -> Column:
+    """The vector that a quantised one stands for."""
+    return F.transform(q["codes"], lambda x: x.cast("double") * q["scale"])
+
+
+def quantised_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool = True) -> DataFrame:
+    """dense_top over points stored as quantised vectors (doc_id, quantised, law): a quarter of float32's bytes; scores differ by the rounding of the codes."""
+    return dense_top(queries, points.select("doc_id", restored(F.col("quantised")).alias("vector"), "law"), k, filtered=filtered)

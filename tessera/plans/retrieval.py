@@ -32,9 +32,12 @@ def retrieve(queries: DataFrame, corpus: Corpus, *, k: int | None = None, config
     sparse = index.top_n(sparse, config.top_k_sparse).drop("rank").join(meta, "doc_id").join(asked, "query_id")
     sparse = index.penalise_other_law(sparse, config.other_law_penalty)
     q = queries.select("query_id", "vector", F.col("query_law").alias("law"))
-    filtered = vectors.dense_top(q, corpus.points, config.top_k_dense)
-    free = vectors.dense_top(q.filter(F.col("law").isNotNull()), corpus.points, config.top_k_dense, filtered=False)
-    dense = vectors.fallback(filtered, free, config.dense_fallback_below)
+    # read twice (what is there, and who has few): written once; only queries with few hits of their law meet all points
+    filtered = written(vectors.dense_top(q, corpus.points, config.top_k_dense), "dense")
+    few = vectors.with_few(q.filter(F.col("law").isNotNull()), filtered, config.dense_fallback_below)
+    dense = filtered
+    if few.limit(1).count():
+        dense = vectors.fallback(filtered, vectors.dense_top(few, corpus.points, config.top_k_dense, filtered=False), config.dense_fallback_below)
     alphas = queries.select("query_id", fusion.alpha(F.col("text"), F.col("query_article"), config).alias("alpha"))
     hits = fusion.fuse(dense, sparse, alphas).join(meta, "doc_id").join(asked, "query_id")
     # injection reads the hits four times (a few hundred rows a query), so they are computed once
@@ -48,7 +51,8 @@ def answer(queries: DataFrame, hits: DataFrame, docs: DataFrame, history: DataFr
 
     history: (query_id, context) of the session, put before the sources.
     """
-    full = hits.join(docs.select("doc_id", "text"), "doc_id")
+    # texts of the hits, read once for context and sources
+    full = written(hits.join(docs.select("doc_id", "text"), "doc_id"), "hit-texts")
     rows = queries.select("query_id", "text").join(answers.context_block(full), "query_id", "left").join(answers.sources(full), "query_id", "left")
     articles = full.groupBy("query_id").agg(F.array_sort(F.collect_set("article_no")).alias("articles"))
     rows = rows.join(articles, "query_id", "left").withColumn("articles", F.coalesce("articles", F.array().cast("array<string>")))

@@ -11,6 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import prepare_issue, relevant_issues
+from ..storage import exists
+
+
+#: Laws of a batch that are named in a partition filter; with more of them all of the table is read.
+MOST_LAWS = 1000
 
 
 def gated_issues(issues: DataFrame, *, time: str = "fetched_at", late: str = "7 days") -> DataFrame:
@@ -24,27 +29,32 @@ def upsert_points(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
 
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.parquet(path).select("point_id")
-            batch = batch.join(stored, "point_id", "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        if exists(spark, path):
+            # of what is stored, only the folders of the batch's laws are read
+            laws = [r.law for r in batch.select("law").distinct().limit(MOST_LAWS + 1).collect()]
+            stored = spark.read.parquet(path).select("point_id", "law")
+            if len(laws) <= MOST_LAWS and None not in laws:
+                stored = stored.filter(F.col("law").isin(laws))
+            batch = batch.join(stored.select("point_id"), "point_id", "left_anti")
         batch.dropDuplicates(["point_id"]).write.mode("append").partitionBy("law").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def session_memory(messages: DataFrame, keep: int = 8) -> DataFrame:
-    """(session_id, seq, role, content): the last messages of every session that got new ones, kept as state."""
+def session_memory(messages: DataFrame, keep: int = 8, *, idle_ms: int = 30 * 86_400_000) -> DataFrame:
+    """(session_id, seq, role, content): the last messages of every session that got new ones, kept as state for so long after the last of them."""
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seqs, roles, contents = (list(x) for x in state.get) if state.exists else ([], [], [])
         rows = list(zip(seqs, roles, contents))
         for b in batches:
             rows += list(zip(b["seq"], b["role"], b["content"]))
         rows = sorted(rows)[-keep:]
         state.update(tuple(list(x) for x in zip(*rows)))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"session_id": [key[0]] * len(rows), "seq": [r[0] for r in rows], "role": [r[1] for r in rows], "content": [r[2] for r in rows]})
 
     return messages.groupBy("session_id").applyInPandasWithState(
@@ -52,7 +62,7 @@ def session_memory(messages: DataFrame, keep: int = 8) -> DataFrame:
         "session_id long, seq long, role string, content string",
         "seqs array<long>, roles array<string>, contents array<string>",
         "update",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 
