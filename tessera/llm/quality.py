@@ -35,6 +35,8 @@ GRAMS = (4, 5)
 #: Rated documents that a model is fitted on, at most.
 SAMPLE = 9_000
 MIN_DOCS = 4
+#: Bytes of text whose features are made at once: a byte takes some hundred bytes of arrays.
+CHUNK = 1 << 19
 #: Least chi-square of a feature's presence against the grades: a constant, and a part of the sample's size.
 MIN_CHI2, CHI2_PART = 15.0, 0.01
 EPOCHS = 150
@@ -66,7 +68,7 @@ def _trim(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
 
 def features(column: pa.Array, useful: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indices, values) of every text; useful: mask of the features that are wanted."""
-    for _, _, data, offsets in as_chunks(column):
+    for _, _, data, offsets in as_chunks(column, CHUNK):
         n = len(offsets) - 1
         starts, ends = word_spans(data, offsets)
         borders = words_per_text(offsets, starts)
