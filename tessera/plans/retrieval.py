@@ -29,7 +29,8 @@ def retrieve(queries: DataFrame, corpus: Corpus, *, k: int | None = None, config
     meta = corpus.docs.select("doc_id", "law", "article_no")
     asked = queries.select("query_id", "query_law", "query_article")
     sparse = index.bm25_scores(corpus.docs, queries.select("query_id", F.coalesce("expanded", "text").alias("text")), config=bm25)
-    sparse = index.top_n(sparse, config.top_k_sparse).drop("rank").join(meta, "doc_id").join(asked, "query_id")
+    # nine places: what sums in another order differ by is no rank
+    sparse = index.top_n(sparse.withColumn("score", F.round("score", 9)), config.top_k_sparse).drop("rank").join(meta, "doc_id").join(asked, "query_id")
     sparse = index.penalise_other_law(sparse, config.other_law_penalty)
     q = queries.select("query_id", "vector", F.col("query_law").alias("law"))
     # read twice (what is there, and who has few): written once; only queries with few hits of their law meet all points
@@ -47,13 +48,16 @@ def retrieve(queries: DataFrame, corpus: Corpus, *, k: int | None = None, config
 
 
 def answer(queries: DataFrame, hits: DataFrame, docs: DataFrame, history: DataFrame | None = None, *, reply: Column | None = None, warning: str = "Check the cited articles.") -> DataFrame:
-    """(query_id, answer, sources, mentions, check). reply: a column over (text, context), by default the extractive stand-in.
+    """(query_id, answer, sources, intent, rewritten, mentions, check). intent and rewritten are those columns of the queries, null without them or where
+    the rewritten question is the question; how long a reply took is a matter of the job, not of a row. reply: a column over (text, context), by default the extractive stand-in.
 
     history: (query_id, context) of the session, put before the sources.
     """
     # texts of the hits, read once for context and sources
     full = written(hits.join(docs.select("doc_id", "text"), "doc_id"), "hit-texts")
-    rows = queries.select("query_id", "text").join(answers.context_block(full), "query_id", "left").join(answers.sources(full), "query_id", "left")
+    given = lambda name: F.col(name) if name in queries.columns else F.lit(None).cast("string")
+    asked = queries.select("query_id", "text", given("intent").alias("intent"), F.nullif(given("rewritten"), F.col("text")).alias("rewritten"))
+    rows = asked.join(answers.context_block(full), "query_id", "left").join(answers.sources(full), "query_id", "left")
     articles = full.groupBy("query_id").agg(F.array_sort(F.collect_set("article_no")).alias("articles"))
     rows = rows.join(articles, "query_id", "left").withColumn("articles", F.coalesce("articles", F.array().cast("array<string>")))
     if history is not None:
@@ -63,4 +67,4 @@ def answer(queries: DataFrame, hits: DataFrame, docs: DataFrame, history: DataFr
     made = reply if reply is not None else models.extractive_answer(F.col("text"), F.col("context"))
     rows = rows.withColumn("answer", made).withColumn("mentions", answers.article_mentions(F.col("answer")))
     rows = rows.withColumn("check", answers.faithfulness(F.col("mentions"), F.col("articles")))
-    return rows.withColumn("answer", answers.with_warning(F.col("answer"), F.col("check"), warning)).select("query_id", "answer", "sources", "mentions", "check")
+    return rows.withColumn("answer", answers.with_warning(F.col("answer"), F.col("check"), warning)).select("query_id", "answer", "sources", "intent", "rewritten", "mentions", "check")
