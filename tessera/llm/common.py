@@ -6,16 +6,15 @@ over characters), so that a Python task costs little more than a scan.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..storage import release, scratch_path, written  # noqa: F401
+
 #: Bytes of text that a kernel holds at once (one longer text is a chunk of its own).
 CHUNK_BYTES = 4 << 20
 
@@ -28,45 +27,18 @@ BLANKS = " \t\n\x0b\x0c\r"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (tests, a laptop), a local folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        context = spark.sparkContext
-        found = context._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        where = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        context.setCheckpointDir(where)
-        return context._jsc.sc().getCheckpointDir().get()
-    return where
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str, codec: str = "zstd", partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends here."""
+def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``storage.written``, without the shuffle files of what was written: they are of no use once the table is there."""
     spark = df.sparkSession
-    path = scratch_path(spark, name)
-    writer = df.write.option("compression", codec)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    # what the write has shuffled is of no use once the table is there
     before = spark.conf.get(_CLEAN_UP, None)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        writer.parquet(path)
+        return written(df, name, codec)
     finally:
         if before is None:
             spark.conf.unset(_CLEAN_UP)
         else:
             spark.conf.set(_CLEAN_UP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def with_field(df: DataFrame, name: str, ddl: str) -> StructType:

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shingle_sets, shuffle_width
+from .common import materialise, release, shingle_sets, shuffle_width
 
 LEAST_GROUPS, MOST_GROUPS = 16, 1 << 14
 #: Cells of the frequency sketch; a cell is frequent if this part of all documents (and so many) hit it.
@@ -52,7 +52,7 @@ FREQUENT_PART, FREQUENT_LEAST = 0.001, 50
 TILE, TILE_ITEMS = 8192, 1 << 20
 LEAF, FAN = 16, 8
 #: Shingles that a task holds before it deals them out, and nodes that it remembers as dealt.
-FLUSH, REMEMBERED = 1 << 22, 1 << 18
+FLUSH, REMEMBERED = 1 << 20, 1 << 18
 #: Bits of a shingle that order and blocks use (others would only tell apart shingles that are not shared).
 KEY_BITS = 48
 _LATE = 255  # class of shingles of frequent cells; the others' class is eight times the binary logarithm of their count
@@ -397,7 +397,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    left = sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").toDF("a", "v", "x")
+    # written, so that the join's own exchange of a hub with many pairs can be split
+    left = materialise(sets.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), "jaccard-hubs", codec="lz4").toDF("a", "v", "x")
     right = sets.toDF("b", "w", "y")
     both = pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a")
     return both.select("a", "b", "v", "w", "x", "y").mapInArrow(check, "a long, b long")
@@ -518,7 +519,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = materialise(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "components-edges")
     labels = both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component"))
-    labels = materialise(labels, "components-labels")
+    table = labels = materialise(labels, "components-labels")
     while True:
         known = labels.select(F.col("node").alias("b"), F.col("component").alias("theirs"))
         around = both.join(known, "b").groupBy("a").agg(F.min("theirs").alias("theirs"))
@@ -530,8 +531,11 @@ def components(edges: DataFrame) -> DataFrame:
         new = step.join(jump, "next", "left").select("node", F.least("next", F.coalesce("beyond", "next")).alias("component"), F.col("component").alias("before"))
         new = materialise(new, "components-labels")
         moved = new.filter(F.col("component") != F.col("before")).limit(1).count()
-        labels = new.select("node", "component")
+        release(table)
+        table, labels = new, new.select("node", "component")
         if not moved:
+            release(both)
+            labels._scratch_path = table._scratch_path
             return labels
 
 
@@ -541,6 +545,7 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     own = rows.filter("kind = 0").select("id", "n", "node")
     placed = places(docs, frequent_cells(rows, own.count()), text_col, percent)
     block = blocks(placed, percent)
+    release(placed)
     sets = node_sets(docs, own, block.select("node").distinct(), id_col, text_col)
 
     # stars: every node of a block and its hub
@@ -553,13 +558,15 @@ def similar_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     part = materialise(part, "jaccard-part")
     spanning = part.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("key")
     members = materialise(part.join(spanning, "key", "left_semi"), "jaccard-spanning")
-    last = components(tree_links(members, sets, percent)).toDF("component", "final")
-    part = first.join(last, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+    joined = components(tree_links(members, sets, percent))
+    last = joined.toDF("component", "final")
+    both = first.join(last, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
     alone = last.join(first, last["component"] == first["component"], "left_anti").toDF("node", "component")
 
     # documents: component by node, then one for all rows of an id
-    found = own.join(part.union(alone), "node", "left").select("id", "n", F.coalesce("component", "node").alias("component"))
+    found = own.join(both.union(alone), "node", "left").select("id", "n", F.coalesce("component", "node").alias("component"))
     found = materialise(found, "jaccard-found")
+    release(rows, block, sets, first, part, members, joined)
     by_id = found.groupBy("id").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m"), F.count("component").alias("k"))
     mixed = by_id.filter("m > 1 AND (x <> y OR m <> k)")
     if mixed.limit(1).count():

@@ -113,3 +113,44 @@ def test_long_chains_of_texts_in_any_order_of_ids(spark):
     rows = [(i, " ".join(f"{name}{k}" for k in range(7 * at, 7 * at + 60))) for name, ids in chains.items() for at, i in enumerate(ids)]
     got = {x.doc_id: x.component_id for x in similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {i: min(ids) for ids in chains.values() for i in ids}
+
+
+@pytest.mark.parametrize("n", [800])
+def test_near_misses_make_no_pairs(spark, monkeypatch, n):
+    """Texts that differ from one another by a little too much: right components, and rows that grow with the texts, not with pairs."""
+    r = random.Random(11)
+    base = [f"b{k}" for k in range(60)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        for at in r.sample(range(60), r.choice([1, 2, 2, 3, 3, 4])):
+            w[at] = f"x{r.randrange(4000)}"
+        rows.append((i, " ".join(w)))
+    made = []
+    plain = jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name, *a, **b: made.append((name, (out := plain(df, name, *a, **b)).count())) or out)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, similar_components(df).collect()), key=str)
+    assert got == brute(rows)
+    assert len({c for _, _, c in got}) > 50  # there are near misses
+    assert max(count for name, count in made if name != "jaccard-places") <= 10 * n and sum(count for name, count in made if name == "jaccard-places") <= 20 * n
+
+
+def test_hot_shingles_and_small_tiles(spark, monkeypatch):
+    """Frequent cells, many tiles and small flushes change nothing."""
+    for name, value in (("FREQUENT_LEAST", 4), ("FREQUENT_PART", 0.01), ("TILE", 4), ("TILE_ITEMS", 64), ("FLUSH", 500), ("REMEMBERED", 3), ("LEAF", 2), ("FAN", 2)):
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(5, 200) + [(2000 + k, " ".join(f"v{j}" for j in range(40)) + f" own{k} tail{k}") for k in range(40)]
+    got = sorted(map(tuple, similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_tree_finds_all_that_scanning_finds():
+    r = np.random.default_rng(3)
+    vectors = np.concatenate([r.poisson(1.0, (300, 64)), np.repeat(r.poisson(1.0, (20, 64)), 10, axis=0) + (r.random((200, 64)) < 0.05)]).astype(np.int64)
+    sizes = vectors.sum(axis=1)
+    tree = CountTree(vectors, sizes)
+    for i in range(len(sizes)):
+        bound = np.minimum(vectors, vectors[i]).sum(axis=1)
+        fits = (sizes * 100 >= 75 * sizes[i]) & (sizes * 75 <= 100 * sizes[i]) & (bound * 175 >= 75 * (sizes + sizes[i]))
+        assert set(np.flatnonzero(fits)) <= set(tree.near(vectors[i], int(sizes[i]), 75).tolist())
