@@ -520,9 +520,22 @@ def q_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("hrefs"))
 
 
-@query()
+_BODY = "CASE WHEN contains(lower(html), '<body') THEN regexp_replace(html, '(?is)^.*?<body[^>]*>', '') ELSE html END"
+_MARKED = (
+    rf"regexp_replace(regexp_replace(regexp_replace({_BODY}, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>', chr(1), 'g'), "
+    r"'(?s)<!--.*?-->|<![^>]*>', chr(1), 'g'), '</?[a-zA-Z][^>]*>', chr(1), 'g')"
+)
+_ENTITIES = "x"
+for _name, _sign in (("middot", "·"), ("copy", "©"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _ENTITIES = f"regexp_replace({_ENTITIES}, '&{_name};?', '{_sign}', 'g')"
+
+
+@query(f"""
+    SELECT page_id, array_to_string(list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: trim({_ENTITIES}, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> ''), chr(10)) AS text
+    FROM pages
+""")
 def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a hand-made page in tests"""
+    """S5, S6"""
     return table(spark, sf_dir, "pages").select("page_id", corpora.html_text(F.col("html")).alias("text"))
 
 
