@@ -11,7 +11,7 @@ from .config import ChunkConfig
 from .functions import text as T
 from .operators import answers, changes, chunking, citations, entities, fusion, index, metrics, models, vectors
 from .sources import corpora
-from .storage import written
+from .storage import spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(oracle: str | None = None) -> Callable[[Query], Query]:
@@ -547,7 +547,9 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8"""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("law"), F.col("source").alias("article_no"), "text", F.col("doc_id").alias("chunk_index"))
     wanted = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("src"), (F.col("item_id") % 25).cast("string")).alias("article_no")).distinct()
-    return citations.coverage(docs.select("law").distinct().join(wanted, F.lit(True)), docs)
+    laws = docs.agg(F.collect_set("law").alias("laws"))  # one row
+    expected = wanted.crossJoin(F.broadcast(laws)).select(F.explode("laws").alias("law"), "article_no")
+    return citations.coverage(expected, docs)
 
 
 @query("""

@@ -53,6 +53,12 @@ def release(*tables: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores if its scan has fewer parts than these (a few small files); a large table is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def if_small(df: DataFrame, rows: int) -> Callable[[DataFrame], DataFrame]:
     """Hint for this table: broadcast if it has at most so many rows (counted), else a sorted shuffle."""
     small = df.limit(rows + 1).count() <= rows
