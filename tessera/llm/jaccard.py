@@ -49,7 +49,7 @@ LEAST_GROUPS, MOST_GROUPS = 16, 1 << 14
 CELLS = 1 << 22
 FREQUENT_PART, FREQUENT_LEAST = 0.001, 50
 #: Nodes and shingles of one tile of a block.
-TILE, TILE_ITEMS = 8192, 1 << 20
+TILE, TILE_ITEMS = 1024, 1 << 20
 LEAF, FAN = 16, 8
 #: Shingles that a task holds before it deals them out, and nodes that it remembers as dealt.
 FLUSH, REMEMBERED = 1 << 20, 1 << 18
