@@ -14,7 +14,9 @@ from .functions import text as T
 from .operators import answers, changes, citations, entities, vectors
 from .queries import _MASK, _PERSONS, query, table
 
-_ID = F.col("doc_id")
+
+def _id() -> Column:
+    return F.col("doc_id")
 
 
 def _put(template: str, **values: Column) -> Column:
@@ -35,9 +37,9 @@ def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A decision for every document: six citations, one of each form."""
     text = _put(
         "Dava. TBK m. {a}, TTK'nın {b}. maddesi ve (TKHK, m. {c}/1); 6098 sayılı Kanunun madde {d} hükmü, TTK {e}/2. Sonuç: (TBK {f}/1) ile TBK {g}x ve m. 5",
-        a=_ID % 40, b=_ID % 30 + 1, c=_ID % 20 + 1, d=_ID % 25 + 1, e=_ID % 35 + 1, f=_ID % 45 + 1, g=_ID % 9 + 900,
+        a=_id() % 40, b=_id() % 30 + 1, c=_id() % 20 + 1, d=_id() % 25 + 1, e=_id() % 35 + 1, f=_id() % 45 + 1, g=_id() % 9 + 900,
     )
-    return _docs(spark, sf_dir).select(_ID.cast("string").alias("decision_id"), text.alias("text"), _ID.alias("pos"))
+    return _docs(spark, sf_dir).select(_id().cast("string").alias("decision_id"), text.alias("text"), _id().alias("pos"))
 
 
 _CITED = """cited AS (
@@ -96,10 +98,10 @@ def _pick(values: list[str] | tuple[str, ...], by: Column) -> Column:
 """)
 def q_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled numbers first, then contacts, then names after role words"""
-    contact = F.when(_ID % 2 == 0, F.concat(F.lit("a.b"), _ID.cast("string"), F.lit("@c.org"))).otherwise(F.lit("05321234567"))
+    contact = F.when(_id() % 2 == 0, F.concat(F.lit("a.b"), _id().cast("string"), F.lit("@c.org"))).otherwise(F.lit("05321234567"))
     text = _put(
-        "Dosya {id} {role}{sign}{name} geldi, {contact}; KATILAN yok, no {number} ve {other} {name}", id=_ID, role=_pick(T.ROLES, _ID), sign=_pick(_SIGNS, _ID),
-        name=_pick(_NAMES, _ID), contact=contact, number=F.when(_ID % 3 == 0, F.concat(F.lit("TC Kimlik No: "), _ID.cast("string"))).otherwise("12345678901"), other=_pick(T.ROLES, _ID % 5),
+        "Dosya {id} {role}{sign}{name} geldi, {contact}; KATILAN yok, no {number} ve {other} {name}", id=_id(), role=_pick(T.ROLES, _id()), sign=_pick(_SIGNS, _id()),
+        name=_pick(_NAMES, _id()), contact=contact, number=F.when(_id() % 3 == 0, F.concat(F.lit("TC Kimlik No: "), _id().cast("string"))).otherwise("12345678901"), other=_pick(T.ROLES, _id() % 5),
     )
     # a phone number of eleven digits is masked as an identity number, so here persons are masked on the phone's ten
     text = F.regexp_replace(text, "05321234567", "5321234567")
@@ -114,10 +116,10 @@ def q_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def q_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles of statutes and gazettes, named laws, sections"""
-    statute = F.concat(F.lit("Önsöz MADDE 1 - " + "x" * 60 + " MADDE "), (_ID % 90 + 2).cast("string"), F.lit(" "), F.repeat(F.lit("y"), (_ID % 80).cast("int")))
-    changed = T.gazette_articles(_put("giriş MADDE 5 – ilk {id}\nmadde 6/A -  son", id=_ID))
-    laws = T.named_laws(F.concat(F.lit("Bu 6098 sayılı, 6502 SAYILI "), F.when(_ID % 2 == 0, "ve 6102 sayılı").otherwise("ve 6102 nolu")), ["6098", "6102", "6502"])
-    decision = _put("Dava: a{id} GEREKÇE : b hüküm: c", id=_ID)
+    statute = F.concat(F.lit("Önsöz MADDE 1 - " + "x" * 60 + " MADDE "), (_id() % 90 + 2).cast("string"), F.lit(" "), F.repeat(F.lit("y"), (_id() % 80).cast("int")))
+    changed = T.gazette_articles(_put("giriş MADDE 5 – ilk {id}\nmadde 6/A -  son", id=_id()))
+    laws = T.named_laws(F.concat(F.lit("Bu 6098 sayılı, 6502 SAYILI "), F.when(_id() % 2 == 0, "ve 6102 sayılı").otherwise("ve 6102 nolu")), ["6098", "6102", "6502"])
+    decision = _put("Dava: a{id} GEREKÇE : b hüküm: c", id=_id())
     return _docs(spark, sf_dir).select(
         "doc_id", F.array_join(F.transform(T.statute_articles(statute), lambda a: a["article_no"]), ",").alias("articles"),
         F.array_join(F.transform(changed, lambda a: F.concat(a["madde_no"], F.lit("="), a["icerik"])), ";").alias("changed"), F.array_join(laws, ",").alias("laws"),
@@ -136,10 +138,10 @@ _QUESTIONS = ["TBK m.{n} nedir", "{n}. madde nedir", "borçlar kanunu {n} hükm
 """)
 def q_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """N3 with and without its fixes, T24, T8"""
-    n = (_ID % 900 + 1).cast("string")
+    n = (_id() % 900 + 1).cast("string")
     question = F.lit(None).cast("string")
     for k, form in enumerate(_QUESTIONS):
-        question = F.when(_ID % 8 == k, _put(form, n=n)).otherwise(question)
+        question = F.when(_id() % 8 == k, _put(form, n=n)).otherwise(question)
     number = lambda fixed: R.article_number(question, ["tbk", "ttk"], ["6098", "6502"], ["borçlar"], fixed=fixed)
     refs = R.law_references(_put("6098 sayılı kanun, TBK m.{n} ile madde {n}a, 12 ve atom 7", n=n))
     # without its fixes a bare marker before a number is no form, nor is a law's name
@@ -168,12 +170,12 @@ _ISSUES = """
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    laws = F.when(_ID % 3 == 0, F.array(F.lit("6098"))).otherwise(F.array().cast("array<string>"))
-    article = F.struct((_ID % 50).cast("string").alias("madde_no"), _put(" a;b,c ( {id} )  25,49 ", id=_ID).alias("icerik"))
+    laws = F.when(_id() % 3 == 0, F.array(F.lit("6098"))).otherwise(F.array().cast("array<string>"))
+    article = F.struct((_id() % 50).cast("string").alias("madde_no"), _put(" a;b,c ( {id} )  25,49 ", id=_id()).alias("icerik"))
     issues = _docs(spark, sf_dir).select(
-        "doc_id", (_ID % 97).cast("string").alias("rg_sayi"), _put("u{k}", k=_ID % 300).alias("url"), _put("  b \t {s} ", s=F.col("source")).alias("baslik"), laws.alias("kanunlar"), F.array(article).alias("degisen_maddeler")
+        "doc_id", (_id() % 97).cast("string").alias("rg_sayi"), _put("u{k}", k=_id() % 300).alias("url"), _put("  b \t {s} ", s=F.col("source")).alias("baslik"), laws.alias("kanunlar"), F.array(article).alias("degisen_maddeler")
     )
-    return issues, changes.next_state(issues.filter(_ID % 5 == 0), F.lit("now"))
+    return issues, changes.next_state(issues.filter(_id() % 5 == 0), F.lit("now"))
 
 
 @query(f"""
@@ -202,7 +204,7 @@ def q_issue_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 """)
 def q_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every source through its own gate"""
-    items = _docs(spark, sf_dir).select("doc_id", "text", _pick(["yargitay", "mevzuat", "other"], _ID).alias("source"))
+    items = _docs(spark, sf_dir).select("doc_id", "text", _pick(["yargitay", "mevzuat", "other"], _id()).alias("source"))
     out = changes.route(items, {"yargitay": (changes.decision_gate,), "mevzuat": (changes.statute_gate,)})
     return out.select("doc_id", "source", F.length("text").cast("long").alias("n"))
 
