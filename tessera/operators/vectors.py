@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, point_id
+from ..storage import written
 from .index import top_n
 
 #: Queries of one block of a dense search.
@@ -54,7 +55,12 @@ def dense_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool =
     found = None
     for b in range(blocks):
         rows = (asked if blocks == 1 else asked.filter(block == b)).collect()  # bounded by QUERY_BLOCK, about
-        part = own.mapInPandas(_nearest(spark.sparkContext.broadcast([tuple(r) for r in rows]), k, filtered), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
+        part = own.mapInPandas(_nearest(shared, k, filtered), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+        if blocks > 1:
+            # one block at a time on the driver, whatever the number of queries
+            part = written(part, "dense-block")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     return top_n(found.withColumn("score", F.round("score", 4)), k)
 
