@@ -46,6 +46,12 @@ def with_field(df: DataFrame, name: str, ddl: str) -> StructType:
     return StructType([f for f in df.schema.fields if f.name != name] + StructType.fromDDL(f"`{name}` {ddl}").fields)
 
 
+def but(df: DataFrame, *names: str) -> list[str]:
+    """Columns of df without those of these names; Spark tells names apart without regard to case, and so does this."""
+    gone = {n.lower() for n in names}
+    return [c for c in df.columns if c.lower() not in gone]
+
+
 def by_place(df: DataFrame) -> DataFrame:
     """df with columns named by their places, for Python batches: other names may hold dots."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])

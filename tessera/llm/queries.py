@@ -92,6 +92,13 @@ def op10_count_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_pieces(docs, path("byte_bpe_50k.json")).select("doc_id", "n_words", "n_pieces")
 
 
+def op11_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffixdedup import drop_repeats
+
+    out = drop_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
@@ -103,6 +110,7 @@ QUERIES: dict[str, Query] = {
     "op8_nearest": op8_nearest,
     "op9_capture_history": op9_capture_history,
     "op10_count_pieces": op10_count_pieces,
+    "op11_drop_repeats": op11_drop_repeats,
 }
 
 _LINE_BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
