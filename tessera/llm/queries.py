@@ -99,6 +99,23 @@ def op11_drop_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "repeats.n_bytes", "repeats.n_removed", "repeats.n_spans", F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op12_ball_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ballmeans import ball_kmeans, described
+
+    assigned, centroids = ball_kmeans(table(spark, sf_dir, "embeddings"), 16, rounds=3, dim=64, scale=64.0, seed=1)
+    return described(assigned, centroids, spark).withColumnRenamed("id", "vec_id")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fillmiddle import fill_in_middle, restored
+
+    cut = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"), seed=1, plain_percent=10, spm_percent=20)
+    again = restored(F.col("fim.output"), F.col("fim.form"))
+    return cut.select(
+        "doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256")
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack_sequences": op2_pack_sequences,
@@ -111,6 +128,8 @@ QUERIES: dict[str, Query] = {
     "op9_capture_history": op9_capture_history,
     "op10_count_pieces": op10_count_pieces,
     "op11_drop_repeats": op11_drop_repeats,
+    "op12_ball_clusters": op12_ball_clusters,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 _LINE_BLANKS = r"chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -135,7 +154,78 @@ _ORACLE_5 = f"""
     FROM judged GROUP BY doc_id
 """
 
+_ORACLE_11 = """
+    WITH texts AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    -- pieces of 100 starts each, because cutting a string takes time in proportion to where the cut is
+    pieces AS MATERIALIZED (
+        SELECT doc_id, 100 * c AS base, least(100, n - 99 - 100 * c) AS starts, substr(h, 200 * c + 1, 398) AS h
+        FROM (SELECT *, unnest(range(CAST(ceil((n - 99) / 100) AS BIGINT))) AS c FROM texts WHERE n >= 100)
+    ),
+    strings AS (SELECT doc_id, base, unnest(range(starts)) AS i, h FROM pieces),
+    named AS MATERIALIZED (SELECT doc_id, base + i AS s, md5_number(substr(h, 2 * i + 1, 200)) AS name FROM strings),
+    numbered AS (SELECT doc_id, s, row_number() OVER (PARTITION BY name ORDER BY doc_id, s) AS k FROM named),
+    later AS (SELECT doc_id, s, lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM numbered WHERE k > 1),
+    runs AS (SELECT doc_id, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM later),
+    spans AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM runs GROUP BY doc_id, run),
+    edges AS (
+        SELECT t.doc_id, t.h, p.a AS a, p.b AS b, coalesce(lag(p.b) OVER (PARTITION BY t.doc_id ORDER BY p.a), 0) AS from_,
+               lead(p.a) OVER (PARTITION BY t.doc_id ORDER BY p.a) AS next_a
+        FROM texts t JOIN spans p ON t.doc_id = p.doc_id
+    ),
+    kept AS (
+        SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+               string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a) || max(CASE WHEN next_a IS NULL THEN substr(h, 2 * b + 1) ELSE '' END) AS rest
+        FROM edges GROUP BY doc_id
+    )
+    SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n_spans, 0) AS BIGINT) AS n_spans,
+           sha256(unhex(coalesce(k.rest, t.h))) AS kept_sha256
+    FROM texts t LEFT JOIN kept k ON t.doc_id = k.doc_id
+"""
+
+
+def _oracle_12(rounds: int = 3) -> str:
+    """The rounds of k-means written out, every vector against every centroid."""
+    sql = """
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: CAST(floor(64 * x) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding::DOUBLE[], lambda x: x IS NOT NULL AND isfinite(x))) = 64
+        ), c0 AS MATERIALIZED (
+            SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS INTEGER) AS cluster, v AS c FROM kept QUALIFY cluster < 16
+        )"""
+    for r in range(rounds + 1):
+        sql += f""", d{r} AS (
+            SELECT vec_id, v, cluster, CAST(list_sum(list_transform(range(1, 65), lambda i: (v[i] - c[i]) * (v[i] - c[i]))) AS BIGINT) AS distance FROM kept CROSS JOIN c{r}
+        ), a{r} AS MATERIALIZED (SELECT * FROM d{r} QUALIFY row_number() OVER (PARTITION BY vec_id, v ORDER BY distance, cluster) = 1)"""
+        if r < rounds:
+            sql += f""", s{r} AS (SELECT cluster, i, CAST(sum(v[i]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY cluster, i),
+            m{r} AS (SELECT cluster, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY cluster),
+            c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.cluster = c{r}.cluster)"""
+    return sql + f"""
+        SELECT a.vec_id, a.cluster, a.distance, CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON a.cluster = c.cluster
+    """
+
+
+_ORACLE_13 = """
+    WITH h AS (SELECT doc_id, coalesce(text, '') AS t, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+    x AS (SELECT *, list_transform(range(4), lambda i: CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT)) AS r FROM h),
+    y AS (
+        SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+               CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+                    WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+        FROM x
+    ), z AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM y)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(t) AS restored_sha256
+    FROM z
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_drop_repeats": _ORACLE_11,
+    "op12_ball_clusters": _oracle_12(),
+    "op13_fill_in_middle": _ORACLE_13,
     "op5_drop_shared_lines": _ORACLE_5,
     "op8_nearest": """
         WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)
