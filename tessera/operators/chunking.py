@@ -143,8 +143,8 @@ def chunk_windows(docs: DataFrame, text_col: str = "text", config: ChunkConfig =
 def chunk_statutes(articles: DataFrame, config: ChunkConfig = ChunkConfig()) -> DataFrame:
     """Statute articles (law, law_no, article_no, text): clauses grouped, long groups windowed."""
     parts = articles.filter(strip(F.col("text")) != "").withColumn("_parts", paragraphs(F.col("text")))
-    # rows that share law and article follow each other whole
-    parts = parts.withColumn("_row", F.xxhash64("text", "law_no")).drop("text")
+    # rows that share law and article follow each other whole, in the order of the corpus
+    parts = parts.withColumn("_row", F.monotonically_increasing_id()).drop("text")
 
     def fold(p: list[str]) -> list[str]:
         out: list[str] = []
@@ -172,17 +172,21 @@ def chunk_decisions(decisions: DataFrame, config: ChunkConfig = ChunkConfig()) -
 
 
 def chunk_gazette(issues: DataFrame, config: ChunkConfig = ChunkConfig(), law_codes: dict[str, str] | None = None) -> DataFrame:
-    """Gazette issues: every changed article whole or windowed. law_codes maps law numbers to codes, so that later joins match."""
+    """Gazette issues: every changed article whole or windowed, numbered within its page (a row) in the order of the page's articles.
+
+    law_codes maps law numbers to codes, so that later joins match.
+    """
     first = F.try_element_at("kanunlar", F.lit(1))
     code = first
     if law_codes:
         table = F.create_map(*[F.lit(x) for pair in law_codes.items() for x in pair])
         code = F.coalesce(F.try_element_at(table, first), first)
-    rows = issues.select("rg_sayi", code.alias("law"), first.alias("law_no"), F.explode("degisen_maddeler").alias("m"))
-    rows = rows.select("rg_sayi", "law", "law_no", F.col("m.madde_no").alias("article_no"), F.array(strip(F.col("m.icerik"))).alias("_parts")).filter(F.col("_parts")[0] != "")
+    rows = issues.withColumn("_page", F.monotonically_increasing_id())  # before a page's articles are rows
+    rows = rows.select("rg_sayi", code.alias("law"), first.alias("law_no"), "_page", F.posexplode("degisen_maddeler").alias("_place", "m"))
+    rows = rows.select("rg_sayi", "law", "law_no", "_page", "_place", F.col("m.madde_no").alias("article_no"), F.array(strip(F.col("m.icerik"))).alias("_parts")).filter(F.col("_parts")[0] != "")
     fold = lambda p: p if tokens_of(p[0]) <= config.max_tokens else windows(_sentences(p[0]), config)
     out = _fold(rows, F.col("_parts"), fold).withColumn("source", F.lit("resmigazete")).withColumn("decision_id", F.lit(None).cast("string"))
-    return numbered(out, ["rg_sayi", "law"], index=["article_no", "chunk_index"])
+    return numbered(out, ["_page"], index=["_place", "chunk_index"]).drop("_page", "_place")
 
 
 def numbered(chunks: DataFrame, document: list[str], index: list[str] | None = None) -> DataFrame:

@@ -1,7 +1,6 @@
 """Entity and intent detection in queries from caller-supplied lexicons, all queries at once.
 
-Lexicons are DataFrames; a query meets a phrase where it contains it (a theta join; lexicons are small tables and are broadcast
-after a check of their size).
+Lexicons are DataFrames of any size; a query meets a phrase where it contains it, found by an automaton over all phrases (``phrases``).
 """
 
 from __future__ import annotations
@@ -13,17 +12,13 @@ from pyspark.sql import functions as F
 
 from ..functions.references import article_number, has_reference  # noqa: F401
 from ..functions.text import strip, word_count, words
-
-#: Phrases that a broadcast lexicon may have.
-MAX_LEXICON = 100_000
+from .phrases import find_phrases
 
 
 def contained(queries: DataFrame, lexicon: DataFrame, phrase: str = "phrase", *, lower: bool = True) -> DataFrame:
     """Rows of queries x lexicon whose lower-case text contains the phrase (lower=False: the text as it is)."""
-    size = lexicon.limit(MAX_LEXICON + 1).count()
-    if size > MAX_LEXICON:
-        raise ValueError(f"a lexicon has at most {MAX_LEXICON} phrases")
-    return queries.join(F.broadcast(lexicon), F.contains(F.lower("text") if lower else F.col("text"), F.col(phrase)))
+    found = find_phrases(queries, lexicon.select(phrase), lower=lower, into="_found")
+    return found.join(lexicon, F.col("_found") == F.col(phrase)).drop("_found")
 
 
 def by_alias(queries: DataFrame, aliases: DataFrame) -> DataFrame:

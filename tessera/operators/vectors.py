@@ -2,20 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, point_id
-from ..storage import written
-from .index import top_n
-
-#: Queries of one block of a dense search.
-QUERY_BLOCK = 10_000
+from . import cells
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,69 +29,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
-def dense_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool = True) -> DataFrame:
-    """(query_id, doc_id, score, rank). queries: query_id, vector, law; points: doc_id, vector, law.
+def dense_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool = True, blocks: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, score, rank). queries: query_id, vector, law; points: doc_id, vector, law; blocks: of the points (``cells.built``), if they are there already.
 
-    filtered: a query with a law meets only the points of that law, one without all of them. Queries are a stated set: blocks of up to
-    ``QUERY_BLOCK`` go to every task as one matrix (more of them mean more passes), and a task keeps k points a query. So neither a law that most
-    points have nor the number of pairs makes a shuffle.
+    filtered: a query with a law meets only the points of that law, one without all of them.
     """
-    spark = points.sparkSession
-    asked = queries.select(F.col("query_id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"), F.col("law").cast("string").alias("law"))
-    asked = asked.filter(F.col("vector").isNotNull())
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    block = F.pmod(F.xxhash64(F.col("query_id").cast("string")), F.lit(blocks))
-    kinds = queries.schema["query_id"].dataType.simpleString(), points.schema["doc_id"].dataType.simpleString()
-    own = points.select("doc_id", F.col("vector").cast("array<double>").alias("vector"), F.col("law").cast("string").alias("law")).filter(F.col("vector").isNotNull())
-    found = None
-    for b in range(blocks):
-        rows = (asked if blocks == 1 else asked.filter(block == b)).collect()  # bounded by QUERY_BLOCK, about
-        shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
-        part = own.mapInPandas(_nearest(shared, k, filtered), f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
-        if blocks > 1:
-            # one block at a time on the driver, whatever the number of queries
-            part = written(part, "dense-block")
-            shared.unpersist()
-        found = part if found is None else found.unionByName(part)
-    return top_n(found.withColumn("score", F.round("score", 4)), k)
-
-
-def _nearest(shared: Broadcast, k: int, filtered: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """A task's k nearest points of every query, by cosine rounded to four places, ties to the smaller id."""
-
-    def lengths(x: np.ndarray) -> np.ndarray:
-        return np.sqrt((x * x).sum(axis=1))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups: dict[tuple[int, str | None], list[int]] = {}
-        for i, (_, v, law) in enumerate(shared.value):
-            groups.setdefault((len(v), law if filtered else None), []).append(i)
-        sets = {g: (np.array([shared.value[i][1] for i in own], np.float64), own) for g, own in groups.items()}
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
-            ids, laws = batch["doc_id"].to_numpy(), batch["law"].to_numpy()
-            sizes = batch["vector"].map(len).to_numpy()
-            for (dim, law), (q, own) in sets.items():
-                at = np.flatnonzero((sizes == dim) & (laws == law if law is not None else True))
-                if not len(at):
-                    continue
-                x = np.stack(batch["vector"].to_numpy()[at]).astype(np.float64)
-                size = lengths(q)[:, None] * lengths(x)[None, :]
-                scores = np.divide(q @ x.T, size, out=np.zeros_like(size), where=size > 0)
-                for i, row in zip(own, scores):
-                    old = best.get(i)
-                    score, doc = (row, ids[at]) if old is None else (np.concatenate([old[0], row]), np.concatenate([old[1], ids[at]]))
-                    if len(score) > k:
-                        near = np.round(score, 4)
-                        least = np.partition(near, len(near) - k)[len(near) - k]
-                        keep = np.flatnonzero(near >= least)
-                        keep = keep[np.lexsort((doc[keep], -near[keep]))[:k]]
-                        score, doc = score[keep], doc[keep]
-                    best[i] = score, doc
-        for i, (score, doc) in best.items():
-            yield pd.DataFrame({"query_id": [shared.value[i][0]] * len(score), "doc_id": doc, "score": score})
-
-    return run
+    return cells.search(queries, cells.built(points) if blocks is None else blocks, k, filtered=filtered)
 
 
 def with_few(queries: DataFrame, hits: DataFrame, below: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Bm25Config, RetrievalConfig
-from ..operators import answers, fusion, index, models, vectors
+from ..operators import answers, cells, fusion, index, models, topk, vectors
 from ..storage import written
 
 
@@ -28,17 +28,18 @@ def retrieve(queries: DataFrame, corpus: Corpus, *, k: int | None = None, config
     """Ranked hits. queries: query_id, text, expanded (for sparse search), vector, query_law, query_article."""
     meta = corpus.docs.select("doc_id", "law", "article_no")
     asked = queries.select("query_id", "query_law", "query_article")
-    sparse = index.bm25_scores(corpus.docs, queries.select("query_id", F.coalesce("expanded", "text").alias("text")), config=bm25)
+    expanded = queries.select("query_id", F.coalesce("expanded", "text").alias("text"))
     # nine places: what sums in another order differ by is no rank
-    sparse = index.top_n(sparse.withColumn("score", F.round("score", 9)), config.top_k_sparse).drop("rank").join(meta, "doc_id").join(asked, "query_id")
+    sparse = topk.bm25_top(corpus.docs, expanded, config.top_k_sparse, places=9, config=bm25).drop("rank").join(meta, "doc_id").join(asked, "query_id")
     sparse = index.penalise_other_law(sparse, config.other_law_penalty)
     q = queries.select("query_id", "vector", F.col("query_law").alias("law"))
     # read twice (what is there, and who has few): written once; only queries with few hits of their law meet all points
-    filtered = written(vectors.dense_top(q, corpus.points, config.top_k_dense), "dense")
+    blocks = cells.built(corpus.points)
+    filtered = written(vectors.dense_top(q, corpus.points, config.top_k_dense, blocks=blocks), "dense")
     few = vectors.with_few(q.filter(F.col("law").isNotNull()), filtered, config.dense_fallback_below)
     dense = filtered
     if few.limit(1).count():
-        dense = vectors.fallback(filtered, vectors.dense_top(few, corpus.points, config.top_k_dense, filtered=False), config.dense_fallback_below)
+        dense = vectors.fallback(filtered, vectors.dense_top(few, corpus.points, config.top_k_dense, filtered=False, blocks=blocks), config.dense_fallback_below)
     alphas = queries.select("query_id", fusion.alpha(F.col("text"), F.col("query_article"), config).alias("alpha"))
     hits = fusion.fuse(dense, sparse, alphas).join(meta, "doc_id").join(asked, "query_id")
     # injection reads the hits four times (a few hundred rows a query), so they are computed once

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .config import ChunkConfig
 from .functions import text as T
-from .operators import answers, changes, chunking, citations, entities, fusion, index, metrics, models, vectors
+from .operators import answers, cells, changes, chunking, citations, entities, fusion, index, metrics, models, topk, vectors
 from .sources import corpora
 from .storage import spread, written
 
@@ -155,8 +155,7 @@ _BM25 = f"""
 
 def _sparse(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     queries = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
-    scores = index.bm25_scores(table(spark, sf_dir, "documents"), queries).withColumn("score", F.round("score", 4))
-    return index.top_n(scores, k)
+    return topk.bm25_top(table(spark, sf_dir, "documents"), queries, k)
 
 
 @query(f"WITH {_BM25} SELECT query_id, doc_id, score, rank FROM sparse WHERE rank <= 10")
@@ -230,7 +229,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("en").alias("query_law"), article.alias("query_article"))
     meta = docs.select("doc_id", "law", "article_no")
     asked = queries.select("query_id", "query_law", "query_article")
-    sparse = index.top_n(index.bm25_scores(docs, queries).withColumn("score", F.round("score", 4)), 200).drop("rank")
+    sparse = topk.bm25_top(docs, queries, 200).drop("rank")
     sparse = index.penalise_other_law(sparse.join(meta, "doc_id").join(asked, "query_id"), 0.70)
     points = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")).join(meta.select("doc_id", "law"), "doc_id")
     q = asked.select("query_id", F.col("query_law").alias("law")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id")
@@ -289,7 +288,8 @@ def q_fallback_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("law"))
     asked = e.filter(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id")
     asked = asked.withColumn("law", F.when(F.col("query_id") % 100 == 0, 99).otherwise(F.col("law")))
-    return vectors.fallback(vectors.dense_top(asked, e, 20), vectors.dense_top(asked, e, 20, filtered=False), 10)
+    blocks = cells.built(e)
+    return vectors.fallback(vectors.dense_top(asked, e, 20, blocks=blocks), vectors.dense_top(asked, e, 20, filtered=False, blocks=blocks), 10)
 
 
 @query("""
@@ -332,7 +332,6 @@ _METRICS = f"""{_BM25}, {_TRUTH},
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 hits against the documents that hold the item's whole text (none, for some items)."""
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    # the items are a stated set of phrases; contained() checks their number before it sends them to all tasks
     holds = entities.contained(docs.select("doc_id", "text"), items.select(F.col("item_id").alias("query_id"), F.col("text").alias("phrase")), lower=False)
     holds = holds.groupBy("query_id").agg(F.collect_set(F.col("doc_id").cast("string")).alias("expected"))
     law = F.when(F.col("query_id") % 2 == 0, "even").otherwise("odd")

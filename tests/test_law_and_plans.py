@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import ChunkConfig
 from tessera.functions import references as R
-from tessera.operators import changes, chunking, entities, index, models, vectors
+from tessera.operators import cells, changes, chunking, entities, index, models, vectors
 from tessera.plans.retrieval import answer
 from tessera.storage import exists, release, written
 
@@ -132,7 +132,7 @@ def test_saved_index(spark, tmp_path):
 def test_dense_search_equals_brute_force(spark, monkeypatch, block):
     import numpy as np
 
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(cells, "TILE_QUERIES", block)
     r = np.random.default_rng(2)
     base = r.normal(size=(60, 8))
     base[40:50] = base[3]

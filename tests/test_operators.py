@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.config import ChunkConfig
+from tessera.functions.text import content_hash
 from tessera.operators import answers, changes, chunking, citations, entities, fusion, index, metrics, models, vectors
 
 
@@ -103,6 +104,37 @@ def test_chunk_sources(spark):
     assert [r.chunk_id for r in numbered][:2] == ["a_00000", "a_00001"] and numbered[-1].chunk_id == "b_00332"
 
 
+def test_gazette_articles_keep_their_order_and_pages_their_numbers(spark):
+    kind = "rg_sayi string, url string, kanunlar array<string>, degisen_maddeler array<struct<madde_no string, icerik string>>"
+    issues = [("1", "u1", ["6098"], [("2", "first"), ("10", "second"), ("2", "third"), ("3", " ")]), ("1", "u2", ["6098"], [("7", "other page")]), ("1", "u2", ["6098"], [("7", "other page")])]
+    g = chunking.chunk_gazette(spark.createDataFrame(issues, kind))
+    got = sorted((r.article_no, r.chunk_index, r.chunk_total, r.text, r.chunk_id) for r in g.collect())
+    assert got == [("10", 1, 3, "second", "6098_10_1"), ("2", 0, 3, "first", "6098_2_0"), ("2", 2, 3, "third", "6098_2_2")] + 2 * [("7", 0, 1, "other page", "6098_7_0")]
+
+
+def test_versions_of_a_key_with_half_of_all_rows(spark):
+    """Against one step after the other: a hot key, null texts, equal places, a stored version to begin with."""
+    import random
+
+    r = random.Random(3)
+    kind = "key string, version int, issue string, date string, text string, hash string"
+    stored = [("hot", 1, "i", "d", "a"), ("hot", 4, "i", "d", "b"), ("k1", 2, "i", "d", "c"), ("k2", 1, "i", "d", None), ("unchanged", 1, "i", "d", "z")]
+    old = spark.createDataFrame([(*x, None) for x in stored], kind).withColumn("hash", content_hash(F.col("text")))
+    new = [(r.choice(["hot", "hot", "hot", "k1", "k2", "unknown"]), f"i{n}", "d", r.choice(["a", "b", "b", "c", None]), n) for n in range(400)]
+    new += [("k1", "j", "d", "b", 1000), ("hot", "x", "d", "b", 1001), ("hot", "y", "d", None, 1002), ("hot", "z", "d", "b", 1003)]
+    changed = spark.createDataFrame(new, "key string, issue string, date string, text string, ord long").repartition(5)
+    found = changes.add_versions(old, changed)
+    want = [x for x in stored]
+    now = {"hot": (4, "b"), "k1": (2, "c"), "k2": (1, None)}
+    for key, issue, date, text, _ in sorted(new, key=lambda x: x[4]):
+        if key in now and text is not None and now[key][1] != text:
+            now[key] = now[key][0] + 1, text
+            want.append((key, now[key][0], issue, date, text))
+    assert sorted((tuple(x)[:5] for x in found.collect()), key=str) == sorted(want, key=str)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_part" in line or "_steps" in line for line in plan.splitlines() if "Window [" in line)
+
+
 def test_citations(spark):
     text = "TBK m. 12, TTK'nın 5. maddesi, (TKHK, m. 7), 6098 sayılı Kanun madde 9, TBK 44. ve (TTK 3/1) DAVA"
     rows = [(f"d{k}", text if k == 0 else "TBK m. 12", k) for k in range(25)] + [("", "TBK m. 1", 99), ("e", "", 98)]
