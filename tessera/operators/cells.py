@@ -4,7 +4,7 @@ Every point goes to the nearest of a few sampled directions of its law; the poin
 angles around a direction, and a cell that holds most points is many blocks in many tasks. A query at angle a from the direction can have no larger cosine with a
 point of the ring than cos(max(0, a - outer, inner - a)).
 
-A search has two steps. First every query visits the best blocks by bound, as many as hold k points; its k-th score there is its threshold. Then it
+A search has two steps (one where there are only a few blocks). First every query visits the best blocks by bound, as many as hold k points; its k-th score there is its threshold. Then it
 visits each block whose bound reaches the threshold. Queries are a stated set: they meet the blocks' heads (directions and angles, no points) in tiles, and a block is read by one task with the
 queries that visit it. Nothing is collected but a bounded sample of directions.
 """
@@ -25,6 +25,8 @@ from .index import top_n
 
 #: Directions at most; points for which there is one, and points of a block; heads and queries of a tile.
 MOST_CELLS, CELL_POINTS, BLOCK_POINTS, TILE_HEADS, TILE_QUERIES = 1024, 512, 512, 4096, 4096
+#: With so few blocks, to find thresholds takes longer than to visit all of them.
+FEW_BLOCKS = 64
 #: Scores are rounded to four places; what is lower by more than this cannot round to the same.
 SLACK = 2e-4
 _HEAD = ["block", "dim", "law", "n", "direction", "inner", "outer"]
@@ -218,7 +220,8 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, *, filtered: bool = Tr
     query_kind, id_kind = queries.schema["query_id"].dataType.simpleString(), id_field.simpleString()
     asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"), F.col("law").cast("string").alias("law")).filter(F.size("vector") > 0)
     asked = written(asked.withColumn("dim", F.size("vector")).withColumn("row", F.monotonically_increasing_id()), "asked")
-    tiles = max(1, -(-asked.count() // TILE_QUERIES)), max(1, -(-blocks.count() // TILE_HEADS))
+    count = blocks.count()
+    tiles = max(1, -(-asked.count() // TILE_QUERIES)), max(1, -(-count // TILE_HEADS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     heads = blocks.select(*_HEAD).withColumn("b", tile("block", tiles[1])).withColumn("a", every(tiles[0]))
@@ -236,13 +239,16 @@ def search(queries: DataFrame, blocks: DataFrame, k: int, *, filtered: bool = Tr
         met = left.groupBy("block", "a").cogroup(right.join(used, ["block", "a"], "left_semi").groupBy("block", "a"))
         return met.applyInArrow(_scores(k, to_arrow_type(id_field)), f"query_id long, doc_id {id_kind}, score double").withColumnRenamed("query_id", "row")
 
-    open_ = asked.withColumn("least", F.lit(float("nan")))
-    first = visits(open_)
-    before = Window.partitionBy("row").orderBy(F.col("bound").desc(), "block").rowsBetween(Window.unboundedPreceding, -1)
-    first = first.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < k)
-    place = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc()))
-    kth = scored(first, open_).withColumn("place", place).filter(F.col("place") == k).select("row", F.col("score").alias("least"))
-    limits = written(asked.join(kth, "row", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), "limits")
+    if count <= FEW_BLOCKS:
+        limits = asked.withColumn("least", F.lit(-2.0))
+    else:
+        open_ = asked.withColumn("least", F.lit(float("nan")))
+        first = visits(open_)
+        before = Window.partitionBy("row").orderBy(F.col("bound").desc(), "block").rowsBetween(Window.unboundedPreceding, -1)
+        first = first.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter(F.col("before") < k)
+        place = F.row_number().over(Window.partitionBy("row").orderBy(F.col("score").desc()))
+        kth = scored(first, open_).withColumn("place", place).filter(F.col("place") == k).select("row", F.col("score").alias("least"))
+        limits = written(asked.join(kth, "row", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))), "limits")
     pairs = written(visits(limits), "visits")
     if visited is not None:
         visited.add(pairs.count())

@@ -45,7 +45,7 @@ class Lists:
         order = np.argsort(-bounds, kind="stable")
         left = np.append(np.cumsum(bounds[order][::-1])[::-1], 0.0)  # what the terms from here on can add
         found = np.zeros(0, np.int64)
-        scored = 0
+        scored = look = 0
         for i, k in enumerate(order.tolist()):
             w, a, b, _ = own[k]
             docs = self.docs[a:b]
@@ -62,9 +62,11 @@ class Lists:
                 at = np.minimum(np.searchsorted(docs, found), b - a - 1)
                 hit = docs[at] == found
                 self.score[found[hit]] += w * self.parts[a + at[hit]]
-            if len(found) >= n:
-                reached = self.score[found]
-                least = max(least, float(np.partition(reached, len(found) - n)[len(found) - n]))
+            if len(found) >= n and i >= look:
+                # the best so far, with all their terms: what n documents reach
+                look = 2 * i + 1
+                lead = found[np.argpartition(-self.score[found], n - 1)[:n]]
+                least = max(least, float(self._whole(lead, [own[k] for k in order[i + 1 :].tolist()]).min()))
             out = self.score[found] + left[i + 1] < least - slack
             if out.any():
                 gone, found = found[out], found[~out]
@@ -75,6 +77,15 @@ class Lists:
         self.score[found], self.member[found] = 0.0, False
         return found, scores, scored
 
+    def _whole(self, docs: np.ndarray, rest: list[tuple[float, int, int, float]]) -> np.ndarray:
+        """Scores of a few candidates with what the rest of the terms adds."""
+        total = self.score[docs]
+        for w, a, b, _ in rest:
+            own = self.docs[a:b]
+            at = np.minimum(np.searchsorted(own, docs), b - a - 1)
+            total += np.where(own[at] == docs, w * self.parts[a + at], 0.0)
+        return total
+
 
 def _best(n: int, places: int, counter: Accumulator | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
     slack = 2.0 * 10.0**-places
@@ -119,7 +130,6 @@ def top_postings(
     part = tf * (config.k1 + 1) / (tf + norm) + config.delta
     parts = posts.join(hint(terms.select("term", "number")), "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("doc_id", "number", part.alias("part"))  # one row
     parts = parts.filter(F.col("doc_id").isNotNull())
-    parts = written(parts, "parts")
     # of each term, the n-th largest contribution
     place = F.row_number().over(Window.partitionBy("number").orderBy(F.col("part").desc()))
     nth = parts.select("number", "part").withColumn("place", place).filter(F.col("place") <= n).groupBy("number").agg(F.min("part").alias("nth"), F.count("*").alias("had"))
@@ -128,7 +138,7 @@ def top_postings(
     asked = asked.groupBy("query_id").agg(
         F.collect_list("number").alias("numbers"), F.collect_list("weight").alias("weights"), F.coalesce(F.max(F.col("weight") * F.col("nth")), F.lit(0.0)).alias("least")
     )
-    size = parts.agg(F.count("*").alias("n")).first()["n"]
+    size = posts.count()
     shards = max(1, -(-size // SHARD_POSTINGS), min(width, size // 4096))
     blocks = max(1, -(-wanted.count() // QUERY_TERMS))
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
@@ -148,4 +158,4 @@ def bm25_top(
     tokens = tokenised(docs, doc_id, text_col)
     wanted = written(query_terms(queries, query_id, text_col), "wanted")
     posts = written(postings(tokens, wanted), "postings")
-    return top_postings(posts, corpus_stats(tokens), wanted, n, places=places, config=config, counter=counter)
+    return top_postings(posts, written(corpus_stats(tokens), "statistics"), wanted, n, places=places, config=config, counter=counter)

@@ -46,6 +46,7 @@ def test_against_all_cosines(spark, monkeypatch, filtered):
     monkeypatch.setattr(cells, "BLOCK_POINTS", 20)
     monkeypatch.setattr(cells, "CELL_POINTS", 30)
     monkeypatch.setattr(cells, "TILE_QUERIES", 7)
+    monkeypatch.setattr(cells, "FEW_BLOCKS", 5)
     monkeypatch.setattr(cells, "TILE_HEADS", 9)
     x, r = clustered(1, 500)
     points = [(i, v.tolist(), ["a", "b", "c", None][r.integers(0, 4)]) for i, v in enumerate(x)]
