@@ -42,8 +42,8 @@ def materialise(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
 
 
 def with_field(df: DataFrame, name: str, ddl: str) -> StructType:
-    """Schema of df without a column of that name, and with it at the end."""
-    return StructType([f for f in df.schema.fields if f.name != name] + StructType.fromDDL(f"`{name}` {ddl}").fields)
+    """Schema of df without a column of that name (in any case of letters), and with it at the end."""
+    return StructType([f for f in df.schema.fields if f.name.lower() != name.lower()] + StructType.fromDDL(f"`{name}` {ddl}").fields)
 
 
 def but(df: DataFrame, *names: str) -> list[str]:

@@ -11,7 +11,7 @@ rows meet their bitmaps by a sorted shuffle, texts included, since the bitmaps g
 
 Defined results: a null or empty text has one empty line; a null id counts as one document, smaller than all others; rows with equal id and
 text get the same bitmap; rows with equal id and different text are one document (for counting and for keeping) with a
-bitmap each; lines that occur twice in a document count once and share their fate; very long texts are split whole; an empty table gives no bitmap; further columns are left alone (an input column named like an output is replaced).
+bitmap each; lines that occur twice in a document count once and share their fate; very long texts are split whole; an empty table gives no bitmap; further columns are left alone (an input column named like an output, in any case of letters, is replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import BLANKS, materialise, shuffle_width
+from .common import BLANKS, but, materialise, shuffle_width
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUT = "kind int, h1 long, h2 long, doc long, no_doc boolean, mark long, n_lines int, pos int, part int, docs long, last_doc long, last_no_doc boolean"
@@ -199,7 +199,7 @@ def drop_shared_lines(
     # texts that keep all lines are not sent to Python
     kept = _kept(F.when(F.col("_m_bitmap").isNotNull(), text), F.col("_m_bitmap"))
     out = out.withColumn("_kept", F.when(F.col("_m_bitmap").isNull(), text).otherwise(kept))
-    columns = [(F.col("_kept") if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns if c != info]
+    columns = [(F.col("_kept") if c == text_col else F.col("_row")[c]).alias(c) for c in (docs.columns if info is None else but(docs, info))]
     if info is not None:
         n_lines = F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1))
         columns.append(F.struct(n_lines.alias("n_lines"), F.coalesce("_m_n_dropped", F.lit(0)).alias("n_dropped"), F.col("_m_bitmap").alias("bitmap")).alias(info))

@@ -7,12 +7,13 @@ gives the exact bytes of media inside media.
 Defined results: a null or empty value has no type and nothing embedded; a value that no validator accepts at its first byte keeps its
 declared type and is marked unconfirmed; of media that begin at one byte the longest comes first; a null text is stored as an empty one; a very long
 value is read whole (a column's value is below 2 GB, so that sizes fit their 32-bit fields); equal texts and repeated rows give equal results; an empty table
-gives an empty table; further columns are kept by ``sniff_media``, whatever their names (an input column named like the output is replaced).
+gives an empty table; further columns are kept by ``sniff_media``, whatever their names (an input column named like the output, in any case of letters, is replaced).
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from bisect import bisect_left
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_place, materialise, with_field
+from .common import but, by_place, materialise, with_field
 
 #: Payloads are padded to rows of so many samples.
 ROW = 576
@@ -200,11 +201,24 @@ class Marks:
         return out
 
 
+_PDF_TAIL, _PDF_TABLE = re.compile(rb"startxref\s+(\d{1,12})\s+%%EOF"), re.compile(rb"xref|\d+\s+\d+\s+obj")
+
+
 def _pdf(d: bytes, at: int, marks: Marks) -> int:
-    ends = marks.all(b"%%EOF")
-    end = ends[-1] if ends else -1
-    table = marks.after(b"startxref", at)
-    return end + 5 - at if end > at and 0 <= table < end - 8 else 0
+    """Up to the end of the last section that is this file's: each ``startxref`` names a table of the file, an update's one behind the section before it."""
+    end = linear = 0
+    places = marks.all(b"startxref")
+    k = bisect_left(places, at)
+    while k < len(places) and (tail := _PDF_TAIL.match(d, places[k])):
+        p, k = places[k], k + 1
+        table = int(tail[1])
+        if table == 0 and not end:
+            linear, end = 1, tail.end() - at  # the first part of a file that is ordered for the web; its table is named at the end
+            continue
+        if at + table >= p or not _PDF_TABLE.match(d, at + table) or (end and not linear and table < end):
+            break
+        end, linear = tail.end() - at, 0
+    return end
 
 
 def _zip(d: bytes, at: int, marks: Marks) -> int:
@@ -297,7 +311,7 @@ _SNIFFED_ARROW = pa.struct(
 
 def sniff_media(df: DataFrame, *, media_col: str = "media", declared_col: str = "declared", into: str = "sniffed") -> DataFrame:
     """df with a struct column: type, confirmed, corrected, length, embedded[offset, length, type]."""
-    kept = [c for c in df.columns if c != into]
+    kept = but(df, into)
     where = {c: i for i, c in enumerate(df.columns)}
     schema = with_field(df, into, _SNIFFED)
 

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, materialise
+from .common import WORD_PATTERN, but, materialise
 
 #: A table of one row per source is broadcast up to so many sources, else joined by shuffle.
 BROADCAST_SOURCES = 100_000
@@ -203,7 +203,7 @@ def mix_sources(
     final = with_goal(goals.drop("weight", "mass"), cuts.select("src", "steps")).withColumnRenamed("_g_steps", "steps")
     final = materialise(with_goal(final, last).withColumnRenamed("_g_last", "last"), "mix-plan")
 
-    keep = [c for c in docs.columns if c != into]
+    keep = but(docs, into)
     out = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         F.col(source_col).alias("src"),

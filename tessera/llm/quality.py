@@ -12,7 +12,7 @@ in hash order of id, of which near copies (a common smallest shingle hash under
 
 Defined results: null and empty texts have no features and score as the thresholds say; unrated, null or foreign grades are not
 sampled; without any rated row every document has null scores and is kept; repeated rows are scored each; very long texts are scored whole; a tail equal to the
-threshold is kept; an empty table gives an empty table; further columns are kept, whatever their names (an input column named like the output is replaced).
+threshold is kept; an empty table gives an empty table; further columns are kept, whatever their names (an input column named like the output, in any case of letters, is replaced).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import by_place, as_chunks, lower_ascii, mix64, shingle_sets, span_hashes, with_field, word_spans, words_per_text
+from .common import as_chunks, but, by_place, lower_ascii, mix64, shingle_sets, span_hashes, with_field, word_spans, words_per_text
 
 #: Hash spaces of words, of pieces of words, and of shapes, one after the other.
 WORD_BITS, GRAM_BITS, SHAPE_BITS = 18, 18, 12
@@ -249,7 +249,7 @@ def train(sampled: DataFrame, levels: int) -> OrdinalModel | None:
 
 def score(docs: DataFrame, model: OrdinalModel | None, *, text_col: str = "text", keep_grade: int = 2, keep_at: float = 0.5, into: str = "quality") -> DataFrame:
     """docs with a struct column: expected grade, tail = P(grade >= keep_grade), keep = tail >= keep_at."""
-    kept = [c for c in docs.columns if c != into]
+    kept = but(docs, into)
     where = {c: i for i, c in enumerate(docs.columns)}
     schema = with_field(docs, into, "struct<expected:double,tail:double,keep:boolean>")
     shared = docs.sparkSession.sparkContext.broadcast(model)

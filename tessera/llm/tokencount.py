@@ -11,7 +11,7 @@ there are ``TOGETHER`` of them that long; the rest of the few longer ones is rea
 Defined results: words are runs of ``[^\\x20\\x09-\\x0D]``; a word with a stretch that no piece matches counts as one
 unknown piece; null and empty texts have 0 words and 0 pieces; repeated rows are counted each; very long texts and words are
 counted whole, in time linear in their length; there are no ties (the longest match is one); an empty table gives an empty table; further
-columns are kept, whatever their names (an input column named like the output is replaced).
+columns are kept, whatever their names (an input column named like the output, in any case of letters, is replaced).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import as_chunks, by_place, span_hashes, word_spans, words_per_text
+from .common import as_chunks, but, by_place, span_hashes, word_spans, words_per_text
 
 NONE = -1
 #: Failure link of a node from which no piece can be popped: the word is unknown.
@@ -191,9 +191,9 @@ def count_pieces(docs: DataFrame, vocabulary: str | tuple[str, ...], *, text_col
 
     vocabulary: path of a byte-level vocabulary file, or a tuple of word pieces with ``##`` before continuing ones.
     """
-    kept = [c for c in docs.columns if c not in (words, pieces)]
+    kept = but(docs, words, pieces)
     at = docs.columns.index(text_col)
-    schema = StructType([f for f in docs.schema.fields if f.name in kept]).add(words, "long").add(pieces, "long")
+    schema = StructType([docs.schema[c] for c in kept]).add(words, "long").add(pieces, "long")
     places = [docs.columns.index(c) for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

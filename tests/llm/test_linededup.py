@@ -61,3 +61,11 @@ def test_bitmaps_and_empty_table(spark):
     maps = keep_bitmaps(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc").collect()
     assert [(m.doc, bits(m.bitmap, m.n_lines).tolist()) for m in maps] == [(i, [True, False, True]) for i in range(4)]
     assert drop_shared_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_clashing_name_of_another_case(spark):
+    from tessera.llm.linededup import drop_shared_lines
+
+    line = "a line that is long enough to be a shared one"
+    out = drop_shared_lines(spark.createDataFrame([(i, line, "x") for i in range(6)], "doc_id long, text string, LINES string"))
+    assert out.columns == ["doc_id", "text", "lines"] and sum(r["lines"]["n_dropped"] for r in out.collect()) == 5

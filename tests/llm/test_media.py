@@ -93,3 +93,34 @@ def test_archives_inside_archives():
 def test_columns_with_dots(spark):
     got = sniff_media(spark.createDataFrame([(to_png(padded(b"a")), None, 3)], "media binary, declared string, `a.b` long"))
     assert got.columns == ["media", "declared", "a.b", "sniffed"] and got.first().sniffed.type == "image/png"
+
+
+def pdf(body, updates=0, web=False):
+    """A file with a table, and with tables of later updates that name the one before."""
+    data = b"%PDF-1.4\n" + body
+    if web:
+        data += b"startxref\n0\n%%EOF\n"
+    table = None
+    for k in range(updates + 1):
+        data += b"7 0 obj\n%d\nendobj\n" % k
+        at, prev = len(data), b"" if table is None else b"/Prev %d" % table
+        data += b"xref\n0 1\n0000000000 65535 f \ntrailer << /Size 1 %s >>\nstartxref\n%d\n%%%%EOF" % (prev, at)
+        table = at
+        data += b"\n" if k < updates else b""
+    return data
+
+
+def test_pdf_ends_with_its_own_last_section():
+    a, b, c = pdf(b"first"), pdf(b"a second, longer one"), pdf(b"updated", updates=2)
+    for parts in ([a, b], [a, a], [c, a], [a, c, b], [pdf(b"web", web=True), a]):
+        data, want = b"", []
+        for p in parts:
+            want.append((len(data), len(p), "application/pdf"))
+            data += p + b" "
+        assert sniff(data) == want
+    assert sniff(a + b" text with %%EOF and startxref and startxref\n12\n%%EOF") == [(0, len(a), "application/pdf")]
+
+
+def test_clashing_name_of_another_case(spark):
+    out = sniff_media(spark.createDataFrame([(to_png(padded(b"a")), "x", 5)], "media binary, declared string, SNIFFED int"))
+    assert out.columns == ["media", "declared", "sniffed"] and out.first()["sniffed"]["type"] == "image/png"

@@ -95,3 +95,10 @@ def test_very_long_documents_cost_no_accuracy(spark):
     for taken, target in taken_and_target(got).values():
         assert abs(taken - target) <= 30
     assert len({g.mix.copies for g in got if g.doc_id == 5000}) == 1
+
+
+def test_clashing_name_of_another_case(spark):
+    from tessera.llm.mixing import mix_sources
+
+    out = mix_sources(spark.createDataFrame([(i, "some words here", "ab"[i % 2], 7) for i in range(20)], "doc_id long, text string, source string, Mix int"))
+    assert out.columns == ["doc_id", "text", "source", "mix"] and out.agg({"mix.size": "sum"}).first()[0] == 60

@@ -61,3 +61,10 @@ def test_sample_is_bounded_where_ids_repeat(spark):
     ratings = spark.createDataFrame([(k, k % 3) for k in range(1, 13)], "doc_id long, grade int")
     got = quality.sample_rated(docs, ratings, levels=3, sample=30).collect()
     assert sorted((g.text or "", g.grade) for g in got) == sorted([("text 0", 1), ("", 0), *((f"own {k}", k % 3) for k in range(2, 12))])
+
+
+def test_clashing_name_of_another_case(spark):
+    from tessera.llm.quality import score
+
+    out = score(spark.createDataFrame([("a text", 3)], "text string, QUALITY int"), None)
+    assert out.columns == ["text", "quality"] and out.first()["quality"]["keep"]

@@ -78,3 +78,10 @@ def test_long_words_take_linear_time():
 def test_columns_with_dots(spark):
     got = count_pieces(spark.createDataFrame([(1, "a b", 2)], "doc_id long, text string, `x.y` long"), ("a", "##b", "b"))
     assert got.columns == ["doc_id", "text", "x.y", "n_words", "n_pieces"] and got.first()[2] == 2
+
+
+def test_clashing_names_of_another_case(spark):
+    from tessera.llm.tokencount import count_pieces
+
+    out = count_pieces(spark.createDataFrame([("ab abc", "x", 1)], "text string, N_WORDS string, N_Pieces int"), ("ab", "##c"))
+    assert out.columns == ["text", "n_words", "n_pieces"] and tuple(out.first())[1:] == (2, 3)
