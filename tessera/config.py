@@ -42,3 +42,8 @@ class ChunkConfig:
     min_chunk_tokens: int = 40
     #: A last window of fewer tokens joins the one before it, or is dropped if there is none.
     min_last_tokens: int = 50
+
+
+#: Characters that may stand between a law's number, or its name, and the number of an article in a question, and between a law's number and the
+#: word for article in a decision.
+NUMBER_REACH, NAME_REACH, CITATION_REACH = 60, 40, 50
