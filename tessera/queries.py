@@ -381,15 +381,103 @@ def q_found_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- chunking --------------------------------------------------------------------------------------------------
 
 
-@query()
+def _word_count(c: str) -> str:
+    return _WORDS.replace("text", c).join(("len(", ")"))
+
+
+def _windows(pieces: str) -> str:
+    """CTEs after a table ``pieces`` (key, i, s) of sentences: windows (key, place, text). The fold is a recursion over numbered items: sentences, or the words of one that is too long.
+
+    A window is a run of items; the state holds where its pieces begin (starts) and their words (ws), so that those carried over are found from the sums at the end.
+    """
+    tail = "len(list_filter(range(1, len(ws) + 1), lambda j: list_sum(list_transform(ws[len(ws) - j + 1:], lambda w: w * 13 // 10)) <= 37))"
+    return f"""
+    sized AS (SELECT key, i, s, {_word_count('s')} AS w FROM {pieces}),
+    items AS MATERIALIZED (
+        SELECT key, row_number() OVER (PARTITION BY key ORDER BY i, j) AS k, s, w, long, long AND j = 1 AS opens, long AND j = count(*) OVER (PARTITION BY key, i) AS closes
+        FROM (SELECT key, i, 1 AS j, s, w, false AS long FROM sized WHERE w * 13 // 10 <= 250
+              UNION ALL SELECT key, i, unnest(range(1, w + 1)) AS j, unnest({_WORDS.replace("text", "s")}) AS s, 1 AS w, true FROM sized WHERE w * 13 // 10 > 250)
+    ),
+    fold AS (
+        SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, []::BIGINT[] AS starts, []::BIGINT[] AS ws, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS inner_start, CAST(0 AS BIGINT) AS inner_size,
+               CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b
+        FROM items
+        UNION ALL
+        SELECT key, k + 1,
+               CASE WHEN long AND closes THEN [inner_from] WHEN long AND opens AND full_ THEN kept_starts WHEN long THEN starts WHEN full_ THEN list_append(kept_starts, k + 1) ELSE list_append(starts, k + 1) END,
+               CASE WHEN long AND closes THEN [k + 2 - inner_from] WHEN long AND opens AND full_ THEN kept_ws WHEN long THEN ws WHEN full_ THEN list_append(kept_ws, w) ELSE list_append(ws, w) END,
+               CASE WHEN long AND closes THEN (k + 2 - inner_from) * 13 // 10 WHEN long THEN size WHEN full_ THEN coalesce(kept_ws[1], 0) * 13 // 10 + w * 13 // 10 ELSE size + w * 13 // 10 END,
+               inner_from, CASE WHEN opens THEN 1 WHEN inner_full THEN 49 ELSE inner_size + 1 END,
+               CASE WHEN inner_full THEN inner_start WHEN full_ THEN starts[1] END, CASE WHEN inner_full OR full_ THEN k END
+        FROM (
+            SELECT *, CASE WHEN t > 0 THEN [starts[len(starts) - t + 1]] ELSE [] END AS kept_starts, CASE WHEN t > 0 THEN [CAST(list_sum(ws[len(ws) - t + 1:]) AS BIGINT)] ELSE [] END AS kept_ws,
+                   CASE WHEN opens THEN k + 1 WHEN inner_full THEN k - 36 ELSE inner_start END AS inner_from
+            FROM (
+                SELECT f.*, x.w, x.long, x.opens, x.closes, {tail} AS t,
+                       CASE WHEN x.long THEN x.opens AND len(starts) > 0 ELSE size + x.w * 13 // 10 > 250 AND size >= 180 END AS full_,
+                       x.long AND NOT x.opens AND inner_size + 1 > 250 AND inner_size >= 180 AS inner_full
+                FROM fold f JOIN items x ON x.key = f.key AND x.k = f.k + 1
+            )
+        )
+    ),
+    closed AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY k) AS place, a, b FROM fold WHERE a IS NOT NULL),
+    rest AS (SELECT f.key, f.starts[1] AS a, f.k AS b, list_sum(f.ws) * 13 // 10 AS n FROM fold f JOIN (SELECT key, max(k) AS k FROM items GROUP BY key) m ON m.key = f.key AND m.k = f.k),
+    runs AS (
+        SELECT key, place, a, b FROM closed UNION ALL
+        SELECT r.key, coalesce(c.n, 0) + CASE WHEN r.n >= 50 THEN 1 ELSE 0 END, r.a, r.b FROM rest r LEFT JOIN (SELECT key, max(place) AS n FROM closed GROUP BY key) c ON c.key = r.key
+    ),
+    windows AS (
+        SELECT key, place - 1 AS place, string_agg(text, ' ' ORDER BY a) AS text
+        FROM (SELECT r.key, r.place, r.a, string_agg(x.s, ' ' ORDER BY x.k) AS text FROM runs r JOIN items x ON x.key = r.key AND x.k BETWEEN r.a AND r.b WHERE r.place > 0 GROUP BY r.key, r.place, r.a, r.b)
+        GROUP BY key, place
+    )"""
+
+
+@query(f"""
+    WITH RECURSIVE pieces AS (SELECT doc_id AS key, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s FROM (SELECT doc_id, {_SENTENCES} AS l FROM documents)),
+    {_windows("pieces")}
+    SELECT key AS doc_id, CAST(place AS INTEGER) AS chunk_index, text, {_word_count("text")} * 13 // 10 AS token_len FROM windows
+""")
 def q_chunk_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Held against a model in tests"""
+    """C1-C3, C9, C12"""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = chunking.chunk_windows(docs, config=ChunkConfig())
     return out.select("doc_id", "chunk_index", "text", T.approx_tokens(F.col("text")).alias("token_len"))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE clauses AS MATERIALIZED (
+        SELECT doc_id, lang, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s FROM (SELECT doc_id, lang, {_CLAUSES} AS l FROM documents)
+    ),
+    sized_clauses AS MATERIALIZED (SELECT doc_id, i, s, {_word_count("s")} * 13 // 10 AS n FROM clauses),
+    grouping_ AS (
+        SELECT DISTINCT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS size, true AS fresh, CAST(0 AS BIGINT) AS g FROM sized_clauses
+        UNION ALL
+        SELECT f.doc_id, c.i, CASE WHEN c.n > 250 THEN f.size WHEN f.fresh OR f.size + c.n > 250 THEN c.n ELSE f.size + c.n END, c.n > 250,
+               f.g + CASE WHEN c.n > 250 OR f.fresh OR f.size + c.n > 250 THEN 1 ELSE 0 END
+        FROM grouping_ f JOIN sized_clauses c ON c.doc_id = f.doc_id AND c.i = f.i + 1
+    ),
+    ends AS (SELECT doc_id, arg_max(g, i) AS g, arg_max(NOT fresh AND size < 40 AND g > 1, i) AS joins FROM grouping_ GROUP BY doc_id),
+    grouped AS (
+        SELECT f.doc_id, CASE WHEN e.joins AND f.g = e.g THEN f.g - 1 ELSE f.g END AS g, string_agg(c.s, ' ' ORDER BY c.i) AS text
+        FROM grouping_ f JOIN ends e ON e.doc_id = f.doc_id JOIN clauses c ON c.doc_id = f.doc_id AND c.i = f.i GROUP BY 1, 2
+    ),
+    pieces AS (
+        SELECT key, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s
+        FROM (SELECT {{'d': doc_id, 'g': g}} AS key, {_SENTENCES} AS l FROM grouped WHERE {_word_count("text")} * 13 // 10 > 250)
+    ),
+    {_windows("pieces")},
+    parts AS (
+        SELECT doc_id, g, 0 AS place, text FROM grouped WHERE {_word_count("text")} * 13 // 10 <= 250 UNION ALL SELECT key.d, key.g, place, text FROM windows
+    ),
+    placed AS (
+        SELECT p.doc_id, d.lang AS law, p.text, row_number() OVER (PARTITION BY p.doc_id ORDER BY g, place) - 1 AS chunk_index, count(*) OVER (PARTITION BY p.doc_id) AS chunk_total
+        FROM parts p JOIN documents d ON d.doc_id = p.doc_id
+    )
+    SELECT law, CAST(doc_id AS VARCHAR) AS article_no, regexp_replace(law || '_' || doc_id || '_' || chunk_index, '[^A-Za-z0-9_]', '_', 'g') AS chunk_id,
+           CAST(chunk_index AS INTEGER) AS chunk_index, CAST(chunk_total AS INTEGER) AS chunk_total, {_word_count("text")} * 13 // 10 AS token_len, text
+    FROM placed
+""")
 def q_section_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clauses grouped into chunks of a statute's article"""
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("law"), F.lit(None).cast("string").alias("law_no"), F.col("doc_id").cast("string").alias("article_no"), "text")
