@@ -11,11 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import prepare_issue, relevant_issues
-from ..storage import exists
-
-
-#: Laws of a batch that are named in a partition filter; with more of them all of the table is read.
-MOST_LAWS = 1000
+from ..sources.keyed import KeyedTable
 
 
 def gated_issues(issues: DataFrame, *, time: str = "fetched_at", late: str = "7 days") -> DataFrame:
@@ -24,19 +20,14 @@ def gated_issues(issues: DataFrame, *, time: str = "fetched_at", late: str = "7
     return prepare_issue(relevant_issues(fresh))
 
 
-def upsert_points(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append encoded chunks to the vector table, batch by batch, those stored already left out."""
+def upsert_points(stream: DataFrame, path: str, checkpoint: str, *, key: str = "point_id", buckets: int = 64) -> StreamingQuery:
+    """Encoded chunks into a keyed table, batch by batch: a changed chunk replaces the stored one of its id, and a batch that is run again after a failure counts once.
+
+    An epoch belongs to a checkpoint, so a table has one stream.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        if exists(spark, path):
-            # of what is stored, only the folders of the batch's laws are read
-            laws = [r.law for r in batch.select("law").distinct().limit(MOST_LAWS + 1).collect()]
-            stored = spark.read.parquet(path).select("point_id", "law")
-            if len(laws) <= MOST_LAWS and None not in laws:
-                stored = stored.filter(F.col("law").isin(laws))
-            batch = batch.join(stored.select("point_id"), "point_id", "left_anti")
-        batch.dropDuplicates(["point_id"]).write.mode("append").partitionBy("law").parquet(path)
+        KeyedTable(batch.sparkSession, path, key, buckets).upsert(batch, epoch=epoch)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

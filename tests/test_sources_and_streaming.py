@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.sources import corpora
+from tessera.sources.keyed import KeyedTable
 from tessera.streaming import ingest
 
 PAGE = "<html><head><title>t</title></head><body><p> one </p><script>var x;</script><a data-modal='True' href='/a'>A</a><a data-modal='True' href='/b.PDF'>B</a><a href=\"/c\">two</a></body></html>"
@@ -61,8 +62,49 @@ def test_streams(spark, tmp_path):
     q.awaitTermination(120)
     assert sorted(r.seq for r in spark.sql("SELECT * FROM memory").collect()) == list(range(2, 10))
     points = str(tmp_path / "in")
-    spark.createDataFrame([(1, "A"), (1, "A"), (2, "B")], "point_id long, law string").write.parquet(points)
-    for k in range(2):
-        stream = spark.readStream.schema("point_id long, law string").parquet(points)
-        ingest.upsert_points(stream, str(tmp_path / "out"), str(tmp_path / f"c3{k}")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    kind = "point_id long, law string, text string"
+    spark.createDataFrame([(1, "A", "x"), (1, "A", "x"), (2, "B", "y")], kind).write.parquet(points)
+    out = str(tmp_path / "out")
+    for k in range(2):  # the second run finds a changed chunk and a new one
+        stream = spark.readStream.schema(kind).parquet(points)
+        ingest.upsert_points(stream, out, str(tmp_path / "c3"), buckets=4).awaitTermination(120)
+        if k == 0:
+            assert sorted(map(tuple, KeyedTable(spark, out).read().collect())) == [(1, "A", "x"), (2, "B", "y")]
+            spark.createDataFrame([(2, "B", "changed"), (3, "A", "z")], kind).write.mode("append").parquet(points)
+    assert sorted(map(tuple, KeyedTable(spark, out).read().collect())) == [(1, "A", "x"), (2, "B", "changed"), (3, "A", "z")]
+
+
+def test_keyed_table_against_a_dict(spark, tmp_path):
+    import random
+
+    r = random.Random(4)
+    at = str(tmp_path / "keyed")
+    kind = "point_id string, content_hash string, n int"
+    truth = {}
+    for turn in range(4):
+        rows = [(f"k{r.randint(0, 40)}", f"h{r.randint(0, 3)}", turn * 100 + i) for i in range(25)] + [(None, "none", 0)]
+        KeyedTable(spark, at, buckets=4).upsert(spark.createDataFrame(rows, kind).repartition(3), order="n", epoch=turn)
+        truth |= {k: (k, h, n) for k, h, n in sorted(rows, key=lambda x: x[2]) if k is not None}
+    own = KeyedTable(spark, at)
+    own.upsert(spark.createDataFrame([("k1", "again", 0)], kind), epoch=3)  # applied before
+    assert own.buckets == 4 and {x["point_id"]: tuple(x) for x in own.read().collect()} == truth and own.read().count() == len(truth)
+    # another session finds table and buckets
+    spark.catalog.dropTempView("none")
+    spark.sql(f"DROP TABLE keyed_{own.version}")
+    own = KeyedTable(spark, at)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        asked = spark.createDataFrame([("k1", truth.get("k1", (0, "x"))[1]), ("k2", "other"), ("new", "h")], "point_id string, content_hash string")
+        left = own.missing(asked, same="content_hash")
+        assert sorted(x["point_id"] for x in left.collect()) == sorted([k for k in ("k2", "new")] + ([] if "k1" in truth else ["k1"]))
+        assert [x["point_id"] for x in own.missing(asked.filter("point_id <> 'k1'")).collect()] == ["new"] if "k2" in truth else True
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    own.upsert(spark.createDataFrame([("k1", "h", 7.5)], "point_id string, content_hash string, extra double"))
+    found = {x["point_id"]: x for x in KeyedTable(spark, at).read().collect()}
+    assert found["k1"]["extra"] == 7.5 and found["k1"]["n"] is None and found["k2"]["extra"] is None
+    assert own.vacuum() == 4 and KeyedTable(spark, at).read().count() == len(set(truth) | {"k1"})
