@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .config import ChunkConfig
 from .functions import text as T
-from .operators import answers, cells, changes, chunking, citations, entities, fusion, index, metrics, models, topk, vectors
-from .sources import corpora
-from .storage import spread, written
+from .operators import answers, cells, changes, chunking, citations, entities, fusion, index, metrics, models, segments, topk, vectors
+from .sources import arrays, corpora, keyed
+from .storage import scratch_path, spread, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -504,6 +504,55 @@ def q_positional_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.positional_ids(table(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"]).select("doc_id", "chunk_id")
 
 
+# -- tables that are kept up to date -----------------------------------------------------------------------------
+
+
+@query(f"""
+    WITH now AS (
+        SELECT doc_id, CASE WHEN lang = 'en' THEN coalesce(text, '') || ' ' || coalesce(source, '') ELSE text END AS text FROM documents
+        WHERE coalesce(lang = 'en', false) OR doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)
+    ), {_FLAT.replace("FROM documents", "FROM now")}, {_STATS}, {_IDF} SELECT term, df, round(idf, 6) AS idf FROM idf
+""")
+def q_index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all documents; then the English ones are replaced by longer texts, and toxic ones that are not English deleted"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    own = segments.SegmentedIndex(spark, scratch_path(spark, "index"), fanout=2)
+    own.apply(docs)
+    longer = F.concat(F.coalesce("text", F.lit("")), F.lit(" "), F.coalesce("source", F.lit("")))
+    own.apply(docs.filter("lang = 'en'").withColumn("text", longer), table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"))
+    own.merge()
+    return own.term_stats().select("term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("""
+    SELECT doc_id, lang AS law, sha256(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) THEN 'withdrawn' ELSE coalesce(text, '') END) AS content_hash,
+           doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND coalesce(text, '') <> 'withdrawn' AS embed_again FROM documents
+""")
+def q_keyed_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of all documents, those of toxic ones replaced; then the points that no longer are those of their texts"""
+    points = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("law"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("content_hash"))
+    toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    own = keyed.KeyedTable(spark, scratch_path(spark, "points"), "doc_id", int(spark.conf.get("spark.sql.shuffle.partitions")))
+    own.upsert(points)
+    own.upsert(points.join(toxic, "doc_id", "left_semi").withColumn("content_hash", F.sha2(F.lit("withdrawn"), 256)))
+    again = own.missing(points, same="content_hash").select("doc_id", F.lit(True).alias("embed_again"))
+    return own.read().join(again.hint("merge"), "doc_id", "left").withColumn("embed_again", F.coalesce("embed_again", F.lit(False)))
+
+
+@query("SELECT doc_id, lang, length(text) AS n, md5(text) AS digest FROM documents")
+def q_json_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON arrays, a file for some megabytes, and read back in ranges"""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(1, size >> 23)
+    rows = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(groups)).alias("g"), F.to_json(F.struct("doc_id", "text", "lang")).alias("j"))
+    files = rows.groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ", "), F.lit("]")).alias("value"))
+    at = scratch_path(spark, "arrays")
+    files.repartition(groups, "g").select("value").write.text(at)
+    found = arrays.read_array(spark, at, "doc_id long, text string, lang string")
+    return found.select("doc_id", "lang", F.length("text").cast("long").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
 # -- entities and intent ---------------------------------------------------------------------------------------
 
 _ALIASES = [(1, "licensed under", "license"), (2, "the of", "en"), (3, "der die", "de"), (4, "que la", "es")]
