@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .common import BLANKS, but, materialise, shuffle_width
+from .common import BLANKS, but, materialise, release, shuffle_width
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _OUT = "kind int, h1 long, h2 long, doc long, no_doc boolean, mark long, n_lines int, pos int, part int, docs long, last_doc long, last_no_doc boolean"
@@ -138,6 +138,7 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     width = shuffle_width(spark)
     ranged = occ.repartitionByRange(width, *order).sortWithinPartitions(*order)
     found = materialise(ranged.mapInArrow(_stream(min_docs), _OUT), "lines-found")
+    release(occ)
     sums = found.filter("kind = 2")
     # one or two summaries a partition: runs of one hash in neighbouring partitions may share a document
     along = Window.partitionBy("h1", "h2").orderBy("part")
@@ -165,7 +166,9 @@ def keep_bitmaps(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 counts.append(len(gone))
             yield pd.DataFrame({"doc": b["doc"], "no_doc": b["no_doc"], "mark": b["mark"], "n_lines": b["n_lines"], "n_dropped": counts, "bitmap": maps})
 
-    return per_doc.mapInPandas(pack, "doc long, no_doc boolean, mark long, n_lines int, n_dropped int, bitmap binary")
+    out = per_doc.mapInPandas(pack, "doc long, no_doc boolean, mark long, n_lines int, n_dropped int, bitmap binary")
+    out._held = [found]  # to be released when the bitmaps are written
+    return out
 
 
 def bits(bitmap: bytes, n: int) -> np.ndarray:
@@ -188,7 +191,9 @@ def drop_shared_lines(
 ) -> DataFrame:
     """docs with the kept lines as text, and a struct column ``info`` (n_lines, n_dropped, bitmap) unless it is None."""
     maps = keep_bitmaps(docs, id_col=id_col, text_col=text_col, min_chars=min_chars, min_docs=min_docs)
+    held = maps._held
     maps = materialise(maps.select(*[F.col(c).alias(f"_m_{c}") for c in maps.columns]), "lines-bitmaps")
+    release(*held)
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("_d"), F.col(id_col).isNull().alias("_n"), F.xxhash64(text_col).alias("_k")
     )

@@ -207,6 +207,9 @@ def fit_ordinal(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, l
 def sample_rated(docs: DataFrame, ratings: DataFrame, *, levels: int, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample: int = SAMPLE) -> DataFrame:
     """(text, grade) of at most ``sample`` rated documents, at most sample / levels of each grade."""
     rated = ratings.select(F.col(id_col).alias("r_id"), F.col(grade_col).cast("int").alias("grade")).filter(F.col("grade").between(0, levels - 1) & F.col("r_id").isNotNull())
+    # ratings of documents that are not there take no place in the sample
+    there = docs.select(F.col(id_col).alias("r_id")).distinct()
+    rated = rated.join(there.hint("merge"), "r_id", "left_semi")
     rank = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("r_id"), "r_id"))
     few = rated.withColumn("rank", rank).filter(F.col("rank") <= sample // levels).drop("rank")
     # bounded by sample; a rating counts once, with the smallest of its id's texts, however many rows have that id

@@ -272,6 +272,7 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
     lo, span = F.shiftright("at", 24), F.col("at").bitwiseAND(4095)
     copied = firsts.filter("n > 1").select(*same, "first")
     whole = around.select(*same, "id", "mark", "at").join(copied.hint("merge"), same).filter(F.struct("id", "mark", "at") != F.col("first"))
+    held = [around, firsts]
     found = [whole.select("id", "mark", lo.alias("start"), (lo + span + length).alias("end"))]
     # different cells of one bucket
     sizes = materialise(firsts.groupBy("gram").agg(F.count("*").alias("cells")).filter("cells > 1"), "suffix-sizes")
@@ -288,11 +289,13 @@ def repeats(texts: DataFrame, length: int = 100) -> DataFrame:
         key = ["gram", "o", "s1", "s2"]
         lead = strings.groupBy(*key).agg(F.min(F.struct("id", "mark", "p")).alias("lead"), F.count("*").alias("n")).filter("n > 1").drop("n")
         lead = materialise(lead, "suffix-leads")
+        held += [strings, lead]
         later = strings.join(lead.hint("merge"), key).filter(F.struct("id", "mark", "p") != F.col("lead"))
         found.append(later.select("id", "mark", F.col("p").alias("start"), (F.col("p") + length).alias("end")))
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
+    out._held = [*held, sizes]  # to be released when the runs are written
     return out
 
 
@@ -330,14 +333,18 @@ def drop_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     # of equal texts, those of larger ids are copies as a whole
     groups = texts.groupBy(*marks).agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     groups = materialise(groups.select(*marks, "least"), "suffix-groups")
-    copies = texts.select("id", *marks).join(groups.hint("merge"), marks).filter("id > least").select("id", *marks).distinct()
-    copies = materialise(copies, "suffix-copies")
+    # written before rows with equal id and text are put together, so that the join's exchange of a text with many copies can be split
+    copied = materialise(texts.select("id", *marks).join(groups.hint("merge"), marks).filter("id > least").select("id", *marks), "suffix-copied")
+    copies = materialise(copied.distinct(), "suffix-copies")
+    release(copied)
     single = texts.join(copies.hint("merge"), ["id", *marks], "left_anti").select("id", "mark", "text")
     runs = repeats(single, length)
     packed = F.shiftleft("start", 24).bitwiseOR(F.col("end") - F.col("start"))
+    held = runs._held
     runs = runs.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(packed).alias("_runs"))
     runs = runs.withColumn("_whole", F.lit(False)).unionByName(copies.select(F.col("id").alias("_id"), F.col("mark").alias("_mark"), F.array().cast("array<long>").alias("_runs"), F.lit(True).alias("_whole")))
     runs = materialise(runs, "suffix-runs")
+    release(groups, copies, *held)
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *key[:2], text.alias("_text"))
     out = keyed.join(runs.hint("merge"), (F.col("id") == F.col("_id")) & (F.col("mark") == F.col("_mark")), "left")
     hit = F.col("_runs").isNotNull()

@@ -68,3 +68,12 @@ def test_clashing_name_of_another_case(spark):
 
     out = score(spark.createDataFrame([("a text", 3)], "text string, QUALITY int"), None)
     assert out.columns == ["text", "quality"] and out.first()["quality"]["keep"]
+
+
+def test_ratings_of_absent_documents_take_no_place(spark):
+    from tessera.llm.quality import sample_rated
+
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(10)] + [(None, "no id")], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(1000, 3000)] + [(i, i % 3) for i in range(10)] + [(None, 1)], "doc_id long, grade int")
+    assert sample_rated(docs, ratings, levels=3, sample=30).count() == 10
+    assert sample_rated(docs, ratings, levels=3, sample=6).count() == 6
