@@ -12,7 +12,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import free_name, materialise
+from tessera.llm.common import free_name, materialise, release
 from tessera.llm.jaccard import similar_components
 from tessera.llm.linededup import drop_shared_lines
 from tessera.llm.mixing import mix_sources
@@ -99,5 +99,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name.split()[0]}")
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

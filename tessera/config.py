@@ -9,7 +9,6 @@ from dataclasses import dataclass
 class RetrievalConfig:
     top_k_dense: int = 200
     top_k_sparse: int = 200
-    sparse_pool: int = 1000
     final_k: int = 10
     max_same_article: int = 2
     alpha_default: float = 0.60

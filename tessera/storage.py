@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a table that may be dealt over all cores, which shuffles all of it.
+SPREAD_BYTES = 1 << 30
+
+
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where the session names none, a local session gets a temporary folder; on a cluster that is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
@@ -54,9 +58,10 @@ def release(*tables: DataFrame) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df dealt over all cores if its scan has fewer parts than these (a few small files); a large table is left as it is read."""
+    """df dealt over all cores if it is of at most ``SPREAD_BYTES`` and its scan has fewer parts than these (a few small files); a larger table is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # of the files
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def if_small(df: DataFrame, rows: int) -> Callable[[DataFrame], DataFrame]:
