@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, point_id
-from . import cells
+from . import cells, coded
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -89,6 +89,11 @@ def restored(q: Column) -> Column:
     return F.transform(q["codes"], lambda x: x.cast("double") * q["scale"])
 
 
-def quantised_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool = True) -> DataFrame:
-    """dense_top over points stored as quantised vectors (doc_id, quantised, law): a quarter of float32's bytes; scores differ by the rounding of the codes."""
+def quantised_top(queries: DataFrame, points: DataFrame, k: int, *, filtered: bool = True, whole: DataFrame | None = None) -> DataFrame:
+    """dense_top over points stored as quantised vectors (doc_id, quantised, law): a quarter of float32's bytes.
+
+    whole: doc_id, vector; with it the rows are those of dense_top, by bounds from the codes and the vectors of what can matter (``coded``). Without, scores differ by the rounding of the codes.
+    """
+    if whole is not None:
+        return coded.search(queries, points, whole, k, filtered=filtered)
     return dense_top(queries, points.select("doc_id", restored(F.col("quantised")).alias("vector"), "law"), k, filtered=filtered)

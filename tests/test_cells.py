@@ -82,3 +82,35 @@ def test_a_cell_with_all_points_is_many_blocks(spark, monkeypatch):
     asked = spark.createDataFrame([("q", [1.0, 0.0], None)], "query_id string, vector array<float>, law string").selectExpr("*")
     assert [(r["query_id"], r["doc_id"]) for r in dense_top(asked, strings, 2).orderBy("rank").collect()] == [("q", "x"), ("q", "y")]
     assert dense_top(asked.limit(0), strings, 2).collect() == [] and dense_top(asked, strings.limit(0), 2).collect() == []
+
+
+@pytest.mark.parametrize("filtered", [True, False])
+def test_search_over_bytes_gives_the_same_rows(spark, monkeypatch, filtered):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import coded
+    from tessera.operators.vectors import quantise, quantised_top
+
+    monkeypatch.setattr(coded, "CHUNK_POINTS", 90)
+    monkeypatch.setattr(coded, "TILE_QUERIES", 7)
+    x, r = clustered(3, 500)
+    points = [(i, (v * 10.0 ** r.integers(-3, 4)).tolist(), ["a", "b", None][r.integers(0, 3)]) for i, v in enumerate(x)]
+    points += [(600 + i, v, "a") for i, v in enumerate([None, [], [0.0] * 6, [1.0, 2.0], x[3].tolist(), x[3].tolist(), [1e-9, 1.0, 0.0, 0.0, 0.0, 0.0]])]
+    queries = [(i, v.tolist(), ["a", "b", None, "nowhere"][i % 4]) for i, v in enumerate(x[:20])] + [(50, None, "a"), (51, [0.0] * 6, "a"), (52, [1.0, 1.0], None)]
+    p = spark.createDataFrame(points, POINT).repartition(4)
+    stored = p.select("doc_id", quantise(F.col("vector")).alias("quantised"), "law")
+    found = quantised_top(spark.createDataFrame(queries, QUERY), stored, 15, filtered=filtered, whole=p.select("doc_id", "vector"))
+    same(rows(found), plain(points, queries, 15, filtered))
+
+
+def test_bounds_of_codes_hold_and_leave_little():
+    from tessera.operators.coded import bounds
+
+    r = np.random.default_rng(4)
+    x, q = r.normal(size=(3000, 64)), r.normal(size=(20, 64))
+    step = np.abs(x).max(axis=1) / 127
+    low, high = bounds(q, np.rint(x / step[:, None]).astype(np.int8))
+    true = (q @ x.T) / np.linalg.norm(q, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None, :]
+    assert (low <= true).all() and (true <= high).all()
+    least = np.sort(low, axis=1)[:, -10]
+    assert (high >= least[:, None]).sum(axis=1).max() < 100  # of 3,000 vectors
