@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ChunkConfig
@@ -179,6 +179,16 @@ def q_dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.dense_top(asked, e, 200).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+@query(ORACLES["q_dense_topk"])
+def q_quantised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows from vectors stored as bytes"""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), F.col("label").alias("law"))
+    asked = e.filter(F.col("doc_id") % 50 == 0).withColumnRenamed("doc_id", "query_id")
+    stored = written(e.select("doc_id", vectors.quantise(F.col("vector")).alias("quantised"), "law"), "quantised")
+    found = vectors.quantised_top(asked, stored, 200, whole=e)
+    return found.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"""
     WITH {_BM25}, few AS (SELECT * FROM sparse WHERE rank <= 50),
     w AS (SELECT *, min(score) OVER (PARTITION BY query_id) AS lo, max(score) OVER (PARTITION BY query_id) AS hi FROM few)
@@ -189,21 +199,26 @@ def q_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sparse(spark, sf_dir, 50).select("query_id", "doc_id", F.round(fusion.min_max(F.col("score")), 6).alias("scaled"))
 
 
+def _round(x: str, places: int) -> str:
+    """A double rounded by its shortest decimal form, half up, as Spark does: products with 0.7 are often ties."""
+    return f"CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 18)), {places}) AS DOUBLE)"
+
+
 _HYBRID = f"""{_BM25},
     meta AS (SELECT doc_id, lang AS law, source AS article_no, regexp_extract(source, '([0-9]+)', 1) AS number FROM documents),
     e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
     asked2 AS (
-        SELECT b.item_id AS query_id, 'en' AS query_law, CASE WHEN b.item_id % 4 = 0 THEN CAST(b.item_id % 20 AS VARCHAR) END AS query_article,
+        SELECT b.item_id AS query_id, CASE b.item_id % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'de' END AS query_law, CASE WHEN b.item_id % 4 = 0 THEN CAST(b.item_id % 20 AS VARCHAR) END AS query_article,
                CASE WHEN b.item_id % 4 = 0 THEN 0.3 WHEN len({_WORDS}) < 4 THEN 0.5 WHEN len({_WORDS}) > 15 THEN 0.7 ELSE 0.6 END AS alpha
         FROM benchmark b
     ),
     sp AS (
-        SELECT s.query_id, s.doc_id, round(CASE WHEN m.law <> a.query_law THEN s.score * 0.7 ELSE s.score END, 4) AS score
+        SELECT s.query_id, s.doc_id, {_round('CASE WHEN m.law <> a.query_law THEN s.score * 0.7 ELSE s.score END', 4)} AS score
         FROM sparse s JOIN meta m USING (doc_id) JOIN asked2 a USING (query_id) WHERE rank <= 200
     ),
     ds AS (
         SELECT a.query_id, p.vec_id AS doc_id, round({_COS}, 4) AS score
-        FROM asked2 a JOIN e q ON q.vec_id = a.query_id, e p JOIN meta m ON m.doc_id = p.vec_id WHERE m.law = a.query_law
+        FROM asked2 a JOIN e q ON q.vec_id = a.query_id, e p JOIN meta m ON m.doc_id = p.vec_id WHERE a.query_law IS NULL OR m.law = a.query_law
     ),
     dr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM ds) WHERE r <= 200),
     dn AS (SELECT query_id, doc_id, score, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1.0 END AS d FROM dr WINDOW w AS (PARTITION BY query_id)),
@@ -221,12 +236,17 @@ _HYBRID = f"""{_BM25},
     hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM boosted WHERE score >= 0.001)"""
 
 
+def _law(item: Column) -> Column:
+    """A query's law: one language, another, or none."""
+    return F.when(item % 3 == 0, "en").when(item % 3 == 1, "de")
+
+
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Boosted hits, queries, and corpus: language as law, source as article, and the vector of the item's number as query vector."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("law"), F.col("source").alias("article_no"))
     e = table(spark, sf_dir, "embeddings")
     article = F.when(F.col("item_id") % 4 == 0, (F.col("item_id") % 20).cast("string"))
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", F.lit("en").alias("query_law"), article.alias("query_article"))
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text", _law(F.col("item_id")).alias("query_law"), article.alias("query_article"))
     meta = docs.select("doc_id", "law", "article_no")
     asked = queries.select("query_id", "query_law", "query_article")
     sparse = topk.bm25_top(docs, queries, 200).drop("rank")
@@ -257,7 +277,7 @@ def q_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     top AS (SELECT query_id, max(score) AS top FROM near GROUP BY query_id),
     found AS (
         SELECT a.query_id, m.doc_id, row_number() OVER (PARTITION BY a.query_id ORDER BY m.doc_id) AS place
-        FROM asked2 a JOIN meta m ON m.number = a.query_article AND m.law = a.query_law WHERE a.query_id NOT IN (SELECT query_id FROM served)
+        FROM asked2 a JOIN meta m ON m.number = a.query_article AND (a.query_law IS NULL OR m.law = a.query_law) WHERE a.query_id NOT IN (SELECT query_id FROM served)
     ),
     more AS (SELECT f.query_id, f.doc_id, round(coalesce(top, 1.0) * 1.2, 6) AS score, -place AS r, true AS injected FROM found f LEFT JOIN top USING (query_id) WHERE place <= 3),
     every AS (
@@ -779,13 +799,13 @@ def _asked(spark: SparkSession, sf_dir: str):
     points = e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")).join(docs.select("doc_id", "law"), "doc_id")
     queries = _queries(spark, sf_dir).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), "query_id", "left")
     article = F.when(F.col("query_id") % 4 == 0, (F.col("query_id") % 20).cast("string"))
-    return queries.withColumns({"query_law": F.lit("en"), "query_article": article, "expanded": F.col("text")}), Corpus(docs, points)
+    return queries.withColumns({"query_law": _law(F.col("query_id")), "query_article": article, "expanded": F.col("text")}), Corpus(docs, points)
 
 
 #: As _HYBRID, with the points of all laws for queries that have fewer than ten hits of their own, and sparse ranks by scores that are not yet rounded to four places.
 _WITH_FALLBACK = _HYBRID.replace("round(raw, 4)", "round(raw, 9)").replace("dr AS (", "dr0 AS (").replace(
     "    dn AS (",
-    f"""    lacking AS (SELECT query_id FROM asked2 LEFT JOIN (SELECT query_id, count(*) AS n FROM dr0 GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 10),
+    f"""    lacking AS (SELECT query_id FROM asked2 LEFT JOIN (SELECT query_id, count(*) AS n FROM dr0 GROUP BY query_id) USING (query_id) WHERE query_law IS NOT NULL AND coalesce(n, 0) < 10),
     du AS (SELECT a.query_id, p.vec_id AS doc_id, round({_COS}, 4) AS score FROM lacking a JOIN e q ON q.vec_id = a.query_id, e p JOIN meta m ON m.doc_id = p.vec_id),
     dr AS (
         SELECT query_id, doc_id, score FROM dr0 UNION ALL
@@ -796,13 +816,13 @@ _WITH_FALLBACK = _HYBRID.replace("round(raw, 4)", "round(raw, 9)").replace("dr A
 )
 
 
-@query(f"""
-    WITH {_WITH_FALLBACK},
+#: The ranked hits of the whole of retrieval: few, with final as rank.
+_RETRIEVED = f"""{_WITH_FALLBACK},
     served AS (SELECT DISTINCT query_id FROM hits WHERE number = query_article),
     top AS (SELECT query_id, max(score) AS top FROM hits GROUP BY query_id),
     found AS (
         SELECT a.query_id, m.doc_id, row_number() OVER (PARTITION BY a.query_id ORDER BY m.doc_id) AS place
-        FROM asked2 a JOIN meta m ON m.number = a.query_article AND m.law = a.query_law WHERE a.query_id NOT IN (SELECT query_id FROM served)
+        FROM asked2 a JOIN meta m ON m.number = a.query_article AND (a.query_law IS NULL OR m.law = a.query_law) WHERE a.query_id NOT IN (SELECT query_id FROM served)
     ),
     more AS (SELECT f.query_id, f.doc_id, round(coalesce(top, 1.0) * 1.2, 6) AS score, -place AS r, true AS injected FROM found f LEFT JOIN top USING (query_id) WHERE place <= 3),
     every AS (
@@ -811,9 +831,10 @@ _WITH_FALLBACK = _HYBRID.replace("round(raw, 4)", "round(raw, 9)").replace("dr A
     ),
     placed AS (SELECT e.*, m.law, m.number, row_number() OVER (PARTITION BY query_id ORDER BY r, doc_id) AS rank FROM every e JOIN meta m USING (doc_id)),
     capped AS (SELECT *, row_number() OVER (PARTITION BY query_id, law, number ORDER BY rank) AS place FROM placed),
-    few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final FROM capped WHERE place <= 2)
-    SELECT query_id, doc_id, score, final AS rank, injected FROM few WHERE final <= 10
-""")
+    few AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS final FROM capped WHERE place <= 2)"""
+
+
+@query(f"WITH {_RETRIEVED} SELECT query_id, doc_id, score, final AS rank, injected FROM few WHERE final <= 10")
 def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole of retrieval: A1-A6, J4-J7, H1-H3, W1-W7"""
     from .plans.retrieval import retrieve
@@ -821,9 +842,31 @@ def q_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve(*_asked(spark, sf_dir)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"), "injected")
 
 
-@query()
+_Q_TOKENS, _S_TOKENS = _TOKENS, _TOKENS.replace("text", "s")
+
+
+@query(rf"""
+    WITH {_RETRIEVED},
+    lines AS (SELECT f.query_id, f.final AS r, '[' || f.final || '] ' || m.law || ' m.' || m.article_no || ': ' || d.text AS line FROM few f JOIN meta m USING (doc_id) JOIN documents d USING (doc_id) WHERE f.final <= 10),
+    contexts AS (SELECT query_id, count(*) AS n_sources, string_agg(line, chr(10) || chr(10) ORDER BY r) AS text FROM lines GROUP BY query_id),
+    cut AS (SELECT query_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS s FROM (SELECT query_id, {_SENTENCES} AS l FROM contexts)),
+    ranked AS (
+        SELECT c.query_id, c.s, c.i, len(list_intersect(list_distinct(q.ts), list_distinct({_S_TOKENS}))) AS n
+        FROM cut c JOIN (SELECT item_id AS query_id, {_Q_TOKENS} AS ts FROM benchmark) q USING (query_id)
+    ),
+    best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, i) AS place FROM ranked),
+    replies AS (SELECT query_id, string_agg(s, ' ' ORDER BY place) AS text FROM best WHERE place <= 3 GROUP BY query_id),
+    judged AS (
+        SELECT query_id, text, len(list_filter(range(1, len(w) + 1), lambda k: regexp_matches(w[k], '(?i)(madde|m)\.?\d+($|[^\pL\pN_])')
+               OR (regexp_matches(w[k], '(?i)(madde|m)\.?$') AND regexp_matches(coalesce(w[k + 1], ''), '^\d+($|[^\pL\pN_])')))) AS mentions
+        FROM (SELECT query_id, text, {_WORDS} AS w FROM replies)
+    )
+    SELECT b.item_id AS query_id, coalesce(j.text, '') || CASE WHEN mentions > 0 THEN chr(10) || chr(10) || 'Check the cited articles.' ELSE '' END AS answer, CAST(NULL AS VARCHAR) AS intent,
+           CAST(NULL AS VARCHAR) AS rewritten, CAST(n_sources AS INTEGER) AS n_sources, coalesce(mentions, 0) = 0 AS faithful
+    FROM benchmark b LEFT JOIN judged j ON j.query_id = b.item_id LEFT JOIN contexts c ON c.query_id = b.item_id
+""")
 def q_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Replies of the stand-in generator to all items, with intent, sources and checks; held against a plain model in tests"""
+    """Replies of the stand-in generator to all items, with intent, sources and checks; an article that is mentioned is never one of the sources' here, since these have names"""
     from .plans.retrieval import answer, retrieve
 
     queries, corpus = _asked(spark, sf_dir)

@@ -60,7 +60,7 @@ def release(*tables: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """df dealt over all cores if it is of at most ``SPREAD_BYTES`` and its scan has fewer parts than these (a few small files); a larger table is left as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())  # of the files
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of the files
     return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
