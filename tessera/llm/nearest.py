@@ -12,7 +12,8 @@ leaves before the tiles.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a null id takes no part; vectors of different length are not
 compared; ties go to the smaller id; with fewer than k candidates all are returned; repeated ids are candidates each,
-and a query never meets a row with its own id; equal query rows are one query, and a query id with several vectors has the best k of all of them together; empty tables give an empty result.
+and a query never meets a row with its own id; equal query rows are one query, and a query id with several vectors has the best k of all of them together; empty tables give an empty result;
+further columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

@@ -222,7 +222,28 @@ _ORACLE_13 = """
     FROM z
 """
 
+_ORACLE_6 = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+        FROM documents
+    ),
+    shingles AS MATERIALIZED (
+        SELECT DISTINCT doc_id, md5_number(s) AS s FROM (
+            SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+            FROM words
+        )
+    ),
+    sizes AS MATERIALIZED (SELECT w.doc_id, count(s.s) AS n FROM words w LEFT JOIN shingles s ON s.doc_id = w.doc_id GROUP BY w.doc_id),
+    links AS MATERIALIZED (
+        SELECT p.x, p.y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL) p
+        JOIN sizes a ON a.doc_id = p.x JOIN sizes b ON b.doc_id = p.y WHERE 100 * c >= 75 * (a.n + b.n - c)
+    ),
+    reached AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON l.x = r.y)
+    SELECT s.doc_id, s.n AS n_shingles, least(s.doc_id, coalesce(min(r.y), s.doc_id)) AS component_id FROM sizes s LEFT JOIN reached r ON r.x = s.doc_id GROUP BY s.doc_id, s.n
+"""
+
 ORACLES: dict[str, str] = {
+    "op6_similar_components": _ORACLE_6,
     "op11_drop_repeats": _ORACLE_11,
     "op12_ball_clusters": _oracle_12(),
     "op13_fill_in_middle": _ORACLE_13,
