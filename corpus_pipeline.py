@@ -38,7 +38,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, without lines that five documents share (the largest doc_id keeps them).
 
     A null text stays null; a text may become empty; very long texts are split whole; repeated rows with one id count as one document and lose the
-    same lines; a null id is one document, smaller than all others; an empty table stays empty; n_chars, where there is one, follows the text.
+    same lines; a null id is one document, smaller than all others; an empty table stays empty; other columns may have any name; n_chars, where there is one, follows the text.
     """
     out = drop_shared_lines(docs, min_chars=40, min_docs=5, info=None)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
@@ -65,7 +65,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it.
 
     Null and empty texts have no words and get the whole copies of their source alone; a null source is a source of its own; very long texts count whole; rows with equal id, text and source
-    share their fate; an empty table stays empty; other columns may have any name.
+    share their fate; equal ranks (ties) go together; an empty table stays empty; other columns may have any name.
     """
     into, copy = free_name(docs, "_mix"), free_name(docs, "_copy")
     mixed = mix_sources(docs, weights=(5.0, 2.0, 1.0), max_repeat=3, into=into)

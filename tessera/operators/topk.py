@@ -12,8 +12,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Accumulator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -91,8 +91,12 @@ def _best(n: int, places: int, counter: Accumulator | None) -> Callable[[pa.Tabl
     slack = 2.0 * 10.0**-places
 
     def run(posts: pa.Table, queries: pa.Table) -> pa.Table:
-        ids, names = pd.factorize(posts.column("doc_id").to_pandas(), sort=True)
-        lists = Lists(posts.column("number").to_numpy(), ids.astype(np.int64), posts.column("part").to_numpy(), len(names))
+        coded = posts.column("doc_id").combine_chunks().dictionary_encode()
+        order = pc.sort_indices(coded.dictionary)
+        names = coded.dictionary.take(order)
+        place = np.empty(len(names), np.int64)
+        place[order.to_numpy()] = np.arange(len(names))
+        lists = Lists(posts.column("number").to_numpy(), place[coded.indices.to_numpy()], posts.column("part").to_numpy(), len(names))
         numbers, weights = queries.column("numbers").to_pylist(), queries.column("weights").to_pylist()
         rows, docs, scores = [], [], []
         for i, (t, w, least) in enumerate(zip(numbers, weights, queries.column("least").to_pylist())):
@@ -107,8 +111,7 @@ def _best(n: int, places: int, counter: Accumulator | None) -> Callable[[pa.Tabl
         own = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
         all_docs = np.concatenate(docs).astype(np.int64) if docs else np.zeros(0, np.int64)
         asked = queries.column("query_id").take(own)
-        ids = pa.array(names[all_docs], posts.schema.field("doc_id").type)
-        return pa.table({"query_id": asked, "doc_id": ids, "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
+        return pa.table({"query_id": asked, "doc_id": names.take(pa.array(all_docs)), "score": pa.array(np.concatenate(scores) if scores else np.zeros(0))})
 
     return run
 
