@@ -78,6 +78,8 @@ class SegmentedIndex:
     # -- tables
 
     def _table(self, kind: str, names: list[str]) -> DataFrame:
+        if not names:
+            raise ValueError("the index holds no documents")
         return self.spark.read.parquet(*[f"{self.path}/{kind}-{n}" for n in names])
 
     def _bitmaps(self, segments: list[Segment]) -> DataFrame | None:
