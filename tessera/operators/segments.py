@@ -3,28 +3,34 @@
 An index is a folder of immutable tables and a list of them, written anew with every change; a change counts from the moment its list is there whole, so a job that dies leaves
 tables that no list names, and the index as it was.
 
-    docs-*      segment, number, doc_id, dl       documents of a segment, numbered along
-    postings-*  segment, number, term, tf, dl     sorted by term
-    gone-*      segment, bucket, bits             numbers that were deleted later, a bitmap for 32,768 of them (Spark's bitmap functions)
-    terms-*     term, df                          documents that hold a term; negative rows for those deleted
-    sums-*      n, length                         documents and their lengths together; negative rows too
-
-Upserts write a segment, and bitmaps for the documents that it replaces. When ``fanout`` segments are of one size tier, they are read without what is deleted and written as one.
+    docs-*      segment, number, doc_id, dl, tokens    documents of a segment, numbered along
+    postings-*  segment, term, numbers, tfs, dls       sorted by term; a row for each term of some thousand documents
+    gone-*      segment, bucket, bits                  numbers that were deleted later, a bitmap for 32,768 of them (Spark's bitmap functions)
+    terms-*     term, df                               documents that hold a term; negative rows for those deleted
+    sums-*      n, length                              documents and their lengths together; negative rows too
+
+Upserts write a segment, and bitmaps for the documents that it replaces. When ``fanout`` segments are of one size tier, their documents are read without what is deleted and written as
+one. Documents keep their tokens, so nothing but lists is shuffled to make a segment, and the terms of deleted documents come from their own rows.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import exists, written
-from .index import idf, postings, tokenised
+from .index import idf, tokenised
 from .changes import changed_keys
 
+#: Tokens whose documents a task inverts at once (one longer document is met alone); files that may share a term's lists.
+LIST_TOKENS, SALTS = 1 << 20, 8
 
 
 @dataclass
@@ -44,6 +50,28 @@ def _is_set(bits: Column, number: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, (place % 8).cast("int")).bitwiseAND(1) == 1, F.lit(False))
 
 
+def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, numbers, tfs, dls) of (number, dl, tokens), some documents at a time: the lists of a term are ascending numbers, and what stands beside them."""
+    for batch in batches:
+        tokens = batch.column(2)
+        ends = np.cumsum(tokens.value_lengths().fill_null(0).to_numpy())
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + LIST_TOKENS, "right")))
+            part = tokens.slice(first, end - first)
+            coded = part.flatten().dictionary_encode()
+            if len(coded):
+                n = end - first
+                rows = np.repeat(np.arange(n, dtype=np.int64), np.diff(ends[first:end], prepend=before))
+                met, tfs = np.unique(coded.indices.to_numpy().astype(np.int64) * n + rows, return_counts=True)
+                borders = pa.array(np.searchsorted(met, np.arange(len(coded.dictionary) + 1) * n), pa.int32())
+                own = pa.array(met % n + first)
+                lists = [batch.column(0).take(own), pa.array(tfs, pa.int32()), batch.column(1).take(own)]
+                yield pa.RecordBatch.from_arrays([coded.dictionary, *(pa.ListArray.from_arrays(borders, x) for x in lists)], names=["term", "numbers", "tfs", "dls"])
+            first = end
+
+
 class SegmentedIndex:
     """An index below ``path``. One writer at a time; readers see the list that they found."""
 
@@ -99,19 +127,21 @@ class SegmentedIndex:
         rows = rows.withColumn("bucket", F.bitmap_bucket_number("number"))
         return rows.join(bits, ["segment", "bucket"], "left").filter(~_is_set(F.col("bits"), F.col("number"))).drop("bucket", "bits")
 
-    def _write_segment(self, name: str, tokens: DataFrame, posts: DataFrame | None = None) -> Segment:
-        """tokens: doc_id, tokens, dl, one row for each doc_id; posts: their postings, if they are there already."""
+    def _write_segment(self, name: str, tokens: DataFrame) -> Segment:
+        """tokens: doc_id, tokens, dl, one row for each doc_id."""
         # numbers without gaps that matter: a bitmap bucket is kept only where a bit is set
-        docs = tokens.select("doc_id", "dl").withColumn("number", F.monotonically_increasing_id()).select(F.lit(name).alias("segment"), "number", "doc_id", "dl")
-        docs.write.parquet(f"{self.path}/docs-{name}")
+        docs = tokens.select(F.lit(name).alias("segment"), F.monotonically_increasing_id().alias("number"), "doc_id", "dl", "tokens")
+        docs.write.option("compression", "zstd").parquet(f"{self.path}/docs-{name}")
         docs = self._table("docs", [name])
-        posts = postings(tokens) if posts is None else posts
-        numbered = posts.join(docs.select("doc_id", "number"), "doc_id").select(F.lit(name).alias("segment"), "number", "term", "tf", "dl")
-        numbered.repartitionByRange("term", "number").sortWithinPartitions("term", "number").write.parquet(f"{self.path}/postings-{name}")
+        lists = docs.select("number", "dl", "tokens").mapInArrow(_inverted, "term string, numbers array<long>, tfs array<int>, dls array<int>")
+        # a term that most documents hold goes to several files
+        lists = lists.repartition("term", F.spark_partition_id() % SALTS).sortWithinPartitions("term")
+        lists.select(F.lit(name).alias("segment"), "term", "numbers", "tfs", "dls").write.option("compression", "zstd").parquet(f"{self.path}/postings-{name}")
         return Segment(name, docs.count())
 
-    def _write_stats(self, name: str, posts: DataFrame, docs: DataFrame, sign: int) -> None:
-        posts.groupBy("term").agg((F.count("*") * sign).alias("df")).write.parquet(f"{self.path}/terms-{name}")
+    def _write_stats(self, name: str, terms: DataFrame, docs: DataFrame, sign: int) -> None:
+        """terms: term, n, how many documents each row counts for."""
+        terms.groupBy("term").agg((F.sum("n") * sign).alias("df")).write.parquet(f"{self.path}/terms-{name}")
         docs.agg((F.count("*") * sign).alias("n"), (F.coalesce(F.sum("dl"), F.lit(0)) * sign).alias("length")).write.parquet(f"{self.path}/sums-{name}")
 
     # -- changes
@@ -124,31 +154,33 @@ class SegmentedIndex:
         if epoch is not None and epoch <= self.epoch:
             return
         name = uuid.uuid4().hex
-        ids, tokens = [], None
+        ids, new = [], None
         if upserts is not None:
             last = upserts.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(text_col).alias("text"))
-            tokens = written(tokenised(last), "segment-tokens")
-            ids.append(tokens.select("doc_id"))
+            new = self._write_segment(name, tokenised(last))
+            ids.append(self._table("docs", [name]).select("doc_id"))
         if deletes is not None:
             ids.append(deletes.select(F.col(doc_id).alias("doc_id")))
         gone = ids[0] if len(ids) == 1 else ids[0].unionByName(ids[1])
         segments, stats = [Segment(**vars(s)) for s in self.segments], list(self.stats)
         if segments:
             gone = gone.distinct().withColumnRenamed("doc_id", "_id")
-            lost = written(self._live("docs", segments).join(gone, F.col("doc_id") == F.col("_id"), "left_semi"), "segment-lost")
+            there = self._live("docs", segments).select("segment", "number", "doc_id", "dl")
+            lost = written(there.join(gone, F.col("doc_id") == F.col("_id"), "left_semi"), "segment-lost")
             counts = {r["segment"]: r["n"] for r in lost.groupBy("segment").agg(F.count("*").alias("n")).collect()}  # a row for each segment
             if counts:
                 bits = lost.groupBy("segment", F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
                 bits.write.parquet(f"{self.path}/gone-{name}")
                 hit = [s for s in segments if s.name in counts]
-                posts = self._table("postings", [s.name for s in hit]).join(lost.select("segment", "number"), ["segment", "number"], "left_semi")
-                self._write_stats(f"{name}-gone", posts, lost, -1)
+                docs = self._table("docs", [s.name for s in hit]).withColumn("bucket", F.bitmap_bucket_number("number"))
+                docs = docs.join(self._table("gone", [name]), ["segment", "bucket"]).filter(_is_set(F.col("bits"), F.col("number")))
+                self._write_stats(f"{name}-gone", docs.select(F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("n")), lost, -1)
                 stats.append(f"{name}-gone")
                 for s in hit:
                     s.gone, s.deleted = [*s.gone, name], s.deleted + counts[s.name]
-        if tokens is not None:
-            segments.append(self._write_segment(name, tokens))
-            self._write_stats(name, self._table("postings", [name]), tokens, 1)
+        if new is not None:
+            segments.append(new)
+            self._write_stats(name, self._table("postings", [name]).select("term", F.size("numbers").alias("n")), self._table("docs", [name]), 1)
             stats.append(name)
         self._commit([s for s in segments if s.deleted < s.docs], stats, epoch)
 
@@ -170,9 +202,7 @@ class SegmentedIndex:
 
     def _merged(self, old: list[Segment]) -> None:
         name = uuid.uuid4().hex
-        docs = written(self._live("docs", old), "segment-docs")
-        posts = self._table("postings", [s.name for s in old]).join(docs.select("segment", "number", "doc_id"), ["segment", "number"]).select("doc_id", "term", "tf", "dl")
-        new = self._write_segment(name, docs.select("doc_id", "dl"), posts)
+        new = self._write_segment(name, self._live("docs", old).select("doc_id", "tokens", "dl"))
         stats = self.stats
         if len(stats) > self.fanout * 4:
             # many small sums become one
@@ -195,6 +225,8 @@ class SegmentedIndex:
         rows = self._table("postings", [s.name for s in self.segments])
         if terms is not None:
             rows = rows.join(terms.select("term").distinct(), "term", "left_semi")
+        rows = rows.select("segment", "term", F.explode(F.arrays_zip("numbers", "tfs", "dls")).alias("p"))
+        rows = rows.select("segment", "term", F.col("p.numbers").alias("number"), F.col("p.tfs").cast("long").alias("tf"), F.col("p.dls").alias("dl"))
         docs = self._table("docs", [s.name for s in self.segments]).select("segment", "number", "doc_id")
         return self._live("postings", self.segments, rows).join(docs, ["segment", "number"]).select("doc_id", "term", "tf", "dl")
 

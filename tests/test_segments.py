@@ -1,10 +1,12 @@
 """The segmented index after random changes against an index made anew."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tessera.operators import changes, index, topk
+from tessera.operators import changes, index, segments, topk
 from tessera.operators.segments import SegmentedIndex
 
 
@@ -82,3 +84,18 @@ def test_follows_versions(spark, tmp_path):
     own.follow(before, changes.add_versions(before, new))
     assert len(own.segments) == 2 and own.segments[0].deleted == 1
     assert sorted((x["doc_id"], x["term"]) for x in own.postings().collect()) == [("a", "new"), ("a", "words"), ("b", "same"), ("b", "text")]
+
+
+def test_lists_of_terms_are_made_where_the_documents_are(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    rows = [(i * 7, [r.choice("abcdefgh") for _ in range(r.choice([0, 1, 5, 40]))] if i % 9 else None) for i in range(60)]
+    batch = lambda part: pa.RecordBatch.from_pydict({"number": [n for n, _ in part], "dl": [None if t is None else len(t) for _, t in part], "tokens": pa.array([t for _, t in part], pa.list_(pa.string()))})
+    monkeypatch.setattr(segments, "LIST_TOKENS", 30)
+    made = [x for b in segments._inverted([batch(rows[:25]), batch(rows).slice(25), batch([])]) for x in b.to_pylist()]
+    assert all(x["numbers"] == sorted(x["numbers"]) for x in made) and max(len(x["numbers"]) for x in made) > 1
+    got = sorted((x["term"], *p) for x in made for p in zip(x["numbers"], x["tfs"], x["dls"]))
+    assert got == sorted((t, n, k, len(ts)) for n, ts in rows if ts for t, k in Counter(ts).items())
+    # rows of a table of postings: one for each term of a task's documents, not one for each term and document
+    own = SegmentedIndex(spark, str(tmp_path / "index"))
+    own.apply(spark.createDataFrame([(i, "common words") for i in range(100)], "doc_id long, text string").coalesce(1))
+    assert own._table("postings", [own.segments[0].name]).count() <= 2 * 4 and own.postings().count() == 200
