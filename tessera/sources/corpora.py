@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructType
 
+from ..functions.batches import pieces
 from ..functions.text import gazette_articles, named_laws, statute_articles
 
 
@@ -41,13 +42,22 @@ def html_nodes(html: str | None, scripts: bool) -> list[str]:
     return parser.nodes
 
 
+def _mapped(batches: Iterator[pa.Array], of: Callable[[str | None], str]) -> Iterator[pa.Array]:
+    """A function of every string, a piece of a batch at a time."""
+    for strings in batches:
+        for piece in pieces(pa.RecordBatch.from_arrays([strings], names=["s"]), 0):
+            yield pa.array([of(s.as_py()) for s in piece.column(0)], pa.string())
+
+
 def html_text(html: Column, *, joined_by: str = "\n", stripped: bool = True, scripts: bool = False) -> Column:
     """Text of pages: stripped non-empty nodes joined by line feeds, or raw nodes joined as they are."""
 
-    @F.pandas_udf(StringType())
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for pages in batches:
-            yield pages.map(lambda h: joined_by.join(x for x in ((n.strip() if stripped else n) for n in html_nodes(h, scripts)) if x))
+    def of(page: str | None) -> str:
+        return joined_by.join(x for x in ((n.strip() if stripped else n) for n in html_nodes(page, scripts)) if x)
+
+    @F.arrow_udf(StringType())
+    def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _mapped(batches, of)
 
     return text(html)
 
