@@ -1,6 +1,6 @@
 """Chunks of bounded token length.
 
-Packing is a fold over an ordered array, so it runs as Arrow batches of arrays (``mapInPandas``); splitting before and numbering
+Packing is a fold over an ordered array, so it runs on Arrow batches of arrays (``mapInArrow``), a piece of a batch at a time; splitting before and numbering
 after are column expressions. Token counts are those of ``approx_tokens`` (words times 1.3, rounded down), summed per piece.
 """
 
@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ChunkConfig
+from ..functions.batches import pieces
 from ..functions.text import approx_tokens, decision_sections, paragraphs, sentences, slug, strip
 from ..storage import written
 
@@ -126,11 +127,13 @@ def _fold(df: DataFrame, parts: Column, fold: Callable[[list[str]], list[str]])
     kept = [c for c in df.columns if c != "_parts"]
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "_parts"], "_chunks array<string>"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b[kept].assign(_chunks=[fold(list(p)) if p is not None else [] for p in b["_parts"]])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in pieces(batch, batch.num_columns - 1):
+                chunks = [fold(p.as_py()) if p.is_valid else [] for p in b.column(len(kept))]
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(chunks, pa.list_(pa.string()))], names=[*kept, "_chunks"])
 
-    out = df.mapInPandas(run, schema)
+    out = df.select(*kept, "_parts").mapInArrow(run, schema)
     return out.select(*kept, F.posexplode("_chunks").alias("chunk_index", "text"))
 
 
