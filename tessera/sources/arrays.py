@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.batches import PIECE_BYTES, pieces
 from ..storage import written
 
 #: Where pieces end.
@@ -42,8 +43,8 @@ def marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(quotes), steps
 
 
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch]]:
-    """Rows of one range at a time, in order; columns: value, file, block, and more."""
+def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.RecordBatch, bytes]]:
+    """(file, block, rows, bytes) of some rows of one range at a time, in order, or of a part of one long row; columns: value, file, block, and more."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -51,17 +52,30 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Re
         codes = files.indices.to_numpy()
         edges = [0, *(np.flatnonzero((codes[1:] != codes[:-1]) | (blocks[1:] != blocks[:-1])) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges[:-1], edges[1:]):
-            yield files.dictionary[codes[a]].as_py(), int(blocks[a]), batch.slice(a, b - a)
+            for rows in pieces(batch.slice(a, b - a), 0):
+                for raw in _parts(_bytes(rows.column(0))):
+                    yield files.dictionary[codes[a]].as_py(), int(blocks[a]), rows, raw
 
 
 def _bytes(column: pa.Array) -> bytes:
     return b"".join(v.as_buffer().to_pybytes() + CUT for v in column)
 
 
+def _parts(raw: bytes, limit: int = PIECE_BYTES) -> Iterator[bytes]:
+    """raw in parts of some bytes, none of which begins behind a backslash."""
+    first = 0
+    while first < len(raw):
+        end = first + 2 * limit
+        while end < len(raw) and raw[end - 1] == _BACKSLASH:
+            end += 1
+        yield raw[first:end]
+        first = end
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, block, quotes, closed, open): bracket steps outside strings if none, or one, is open at the start of a part of a range."""
-    for file, block, part in _ranges(batches):
-        strings, steps = marks(np.frombuffer(_bytes(part.column(0)), np.uint8))
+    for file, block, _, raw in _ranges(batches):
+        strings, steps = marks(np.frombuffer(raw, np.uint8))
         inside = strings % 2 == 1
         row = [file, block, int(strings[-1]), int(steps[~inside].sum()), int(steps[inside].sum())]
         yield pa.RecordBatch.from_arrays([pa.array([row[0]]), *(pa.array([v], pa.int64()) for v in row[1:])], names=["file", "block", "quotes", "closed", "open"])
@@ -70,10 +84,11 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(file, block, seq, kind, value): whole records (0), what is before the first cut of a range (1), behind the last (2), or a range without a cut (3).
 
-    Of a range that comes in several batches, what is open at the end of one goes on in the next.
+    Of a range that comes in several parts, what is open at the end of one goes on in the next.
     """
     now: tuple[str, int] | None = None
-    rest, in_string, depth, seq, any_cut = b"", False, 0, 0, False
+    rest: list[bytes] = []
+    in_string, depth, seq, any_cut = False, 0, 0, False
 
     def rows(kinds: list[int], values: list[bytes]) -> pa.RecordBatch:
         nonlocal seq
@@ -82,13 +97,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq += n
         return pa.RecordBatch.from_arrays(columns, names=["file", "block", "seq", "kind", "value"])
 
-    for file, block, part in _ranges(batches):
+    for file, block, part, raw in _ranges(batches):
         if now != (file, block):
             if now is not None:
-                yield rows([2 if any_cut else 3], [rest])
-            now, rest, seq, any_cut = (file, block), b"", 0, False
+                yield rows([2 if any_cut else 3], [b"".join(rest)])
+            now, rest, seq, any_cut = (file, block), [], 0, False
             in_string, depth = bool(part.column(3)[0].as_py()), int(part.column(4)[0].as_py())
-        raw = _bytes(part.column(0))
         data = np.frombuffer(raw, np.uint8)
         strings, steps = marks(data)
         outside = (strings + in_string) % 2 == 0
@@ -96,15 +110,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the outer array's own brackets are cuts too: before its first record, and behind its last
         cuts = np.flatnonzero(outside & (((data == _COMMA) & (level == 1)) | ((steps == 1) & (level == 1)) | ((steps == -1) & (level == 0))))
         if len(cuts):
-            pieces = [raw[a:b] for a, b in zip([0, *(cuts[:-1] + 1).tolist()], cuts.tolist())]
-            pieces[0] = rest + pieces[0]
-            yield rows([0 if any_cut else 1, *[0] * (len(pieces) - 1)], pieces)
-            rest, any_cut = raw[cuts[-1] + 1 :], True
+            found = [raw[a:b] for a, b in zip([0, *(cuts[:-1] + 1).tolist()], cuts.tolist())]
+            found[0] = b"".join([*rest, found[0]])
+            yield rows([0 if any_cut else 1, *[0] * (len(found) - 1)], found)
+            rest, any_cut = [raw[cuts[-1] + 1 :]], True
         else:
-            rest += raw
+            rest.append(raw)
         in_string, depth = bool((strings[-1] + in_string) % 2), int(level[-1])
     if now is not None:
-        yield rows([2 if any_cut else 3], [rest])
+        yield rows([2 if any_cut else 3], [b"".join(rest)])
 
 
 def array_records(spark: SparkSession, path: str) -> DataFrame:

@@ -3,8 +3,10 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 
+from tessera.sources import arrays
 from tessera.sources.arrays import array_records, read_array
 
 
@@ -55,3 +57,15 @@ def test_several_files_batches_and_schema(spark, tmp_path):
     (tmp_path / "e").mkdir()
     (tmp_path / "e" / "scalars.json").write_text('[1, "two, three", [4, 5], {"six": 7}, null]')
     assert ordered(array_records(spark, str(tmp_path / "e"))) == [1, "two, three", [4, 5], {"six": 7}, None]
+
+
+def test_ranges_are_met_a_part_at_a_time(spark, tmp_path):
+    assert b"".join(arrays._parts(b"ab" + b"\\" * 9 + b"cd", 2)) == b"ab" + b"\\" * 9 + b"cd" and b"\\c" in list(arrays._parts(b"ab" + b"\\" * 9 + b"cd", 2))[0]
+    rows = [{"id": i, "t": "x" * 1000} for i in range(3000)] + [{"id": 3000, "t": '\\"},[' * 900_000}, {"id": 3001, "t": "last"}]
+    text = json.dumps(rows, separators=(",", ":"))
+    lines = [x.encode() for x in text.split("},")]
+    batch = pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.binary()), "file": ["f"] * len(lines), "block": [0] * len(lines)})
+    counted = list(arrays._count([batch]))
+    assert len(counted) >= 5 and sum(c.column(2)[0].as_py() for c in counted) == 4 * 2 * 3002 - 2 * 3002
+    (tmp_path / "a.json").write_text(text)
+    assert ordered(array_records(spark, str(tmp_path))) == rows
