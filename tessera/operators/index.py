@@ -6,15 +6,24 @@ its postings and never a pass over all documents.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from ..config import Bm25Config
+from ..functions.batches import pieces
 from ..functions.text import search_tokens
 from ..storage import exists, if_small, written
 
 #: Rows of query terms that are sent to every task; more of them meet the postings by shuffle.
 MAX_TERMS = 1_000_000
+#: Terms that are looked up where the documents are cut into tokens; with more of them, tokens meet the terms by a join.
+LOOKED_UP = 100_000
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,6 +40,41 @@ def postings(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     return rows.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def _counted(batch: pa.RecordBatch, terms: pa.Array) -> pa.RecordBatch:
+    """(doc_id, dl, term, tf) of (doc_id, dl, tokens): a row without a term for each document, and one for each of the terms that it holds."""
+    tokens, n = batch.column(2), batch.num_rows
+    codes = pc.index_in(tokens.flatten(), value_set=terms).fill_null(-1).to_numpy()
+    rows = np.repeat(np.arange(n, dtype=np.int64), tokens.value_lengths().fill_null(0).to_numpy())
+    met, tf = np.unique(rows[codes >= 0] * len(terms) + codes[codes >= 0], return_counts=True)
+    own = pa.array(np.append(np.arange(n), met // max(1, len(terms))), pa.int64())
+    term = pa.concat_arrays([pa.nulls(n, pa.string()), terms.take(pa.array(met % max(1, len(terms)), pa.int64()))])
+    columns = [batch.column(0).take(own), batch.column(1).take(own), term, pa.array(np.append(np.zeros(n, np.int64), tf), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "dl", "term", "tf"])
+
+
+def wanted_postings(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(postings of the wanted terms, statistics of all documents), both written: documents are cut into tokens once, and only wanted ones leave the task."""
+    spark, tokens = docs.sparkSession, tokenised(docs, id_col, text_col)
+    terms = wanted.select("term").distinct()
+    if terms.limit(LOOKED_UP + 1).count() > LOOKED_UP:
+        return written(postings(tokens, wanted), "postings"), written(corpus_stats(tokens), "statistics")
+    shared = spark.sparkContext.broadcast(pa.array([r["term"] for r in terms.collect()], pa.string()))  # counted above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 2):
+                yield _counted(piece, shared.value)
+
+    kind = StructType([StructField("doc_id", tokens.schema["doc_id"].dataType), StructField("dl", IntegerType()), StructField("term", StringType()), StructField("tf", LongType())])
+    held = written(tokens.select("doc_id", "dl", "tokens").mapInArrow(run, kind), "postings")
+    own = held.filter("term IS NULL").select("doc_id", "dl")
+    posts = held.filter("term IS NOT NULL").select("doc_id", "term", "tf", "dl")
+    if own.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        # rows of one id are one document
+        posts = written(posts.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.first("dl").alias("dl")), "postings")
+    return posts, written(corpus_stats(own), "statistics")
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n, avgdl."""
     return tokens.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))

@@ -1,7 +1,7 @@
 """The n best documents of every query by BM25+, without a score for every pair that shares a term.
 
 Postings are dealt by document into shards, with what each adds to a score; a shard is held by one task, whatever the number of documents. Every query has a
-threshold from the start: of a term that n documents have, the n-th largest contribution, for the term where this is most. In a shard, the query's terms are met from
+threshold from the start: of a term that n documents have, what the n-th largest contribution is at least (from counts by cells of contributions), for the term where this is most. In a shard, the query's terms are met from
 the largest possible contribution down. While what the terms to come can add together reaches the threshold, their documents become candidates (but
 those in blocks of postings whose largest contribution is too small); after that no new document does (MaxScore), and candidates leave as soon as what is left cannot lift
 them. The threshold rises with the shard's own n-th best. So nothing that could be among the n best is left out, ties and rounding included.
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Config
 from ..storage import if_small, written
-from .index import MAX_TERMS, corpus_stats, postings, query_terms, term_stats, tokenised, top_n
+from .index import MAX_TERMS, query_terms, term_stats, top_n, wanted_postings
 
 #: Postings of a shard, about; terms of all queries that are met at once in a shard; postings of a block.
 SHARD_POSTINGS, QUERY_TERMS, BLOCK = 1 << 20, 1 << 20, 64
+#: Cells of contributions between one whole number and the next.
+CELLS = 128
 
 
 class Lists:
@@ -133,10 +135,11 @@ def top_postings(
     part = tf * (config.k1 + 1) / (tf + norm) + config.delta
     parts = posts.join(hint(terms.select("term", "number")), "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("doc_id", "number", part.alias("part"))  # one row
     parts = parts.filter(F.col("doc_id").isNotNull())
-    # of each term, the n-th largest contribution
-    place = F.row_number().over(Window.partitionBy("number").orderBy(F.col("part").desc()))
-    nth = parts.select("number", "part").withColumn("place", place).filter(F.col("place") <= n).groupBy("number").agg(F.min("part").alias("nth"), F.count("*").alias("had"))
-    terms = terms.join(nth.filter(F.col("had") == n).select("number", "nth"), "number", "left")
+    # of each term, what n contributions reach: the lower end of the cell of the n-th largest, so nothing is sorted but counts
+    cells = parts.groupBy("number", F.floor(F.col("part") * CELLS).alias("cell")).agg(F.count("*").alias("had"))
+    above = F.sum("had").over(Window.partitionBy("number").orderBy(F.col("cell").desc()))
+    nth = cells.withColumn("above", above).filter(F.col("above") >= n).groupBy("number").agg((F.max("cell") / CELLS).alias("nth"))
+    terms = terms.join(nth, "number", "left")
     asked = wanted.join(terms, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
     asked = asked.groupBy("query_id").agg(
         F.collect_list("number").alias("numbers"), F.collect_list("weight").alias("weights"), F.coalesce(F.max(F.col("weight") * F.col("nth")), F.lit(0.0)).alias("least")
@@ -158,7 +161,6 @@ def bm25_top(
     docs: DataFrame, queries: DataFrame, n: int, *, places: int = 4, config: Bm25Config = Bm25Config(), doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text", counter: Accumulator | None = None
 ) -> DataFrame:
     """The n best documents of each query: ``index.bm25_scores`` and its best rows, without the scores of all others."""
-    tokens = tokenised(docs, doc_id, text_col)
     wanted = written(query_terms(queries, query_id, text_col), "wanted")
-    posts = written(postings(tokens, wanted), "postings")
-    return top_postings(posts, written(corpus_stats(tokens), "statistics"), wanted, n, places=places, config=config, counter=counter)
+    posts, stats = wanted_postings(docs, wanted, doc_id, text_col)
+    return top_postings(posts, stats, wanted, n, places=places, config=config, counter=counter)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,3 +119,23 @@ def test_contained_with_300_000_phrases(spark):
     for q, t in texts:
         want += [(q, int(w[1:-1])) for w in set(t.lower().split()) if w[0] == "x" and int(w[1:-1]) < 300_000] + [(q, -1), (q, -2)]
     assert sorted((r["query_id"], r["ord"]) for r in hits.collect()) == sorted(want)
+
+
+def test_wanted_postings_cut_documents_once(spark, monkeypatch):
+    rows = [(1, "one two two Three"), (1, "two four"), (2, None), (None, "one one"), (None, "two"), (3, ""), (4, "nothing of it"), (5, "two, two; four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    wanted = spark.createDataFrame([(7, "two", 1), (7, "four", 2), (8, "one", 1), (8, "absent", 1)], "query_id int, term string, qtf long")
+    tokens = index.tokenised(docs)
+    for few in (docs, docs.filter("doc_id > 1")):
+        pick = lambda df: sorted((str(r["doc_id"]), r["term"], r["tf"]) for r in df.collect())
+        want = pick(index.postings(index.tokenised(few), wanted))
+        for most in (100, 2):
+            monkeypatch.setattr(index, "LOOKED_UP", most)
+            posts, stats = index.wanted_postings(few, wanted)
+            assert pick(posts) == want
+            assert stats.first() == index.corpus_stats(index.tokenised(few)).first()
+    # a piece of documents holds the wanted terms only, and a row for each document
+    batch = pa.RecordBatch.from_pydict({"doc_id": [5, 6, 7], "dl": pa.array([3, None, 1], pa.int32()), "tokens": pa.array([["a", "b", "a"], None, ["c"]], pa.list_(pa.string()))})
+    got = [tuple(r.values()) for r in index._counted(batch, pa.array(["b", "a"])).to_pylist()]
+    assert sorted(got, key=str) == sorted([(5, 3, None, 0), (6, None, None, 0), (7, 1, None, 0), (5, 3, "b", 1), (5, 3, "a", 2)], key=str)
+    assert len(index._counted(batch, pa.array([], pa.string()))) == 3 and tokens.count() == 8
