@@ -13,10 +13,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from ..config import Bm25Config
 from ..functions.batches import pieces
+from ..functions.cutting import cut, token_characters
 from ..functions.text import search_tokens
 from ..storage import exists, if_small, written
 
@@ -75,6 +76,44 @@ def wanted_postings(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id",
     return posts, written(corpus_stats(own), "statistics")
 
 
+def _numbered(batch: pa.RecordBatch, terms: pa.Array, held: np.ndarray) -> pa.RecordBatch:
+    """(doc_id, dl, numbers, tfs) of (doc_id, lower-case text): a row for each document, with the numbers of the terms that it holds."""
+    runs, dl = cut(batch.column(1), held)
+    codes = pc.index_in(runs.values, value_set=terms).fill_null(-1).to_numpy()
+    rows = np.repeat(np.arange(batch.num_rows, dtype=np.int64), np.diff(runs.offsets.to_numpy()))
+    kept = codes >= 0
+    met, tf = np.unique(rows[kept] * max(1, len(terms)) + codes[kept], return_counts=True)
+    row, number = np.divmod(met, max(1, len(terms)))
+    ends = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+    lists = [pa.ListArray.from_arrays(ends, pa.array(x, pa.int32())) for x in (number, tf)]
+    return pa.RecordBatch.from_arrays([batch.column(0), dl, *lists], names=["doc_id", "dl", "numbers", "tfs"])
+
+
+def counted_documents(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, terms): a row for each document (doc_id, dl, numbers, tfs) with the terms that it holds by number, written; and (number, term). terms: term, each once, ``LOOKED_UP`` at most."""
+    spark = docs.sparkSession
+    names = pa.array(sorted(r["term"] for r in terms.collect()), pa.large_string())  # counted by the caller
+    shared = spark.sparkContext.broadcast((names, token_characters(spark)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, 1):
+                yield _numbered(piece, *shared.value)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.lower(F.col(text_col)).alias("text"))
+    many = ArrayType(IntegerType())
+    kind = StructType([StructField("doc_id", rows.schema["doc_id"].dataType), StructField("dl", IntegerType()), StructField("numbers", many), StructField("tfs", many)])
+    numbered = spark.createDataFrame([(i, t) for i, t in enumerate(names.to_pylist())], "number int, term string")
+    return written(rows.mapInArrow(run, kind), "counted"), numbered
+
+
+def document_postings(counted: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings (doc_id, term, tf, dl) of ``counted_documents``; rows of one id are one document."""
+    one = counted.select("doc_id", "dl", F.explode(F.arrays_zip("numbers", "tfs")).alias("p")).select("doc_id", "dl", "p.numbers", "p.tfs")
+    rows = one.join(if_small(terms, LOOKED_UP)(terms), one["numbers"] == terms["number"])
+    return rows.groupBy("doc_id", "term").agg(F.sum("tfs").alias("tf"), F.first("dl").alias("dl"))
+
+
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """One row: n, avgdl."""
     return tokens.agg(F.count("*").alias("n"), (F.sum("dl") / F.greatest(F.count("*"), F.lit(1))).alias("avgdl"))

@@ -9,7 +9,7 @@ them. The threshold rises with the shard's own n-th best. So nothing that could
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..config import Bm25Config
 from ..storage import if_small, written
-from .index import MAX_TERMS, query_terms, term_stats, top_n, wanted_postings
+from . import index
+from .index import MAX_TERMS, corpus_stats, counted_documents, document_postings, query_terms, term_stats, top_n, wanted_postings
 
 #: Postings of a shard, about; terms of all queries that are met at once in a shard; postings of a block.
 SHARD_POSTINGS, QUERY_TERMS, BLOCK = 1 << 20, 1 << 20, 64
@@ -118,6 +119,20 @@ def _best(n: int, places: int, counter: Accumulator | None) -> Callable[[pa.Tabl
     return run
 
 
+def _thresholds(cells: DataFrame, n: int) -> DataFrame:
+    """(number, nth): of each term, what n contributions reach: the lower end of the cell of the n-th largest, so nothing is sorted but counts. cells: number, cell, had."""
+    above = F.sum("had").over(Window.partitionBy("number").orderBy(F.col("cell").desc()))
+    return cells.withColumn("above", above).filter(F.col("above") >= n).groupBy("number").agg((F.max("cell") / CELLS).alias("nth"))
+
+
+def _weighed(wanted: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, numbers, weights, least) of each query. terms: term, number, idf, nth."""
+    asked = wanted.join(terms, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
+    return asked.groupBy("query_id").agg(
+        F.collect_list("number").alias("numbers"), F.collect_list("weight").alias("weights"), F.coalesce(F.max(F.col("weight") * F.col("nth")), F.lit(0.0)).alias("least")
+    )
+
+
 def top_postings(
     posts: DataFrame, stats: DataFrame, wanted: DataFrame, n: int, *, places: int = 4, config: Bm25Config = Bm25Config(), counter: Accumulator | None = None
 ) -> DataFrame:
@@ -135,15 +150,8 @@ def top_postings(
     part = tf * (config.k1 + 1) / (tf + norm) + config.delta
     parts = posts.join(hint(terms.select("term", "number")), "term").crossJoin(F.broadcast(stats.select("avgdl"))).select("doc_id", "number", part.alias("part"))  # one row
     parts = parts.filter(F.col("doc_id").isNotNull())
-    # of each term, what n contributions reach: the lower end of the cell of the n-th largest, so nothing is sorted but counts
     cells = parts.groupBy("number", F.floor(F.col("part") * CELLS).alias("cell")).agg(F.count("*").alias("had"))
-    above = F.sum("had").over(Window.partitionBy("number").orderBy(F.col("cell").desc()))
-    nth = cells.withColumn("above", above).filter(F.col("above") >= n).groupBy("number").agg((F.max("cell") / CELLS).alias("nth"))
-    terms = terms.join(nth, "number", "left")
-    asked = wanted.join(terms, "term").withColumn("weight", F.col("qtf") * F.col("idf"))
-    asked = asked.groupBy("query_id").agg(
-        F.collect_list("number").alias("numbers"), F.collect_list("weight").alias("weights"), F.coalesce(F.max(F.col("weight") * F.col("nth")), F.lit(0.0)).alias("least")
-    )
+    asked = _weighed(wanted, terms.join(_thresholds(cells, n), "number", "left"))
     size = posts.count()
     shards = max(1, -(-size // SHARD_POSTINGS), min(width, size // 4096))
     blocks = max(1, -(-wanted.count() // QUERY_TERMS))
@@ -157,10 +165,87 @@ def top_postings(
     return top_n(found.withColumn("score", F.round("score", places)), n)
 
 
+def _shards(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table]:
+    """Documents of about so many postings each; a document stays whole."""
+    held, size = [], 0
+    for batch in batches:
+        ends, first = np.cumsum(batch.column("numbers").value_lengths().to_numpy(), dtype=np.int64), 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            end = max(first + 1, int(np.searchsorted(ends, before + limit - size, "right")))
+            held.append(batch.slice(first, end - first))
+            size, first = size + int(ends[end - 1]) - before, end
+            if size >= limit or first < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _parts(docs: pa.Table | pa.RecordBatch, avgdl: float, config: Bm25Config) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, number, part) of all postings: what each adds to a score."""
+    flat = [np.concatenate([c.flatten().to_numpy() for c in chunks] or [np.zeros(0, np.int32)]) for chunks in (_chunks(docs, "numbers"), _chunks(docs, "tfs"))]
+    sizes = np.concatenate([c.value_lengths().to_numpy() for c in _chunks(docs, "numbers")] or [np.zeros(0, np.int32)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    dl = np.concatenate([c.fill_null(0).to_numpy() for c in _chunks(docs, "dl")] or [np.zeros(0, np.int32)])  # no postings without a length
+    tf = flat[1].astype(np.float64)
+    norm = config.k1 * (1 - config.b + config.b * dl[row] / avgdl)
+    return row, flat[0], tf * (config.k1 + 1) / (tf + norm) + config.delta
+
+
+def _chunks(docs: pa.Table | pa.RecordBatch, name: str) -> list[pa.Array]:
+    column = docs.column(name)
+    return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+
+
+def top_counted(
+    counted: DataFrame, terms: DataFrame, stats: DataFrame, wanted: DataFrame, n: int, *, places: int = 4, config: Bm25Config = Bm25Config(), counter: Accumulator | None = None
+) -> DataFrame:
+    """As ``top_postings`` over documents with their terms (``counted_documents``, each id once and none null): postings stay where their documents are, and queries come to them.
+
+    wanted has ``QUERY_TERMS`` rows at most (counted by the caller).
+    """
+    spark = counted.sparkSession
+    one = stats.first()  # one row
+    avgdl, limit = one["avgdl"] or 1.0, SHARD_POSTINGS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in _shards(batches, limit):
+            _, number, part = _parts(docs, avgdl, config)
+            cell = np.floor(part * CELLS).astype(np.int64)
+            width = int(cell.max(initial=0)) + 1
+            met, had = np.unique(number.astype(np.int64) * width + cell, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(met // width, pa.int32()), pa.array(met % width), pa.array(had.astype(np.int64))], names=["number", "cell", "had"])
+
+    cells = counted.select("dl", "numbers", "tfs").mapInArrow(count, "number int, cell long, had long")
+    cells = written(cells.groupBy("number", "cell").agg(F.sum("had").alias("had")), "cells")  # read twice
+    frequent = cells.groupBy("number").agg(F.sum("had").alias("df")).withColumn("idf", index.idf(F.lit(one["n"]), F.col("df")))
+    asked = _weighed(wanted, terms.join(frequent, "number").join(_thresholds(cells, n), "number", "left"))
+    shared = spark.sparkContext.broadcast(asked.toArrow())
+    best = _best(n, places, counter)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for docs in _shards(batches, limit):
+            row, number, part = _parts(docs, avgdl, config)
+            posts = pa.table({"doc_id": docs.column("doc_id").take(pa.array(row)), "number": number.astype(np.int64), "part": part})
+            yield from best(posts, shared.value).to_batches()
+
+    kinds = wanted.schema["query_id"].dataType.simpleString(), counted.schema["doc_id"].dataType.simpleString()
+    found = counted.mapInArrow(search, f"query_id {kinds[0]}, doc_id {kinds[1]}, score double")
+    return top_n(found.withColumn("score", F.round("score", places)), n)
+
+
 def bm25_top(
     docs: DataFrame, queries: DataFrame, n: int, *, places: int = 4, config: Bm25Config = Bm25Config(), doc_id: str = "doc_id", query_id: str = "query_id", text_col: str = "text", counter: Accumulator | None = None
 ) -> DataFrame:
     """The n best documents of each query: ``index.bm25_scores`` and its best rows, without the scores of all others."""
     wanted = written(query_terms(queries, query_id, text_col), "wanted")
-    posts, stats = wanted_postings(docs, wanted, doc_id, text_col)
-    return top_postings(posts, stats, wanted, n, places=places, config=config, counter=counter)
+    terms = wanted.select("term").distinct()
+    if wanted.limit(QUERY_TERMS + 1).count() > QUERY_TERMS or terms.limit(index.LOOKED_UP + 1).count() > index.LOOKED_UP:
+        posts, stats = wanted_postings(docs, wanted, doc_id, text_col)
+        return top_postings(posts, stats, wanted, n, places=places, config=config, counter=counter)
+    counted, terms = counted_documents(docs, terms, doc_id, text_col)
+    stats = written(corpus_stats(counted), "statistics")
+    if counted.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return top_postings(written(document_postings(counted, terms), "postings"), stats, wanted, n, places=places, config=config, counter=counter)
+    return top_counted(counted, terms, stats, wanted, n, places=places, config=config, counter=counter)
