@@ -61,6 +61,9 @@ class Lists:
                 scored += int(fresh.sum())
                 known |= fresh
                 self.score[docs[known]] += gains[known]
+            elif 8 * len(found) > b - a:
+                known = self.member[docs]
+                self.score[docs[known]] += w * self.parts[a:b][known]
             else:
                 at = np.minimum(np.searchsorted(docs, found), b - a - 1)
                 hit = docs[at] == found
@@ -198,6 +201,18 @@ def _chunks(docs: pa.Table | pa.RecordBatch, name: str) -> list[pa.Array]:
     return column.chunks if isinstance(column, pa.ChunkedArray) else [column]
 
 
+def _cells(number: np.ndarray, part: np.ndarray, n: int) -> pa.RecordBatch:
+    """(number, cell, had): of each term the cells of contributions down to the one with the n-th largest, and as cell -1 all below, which are no more than counted: n are above them already."""
+    met, had = np.unique((number.astype(np.int64) << 32) + np.floor(part * CELLS).astype(np.int64), return_counts=True)
+    term, cell, to = met >> 32, met & 0xFFFFFFFF, np.cumsum(had)
+    last = np.searchsorted(term, term, "right") - 1
+    low = to[last] - to >= n
+    rest, first = np.unique(term[low], return_index=True)
+    below = np.add.reduceat(had[low], first) if len(rest) else rest
+    columns = (np.append(term[~low], rest), np.append(cell[~low], np.full(len(rest), -1)), np.append(had[~low], below))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c.astype(np.int64)) for c in columns[1:])], names=["number", "cell", "had"])
+
+
 def top_counted(
     counted: DataFrame, terms: DataFrame, stats: DataFrame, wanted: DataFrame, n: int, *, places: int = 4, config: Bm25Config = Bm25Config(), counter: Accumulator | None = None
 ) -> DataFrame:
@@ -212,10 +227,7 @@ def top_counted(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for docs in _shards(batches, limit):
             _, number, part = _parts(docs, avgdl, config)
-            cell = np.floor(part * CELLS).astype(np.int64)
-            width = int(cell.max(initial=0)) + 1
-            met, had = np.unique(number.astype(np.int64) * width + cell, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(met // width, pa.int32()), pa.array(met % width), pa.array(had.astype(np.int64))], names=["number", "cell", "had"])
+            yield _cells(number, part, n)
 
     cells = counted.select("dl", "numbers", "tfs").mapInArrow(count, "number int, cell long, had long")
     cells = written(cells.groupBy("number", "cell").agg(F.sum("had").alias("had")), "cells")  # read twice

@@ -63,3 +63,25 @@ def test_shards_hold_whole_documents():
     got = [t.column("doc_id").to_pylist() for t in topk._shards([batch.slice(0, 5), batch.slice(5), batch.slice(0, 0)], 10)]
     assert sum(got, []) == list(range(8)) and len(got) == 4
     assert np.all([sum(len(lists[i]) for i in x) <= 10 or len(x) == 1 for x in got])
+
+
+def test_only_cells_that_a_threshold_can_need():
+    """Of what a task has counted, only the cells of each term's n largest contributions leave it."""
+    r = np.random.default_rng(3)
+    n, shards = 5, []
+    for _ in range(4):
+        number = r.choice([0, 1, 2, 9], 300, p=[0.8, 0.19, 0.005, 0.005]).astype(np.int32)
+        shards.append((number, r.integers(100, 400, 300) / 100))
+    got = {}
+    for number, part in shards:
+        rows = topk._cells(number, part, n).to_pylist()
+        assert len(rows) <= 4 * (n + 1)
+        for x in rows:
+            got.setdefault(x["number"], []).append((x["cell"], x["had"]))
+    for t in (0, 1, 2, 9):
+        own = np.sort(np.concatenate([part[number == t] for number, part in shards]))[::-1]
+        held = sorted(got.get(t, []), reverse=True)
+        assert sum(had for _, had in held) == len(own)
+        reached = [cell for i, (cell, _) in enumerate(held) if sum(had for _, had in held[: i + 1]) >= n]
+        assert reached[:1] == [int(np.floor(x * topk.CELLS)) for x in own[n - 1 : n]]
+    assert topk._cells(np.zeros(0, np.int32), np.zeros(0), n).num_rows == 0
